@@ -68,41 +68,45 @@ def threshold_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: st
     (sys_hi, net_hi, sys_floor) in (k/steps), k = 0..steps (R2).
 
     The scores are reduced to a per-class 2-D histogram over grid cells (at
-    most 2 x (steps+1)^2 rows, whatever the input size), turned into 2-D
+    most 2 x (steps+2)^2 rows, whatever the input size), turned into 2-D
     suffix sums C(x, b) = #{cell_sys >= x, cell_net >= b}, and every grid point
     is three equi-join lookups:
 
-        fused(a, b, f) = C(a, 0) + [f < a] * (C(f, b) - C(a, b))
+        fused(a, b, f) = C(a, -1) + [f < a] * (C(f, b) - C(a, b))
+
+    where cell -1 holds NULL / NaN scores, so a missing network score still
+    lets the syscall branch fire.
     """
     spark = df.sparkSession
-    k = steps + 1
+    k = steps + 1          # thresholds 0..steps
+    kc = steps + 2         # cells -1..steps (-1: NULL / NaN score, reaches no threshold)
     cells = df.select(F.col(y).cast("int").alias("y"), grid_cell(p_sys, steps).alias("cs"),
                       grid_cell(p_net, steps).alias("cn"))
-    hist = cells.filter((F.col("cs") >= 0) & (F.col("cn") >= 0)) \
-        .groupBy("y", "cs", "cn").agg(F.count(F.lit(1)).alias("h"))
+    hist = cells.groupBy("y", "cs", "cn").agg(F.count(F.lit(1)).alias("h"))
     totals = cells.groupBy("y").agg(F.count(F.lit(1)).alias("n_class"))
-    dense = (spark.range(2 * k * k)
-             .select((F.col("id") // (k * k)).cast("int").alias("y"),
-                     ((F.col("id") // k) % k).cast("int").alias("cs"),
-                     (F.col("id") % k).cast("int").alias("cn")))
+
+    def div(c, d):
+        return F.floor(c / F.lit(d)).cast("int")
+
+    idx = F.col("id")
+    dense = spark.range(2 * kc * kc).select(
+        div(idx, kc * kc).alias("y"), (div(idx, kc) % kc - 1).alias("cs"), (idx % kc - 1).cast("int").alias("cn"))
     dense = dense.join(hist, ["y", "cs", "cn"], "left").fillna(0, subset=["h"])
     suffix_s = Window.partitionBy("y", "cn").orderBy(F.desc("cs")).rowsBetween(Window.unboundedPreceding, 0)
     suffix_n = Window.partitionBy("y", "cs").orderBy(F.desc("cn")).rowsBetween(Window.unboundedPreceding, 0)
     c = dense.withColumn("r", F.sum("h").over(suffix_s)).withColumn("c", F.sum("r").over(suffix_n)) \
         .select("y", F.col("cs").alias("x"), F.col("cn").alias("b"), "c")
-    grid = (spark.range(k * k * k)
-            .select((F.col("id") // (k * k)).cast("int").alias("a"),
-                    ((F.col("id") // k) % k).cast("int").alias("bn"),
-                    (F.col("id") % k).cast("int").alias("f")))
+    grid = spark.range(k * k * k).select(
+        div(idx, k * k).alias("a"), (div(idx, k) % k).alias("bn"), (idx % k).cast("int").alias("f"))
     per_class = grid.select("a", "bn", "f", F.explode(F.array(F.lit(0), F.lit(1))).alias("y"))
 
     def lookup(frame: DataFrame, x: Column, b: Column, name: str) -> DataFrame:
-        look = c.select("y", F.col("x").alias(f"{name}_x"), F.col("b").alias(f"{name}_b"),
+        look = c.select(F.col("y").alias("_ly"), F.col("x").alias("_lx"), F.col("b").alias("_lb"),
                         F.col("c").alias(name))
-        return frame.join(look, (frame.y == look.y) & (x == look[f"{name}_x"]) & (b == look[f"{name}_b"]),
-                          "left").drop(look.y, f"{name}_x", f"{name}_b")
+        cond = (F.col("y") == F.col("_ly")) & (x == F.col("_lx")) & (b == F.col("_lb"))
+        return frame.join(look, cond, "left").drop("_ly", "_lx", "_lb")
 
-    t = lookup(per_class, F.col("a"), F.lit(0), "c_a0")
+    t = lookup(per_class, F.col("a"), F.lit(-1), "c_a0")
     t = lookup(t, F.col("f"), F.col("bn"), "c_fb")
     t = lookup(t, F.col("a"), F.col("bn"), "c_ab")
     fused = F.col("c_a0") + F.when(F.col("f") < F.col("a"), F.col("c_fb") - F.col("c_ab")).otherwise(0)
