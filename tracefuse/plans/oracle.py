@@ -96,7 +96,7 @@ WINDOW_SCORES = WINDOW_FEATURES + """,
 ws AS (SELECT window_tag, container, label AS y,
               CASE WHEN total_events > 0 THEN (evt_write + evt_openat) / total_events ELSE 0.0 END AS p
        FROM wf),
-wp AS (SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred FROM ws),
+wp AS (SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred, p AS score FROM ws),
 """ + AUC_FROM.format(keys="window_tag", src="wp") + """,
 wm AS (
   SELECT cm.*, auc.roc_auc, sep.separation FROM
@@ -306,9 +306,9 @@ ORACLE: dict[str, str] = {
     "window_metrics": f"WITH {WINDOW_SCORES} SELECT window_tag, tn, fp, fn, tp, {RATES}, roc_auc, separation FROM wm",
     "recommended_window": f"""WITH {WINDOW_SCORES},
   sec(window_tag, n) AS (VALUES ('N3', 3), ('N5', 5), ('N10', 10), ('N15', 15)),
-  r AS (SELECT wm.window_tag, {_div('2 * tp', '2 * tp + fp + fn')} AS f1, separation FROM wm)
+  rw AS (SELECT wm.window_tag, {_div('2 * tp', '2 * tp + fp + fn')} AS f1, separation FROM wm)
   SELECT CAST(COALESCE(MIN(CASE WHEN f1 >= 0.7 AND separation >= 0.4 THEN sec.n END), 15) AS INTEGER) AS recommended_n
-  FROM r LEFT JOIN sec USING (window_tag)""",
+  FROM rw LEFT JOIN sec USING (window_tag)""",
     "schema_align": f"""WITH {STRACE_LONG}
   SELECT container, CAST(SUM(n) AS DOUBLE) AS total_events,
          CAST(COALESCE(SUM(n) FILTER (WHERE feature = 'evt_click'), 0) AS DOUBLE) AS evt_click,
