@@ -1,0 +1,44 @@
+"""Training-table preparation order: bool->int, strings, dedup, constants, fill."""
+
+from tracefuse.operators.prep import (column_report, constant_columns, drop_metadata,
+                                      prepare_training, resolve_label, select_features)
+
+SCHEMA = "a double, b double, flag boolean, name string, const double, sparse double, label_bin int"
+ROWS = [
+    (1.0, 2.0, True, "x", 5.0, None, 1),
+    (1.0, 2.0, True, "y", 5.0, None, 1),     # duplicate once the string column is dropped
+    (1.0, 2.0, True, "x", 5.0, None, 1),     # exact duplicate
+    (2.0, None, False, "z", 5.0, 3.0, 0),
+    (3.0, float("nan"), False, "z", 5.0, None, 0),
+]
+
+
+def test_prepare_training(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    p = prepare_training(df, "label_bin")
+    assert p.dropped_strings == ["name"]
+    # b is 2.0 / NULL / NaN after dedup: one distinct value, as pandas nunique counts it
+    assert p.dropped_constant == ["b", "const", "sparse"]
+    rows = sorted(tuple(r) for r in p.data.collect())
+    assert len(rows) == 3
+    assert all(v is not None and v == v for r in rows for v in r)
+    assert p.data.columns[-1] == "label_bin" and "flag" in p.features
+
+
+def test_constant_columns_ignore_nulls(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (1.0, 4.0, None), (1.0, 4.0, 3.0)], "a double, b double, c double")
+    assert constant_columns(df, ["a", "b", "c"]) == ["a", "b"]
+
+
+def test_column_report(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    rep = {r.column: r for r in column_report(df, "label_bin").collect()}
+    assert rep["a"].rows_before == 5 and rep["a"].rows_after == 3
+    assert rep["const"].is_constant == 1 and rep["a"].is_constant == 0
+
+
+def test_schema_helpers(spark):
+    df = spark.createDataFrame([(1, "f", 2.0, 3.0, 0)], "id int, folder string, evt_read double, total_events double, y int")
+    assert drop_metadata(df).columns == ["evt_read", "total_events", "y"]
+    assert select_features(df) == ["evt_read", "total_events"]
+    assert resolve_label(df.columns) == "y"

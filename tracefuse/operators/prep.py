@@ -50,7 +50,7 @@ def drop_string_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def constant_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns with at most one distinct non-null value.
+    """Columns with at most one distinct non-null, non-NaN value.
 
     One aggregate of min/max per column (algebraic, map-side combined) instead
     of a distinct count per column; only a row of 2 x columns values reaches
@@ -58,9 +58,13 @@ def constant_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """
     if not cols:
         return []
+    types = dict(df.dtypes)
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(F.col(f"`{c}`")).alias(f"mn{i}"), F.max(F.col(f"`{c}`")).alias(f"mx{i}")]
+        v = F.col(f"`{c}`")
+        if types.get(c) in ("double", "float"):
+            v = F.nanvl(v, F.lit(None).cast(types[c]))  # NaN is not a value, as NULL is not
+        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
     row = df.agg(*aggs).first()
     return [c for i, c in enumerate(cols)
             if row[f"mn{i}"] is None or row[f"mn{i}"] == row[f"mx{i}"]]
