@@ -84,10 +84,21 @@ def with_all_keys(wide: DataFrame, keys: DataFrame, key_cols: Sequence[str],
     return out.fillna(0.0, subset=list(contract))
 
 
+def restrict_to(events: DataFrame, keys: DataFrame, key_cols: Sequence[str],
+                max_rows: int | None = None) -> DataFrame:
+    """Container allow-list (P20): keep events of declared keys only, as a
+    semi join before any aggregation (case-sensitive equality)."""
+    return join_dimension(events, keys.select(*key_cols), list(key_cols), how="left_semi",
+                          max_rows=max_rows)
+
+
 def count_features(events: DataFrame, key_cols: Sequence[str], contract: Sequence[str],
                    feature_col: str = "feature", total: str = "mapped",
                    keys: DataFrame | None = None) -> DataFrame:
-    """A1: events (key, feature) -> wide contract table, optionally over all declared keys."""
+    """A1: events (key, feature) -> wide contract table, optionally over all declared keys
+    (undeclared keys are dropped before counting, declared keys without events get 0s)."""
+    if keys is not None:
+        events = restrict_to(events, keys, key_cols)
     wide = widen(long_counts(events, key_cols, feature_col), key_cols, contract,
                  feature_col, total=total)
     if keys is not None:
@@ -219,3 +230,21 @@ def nonzero_features(long: DataFrame, key_cols: Sequence[str], count_col: str =
     if include_total:
         nz = nz + F.when(F.sum(count_col) > 0, 1).otherwise(0)
     return long.groupBy(*key_cols).agg(nz.cast("bigint").alias("nonzero_features"))
+
+
+def assert_contract(df: DataFrame, contract: Sequence[str], keep: Sequence[str] = (),
+                    expected_rows: int | None = None) -> None:
+    """Schema contract checks (P18): column order, no NULL/NaN, optional row count.
+    Order is checked on the schema; NULLs with one aggregate; rows with a count."""
+    cols = [c for c in df.columns if c not in keep]
+    if cols != list(contract):
+        raise AssertionError("column order does not match the contract")
+    bad = F.lit(0)
+    for c in contract:
+        v = F.col(f"`{c}`")
+        bad = bad + F.sum((v.isNull() | F.isnan(v)).cast("int"))
+    row = df.agg(bad.alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    if row["bad"]:
+        raise AssertionError(f"{row['bad']} NULL/NaN values after alignment")
+    if expected_rows is not None and row["n"] != expected_rows:
+        raise AssertionError(f"row count {row['n']} != {expected_rows}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracefuse.functions.scalar import nan_to_null, safe_div
 from tracefuse.operators.ranking import running_sums
+from tracefuse.session import cut_lineage
 
 
 def _is(col: str, v: int) -> Column:
@@ -178,12 +179,27 @@ def accuracy_summary(df: DataFrame, y: str, pred: str, group_cols: Sequence[str]
 
 
 def window_metrics(scored: DataFrame, y: str, pred: str, score: str,
-                   tag_col: str = "window_tag") -> DataFrame:
-    """Per-window metrics table: confusion, rates, ROC-AUC, separation."""
-    m = with_rates(confusion(scored, y, pred, [tag_col]))
+                   tag_col: str = "window_tag", freeze: bool = True) -> DataFrame:
+    """Per-window metrics table: confusion, rates, ROC-AUC, separation.
+
+    The scored table (one row per window and container: an aggregate, far
+    smaller than the events) is frozen in the checkpoint folder once, so the
+    confusion/separation aggregate and the AUC running sums do not each
+    recompute the event pipeline.
+    """
+    if freeze:
+        scored = cut_lineage(scored)
+    s = nan_to_null(F.col(score))
+    m = scored.groupBy(tag_col).agg(
+        _count(_is(y, 0) & _is(pred, 0)).alias("tn"),
+        _count(_is(y, 0) & _is(pred, 1)).alias("fp"),
+        _count(_is(y, 1) & _is(pred, 0)).alias("fn"),
+        _count(_is(y, 1) & _is(pred, 1)).alias("tp"),
+        F.round(F.avg(F.when(_is(y, 1), s)) - F.avg(F.when(_is(y, 0), s)), 6).alias("separation"))
+    m = with_rates(m)
     auc = roc_auc(scored, y, score, [tag_col]).select(tag_col, "roc_auc")
-    sep = separation_gap(scored, y, score, [tag_col], absent="null").select(tag_col, "separation")
-    return m.join(auc, tag_col, "left").join(sep, tag_col, "left")
+    return m.join(auc, tag_col, "left").select(
+        tag_col, "tn", "fp", "fn", "tp", *rate_columns().keys(), "roc_auc", "separation")
 
 
 def recommended_window(metrics: DataFrame, seconds: Mapping[str, int | None],
@@ -220,3 +236,9 @@ def reference_delta(reference: DataFrame, current: DataFrame, key: str = "model"
     r = reference.select(key, F.col(metric).alias(f"reference_{metric}"))
     c = current.select(key, F.col(metric).alias(f"current_{metric}"))
     return r.join(c, key).withColumn("delta", F.col(f"reference_{metric}") - F.col(f"current_{metric}"))
+
+
+def present(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round every double column for presentation only."""
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`")
+                       for c, t in df.dtypes])
