@@ -69,7 +69,16 @@ def base_name(name, suffixes=(".log",)) -> Column:
     return out
 
 
-def epoch_seconds(ts) -> Column:
-    """Whole seconds since 1970 for ``timestamp`` or ``timestamp_ntz`` (no zone shift)."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", epoch, _c(ts))
+def epoch_seconds(ts, ntz: bool = True) -> Column:
+    """Whole seconds since 1970.
+
+    ``timestamp_ntz`` values are wall-clock readings: days and time of day
+    are taken from the value itself, so the result does not depend on the
+    session time zone (a cast to ``timestamp`` would, across DST changes).
+    ``ntz=False`` is for zone-aware ``timestamp`` columns (absolute instants).
+    """
+    c = _c(ts)
+    if not ntz:
+        return F.unix_seconds(c)
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
