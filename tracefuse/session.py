@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -82,5 +83,14 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
 
 
 def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """A small literal lookup table (alias map, contract, grid)."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small literal lookup table (alias map, contract, declared keys).
+
+    Built as an inline array of literal structs, so the table is part of the
+    JVM plan (no Python-side RDD, no Python worker at run time).
+    """
+    st = T.DataType.fromDDL(schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
+               for r in rows]
+    if not structs:
+        return spark.createDataFrame([], st)
+    return spark.range(1).select(F.inline(F.array(*structs)))
