@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracefuse.functions.contracts import NETWORK_CONTRACT
 from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, fuse, probability_band
 from tracefuse.functions.scalar import base_name, label_from_name, safe_div
 from tracefuse.operators import counting, flows, metrics, models, pairing, prep, sampling, sweeps
@@ -231,8 +232,11 @@ def nonzero_features(spark, sf):
 # ---- flows ----------------------------------------------------------------------------
 
 def packet_features(spark, sf):
-    out = flows.network_feature_table(S.packets(spark, sf), key_col="file",
-                                      order_cols=S.PACKET_ORDER)
+    # aggregate on the numeric capture id; names and labels are derived per capture afterwards
+    feats = flows.packet_features(S.packets(spark, sf), key_col="capture", order_cols=S.PACKET_ORDER)
+    feats = feats.withColumn("file", S.capture_file_name("capture"))
+    feats = feats.withColumn("label", label_from_name("file", "network"))
+    out = counting.align(feats, NETWORK_CONTRACT, keep=["file", "label"])
     return out.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
 
 

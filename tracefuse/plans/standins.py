@@ -67,10 +67,8 @@ def window_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem rows as decoded packets of one capture per supplier."""
     li = table(spark, sf_dir, "lineitem")
-    name = F.concat(F.when(F.col("l_suppkey") % 4 == 0, "mal_").otherwise(""), F.lit("cap"),
-                    F.col("l_suppkey").cast("string"), F.lit("_network.pcap"))
     return li.select(
-        name.alias("file"),
+        F.col("l_suppkey").alias("capture"),
         F.when(F.col("l_discount") > 0, F.col("l_quantity")).alias("frame_len"),
         F.when(F.col("l_returnflag") == "R", "6").when(F.col("l_returnflag") == "A", "17")
          .otherwise("6,17").alias("ip_proto"),
@@ -83,6 +81,13 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKET_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
 
+def capture_file_name(capture_col: str = "capture") -> F.Column:
+    """File name of a capture; applied after aggregation (one row per capture)."""
+    c = F.col(capture_col)
+    return F.concat(F.when(c % 4 == 0, "mal_").otherwise(""), F.lit("cap"), c.cast("string"),
+                    F.lit("_network.pcap"))
+
+
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a raw training table: numerics, a boolean, a string, a
     constant column and an all-NULL column, with many exact duplicates."""
