@@ -56,7 +56,7 @@ def test_auc_one_class_is_null(spark):
 def test_roc_points_brute_force(spark):
     rows = [(1, 0.9), (0, 0.9), (1, 0.7), (0, 0.3), (1, 0.3), (0, 0.1)]
     df = spark.createDataFrame(rows, "y int, s double")
-    pts = sorted((r.fpr, r.tpr) for r in M.roc_points(df, "y", "s").collect())
+    pts = sorted((r.fpr, r.tpr) for r in M.roc_points(df, "y", "s", drop_intermediate=False).collect())
     thresholds = sorted({s for _, s in rows}, reverse=True)
     want = [(0.0, 0.0)]
     for t in thresholds:
@@ -97,3 +97,12 @@ def test_row_breakdown_and_summary(spark):
     assert (rows["b"].fn, rows["b"].true_label, rows["b"].predicted) == (1, "Malicious", "Benign")
     s = M.accuracy_summary(df, "y", "p").first()
     assert (s.correct, s.total) == (1, 3) and s.accuracy_pct == pytest.approx(100 / 3)
+
+
+def test_roc_points_drop_intermediate(spark):
+    # groups (desc): 0.9 (1,0), 0.8 (1,0), 0.7 (1,0), 0.2 (0,1), 0.1 (0,1): equal steps are thinned
+    rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.2), (0, 0.1)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    got = sorted((r.threshold is None, r.threshold, r.fpr, r.tpr) for r in M.roc_points(df, "y", "s").collect())
+    kept = sorted(t for n, t, _, _ in got if not n)
+    assert kept == [0.1, 0.7, 0.9]  # second differences: only 0.7 changes the step

@@ -123,14 +123,29 @@ def roc_auc(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -
     return agg.select(*group_cols, auc.alias("roc_auc"), "n_pos", "n_neg")
 
 
-def roc_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """ROC curve points (fpr, tpr, threshold), one per distinct score, highest
-    threshold first, plus the (0, 0) origin with a NULL threshold (A14)."""
+def roc_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
+               drop_intermediate: bool = True) -> DataFrame:
+    """ROC curve points (fpr, tpr, threshold), highest threshold first, plus the
+    (0, 0) origin with a NULL threshold (A14).
+
+    With ``drop_intermediate`` a point is omitted when the next lower score
+    group adds exactly the same (positives, negatives) as this one (equal
+    steps: the point lies on the segment between its neighbours); the first
+    and last points are always kept.  The "next group" is found with an
+    equi-join on (group, rank + 1): ranks are unique, so the join cannot skew.
+    """
     keys = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
-    g = _score_groups(src, y, score, keys)
+    g = _score_groups(src, y, score, keys).withColumn("_one", F.lit(1))
     totals = g.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    r = running_sums(g, keys, ["score"], ["pos", "neg"], descending=True)
+    r = running_sums(g, keys, ["score"], ["pos", "neg", "_one"], descending=True)
+    if drop_intermediate:
+        nxt = r.select(*keys, (F.col("cum__one") - 1).alias("cum__one"),
+                       F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
+        r = r.join(nxt, [*keys, "cum__one"], "left")
+        keep = ((F.col("cum__one") == 1) | F.col("_npos").isNull()
+                | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
+        r = r.filter(keep)
     pts = r.join(totals, keys, "inner")
     pts = pts.select(*group_cols, safe_div("cum_neg", "n_neg").alias("fpr"),
                      safe_div("cum_pos", "n_pos").alias("tpr"), F.col("score").alias("threshold"))

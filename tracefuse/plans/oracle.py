@@ -226,12 +226,16 @@ ORACLE: dict[str, str] = {
   g AS (SELECT model, score, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
                SUM(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS neg FROM st WHERE score IS NOT NULL GROUP BY model, score),
   t AS (SELECT model, SUM(pos) AS n_pos, SUM(neg) AS n_neg FROM g GROUP BY model),
-  c AS (SELECT model, score, SUM(pos) OVER w AS cp, SUM(neg) OVER w AS cn FROM g
+  c AS (SELECT model, score, pos, neg, SUM(pos) OVER w AS cp, SUM(neg) OVER w AS cn,
+               ROW_NUMBER() OVER (PARTITION BY model ORDER BY score DESC) AS rn,
+               LEAD(pos) OVER (PARTITION BY model ORDER BY score DESC) AS npos,
+               LEAD(neg) OVER (PARTITION BY model ORDER BY score DESC) AS nneg FROM g
         WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   SELECT model, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr, NULL::DOUBLE AS threshold FROM t
   UNION ALL
   SELECT c.model, {_div('cn', 'n_neg')} AS fpr, {_div('cp', 'n_pos')} AS tpr, score AS threshold
-  FROM c JOIN t USING (model)""",
+  FROM c JOIN t USING (model)
+  WHERE rn = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg""",
     "separation_gap": f"""WITH {STACK}
   SELECT model, ROUND(COALESCE(AVG(CASE WHEN y = 1 THEN score END), 0.0), 6) AS mean_pos,
          ROUND(COALESCE(AVG(CASE WHEN y = 0 THEN score END), 0.0), 6) AS mean_neg,
