@@ -188,6 +188,20 @@ def _report_rows() -> str:
     return " UNION ALL ".join(parts)
 
 
+SYSDIG = r"""ln AS (
+  SELECT CASE WHEN event_type = 'error' THEN 'u' || user_id || ' ' || (epoch_us(ts) // 1000000)
+              WHEN value < 2 THEN 'u' || user_id || ' t' || (epoch_us(ts) // 1000000) || ' ' || event_type
+              WHEN event_type = 'purchase' THEN 'u' || user_id || ' ' || (epoch_us(ts) // 1000000) || ' ' || upper(event_type) || ' extra'
+              WHEN event_type = 'view' THEN ' ' || chr(9) || 'u' || user_id || chr(9) || ' ' || (epoch_us(ts) // 1000000) || '  ' || event_type || chr(9)
+              ELSE 'u' || user_id || ' ' || (epoch_us(ts) // 1000000) || ' ' || event_type END AS value
+  FROM events),
+tk AS (SELECT regexp_replace(value, '^\s+|\s+$', '', 'g') AS v FROM ln),
+sp AS (SELECT v, string_split_regex(v, '\s+') AS t FROM tk),
+ps AS (SELECT t[1] AS container, TRY_CAST(t[2] AS BIGINT) AS ts_s, lower(t[3]) AS syscall,
+              CASE WHEN v = '' THEN 'blank' WHEN starts_with(v, 'SYSDIG_UNAVAILABLE') THEN 'sentinel'
+                   WHEN len(t) < 3 THEN 'short' WHEN TRY_CAST(t[2] AS BIGINT) IS NULL THEN 'bad_time'
+                   ELSE 'ok' END AS status FROM sp)"""
+
 ORACLE: dict[str, str] = {
     "detector_metrics": f"WITH {FUSED}, cm AS (SELECT model, {CONF} FROM u GROUP BY model) "
                         f"SELECT model, tn, fp, fn, tp, {RATES} FROM cm",
@@ -339,6 +353,8 @@ ORACLE: dict[str, str] = {
          CAST(COUNT(*) FILTER (WHERE feature = 'evt_read') AS DOUBLE) AS evt_read,
          CAST(contains(lower(file), 'mal_') OR contains(lower(file), 'malicious') AS INTEGER) AS label
   FROM cl GROUP BY file""",
+    "sysdig_line_parse": f"""WITH {SYSDIG}
+  SELECT status, syscall, COUNT(*) AS n, COUNT(DISTINCT container) AS n_containers FROM ps GROUP BY status, syscall""",
     "top_features_per_container": f"""WITH {HOURLY},
   al AS (SELECT container, feature, n FROM hl UNION ALL
          SELECT container, 'total_events', SUM(n) FROM hl GROUP BY container)

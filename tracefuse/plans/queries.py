@@ -16,6 +16,7 @@ from tracefuse.functions.scalar import base_name, label_from_name, safe_div
 from tracefuse.operators import counting, flows, metrics, models, pairing, prep, sampling, sweeps
 from tracefuse.plans import standins as S
 from tracefuse.session import fixed_table
+from tracefuse.sources.readers import parse_sysdig
 
 PREDS = {"syscall": "pred_syscall", "network": "pred_network", "hybrid": "pred_hybrid"}
 
@@ -229,6 +230,12 @@ def nonzero_features(spark, sf):
     return counting.nonzero_features(_hourly_long(spark, sf), ["container"])
 
 
+def sysdig_line_parse(spark, sf):
+    parsed = parse_sysdig(S.sysdig_lines(spark, sf))
+    return parsed.groupBy("status", "syscall").agg(F.count(F.lit(1)).alias("n"),
+                                                   F.countDistinct("container").alias("n_containers"))
+
+
 # ---- flows ----------------------------------------------------------------------------
 
 def packet_features(spark, sf):
@@ -356,6 +363,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_align": schema_align,
     "schema_drift_report": schema_drift_report,
     "log_call_counts": log_call_counts,
+    "sysdig_line_parse": sysdig_line_parse,
     "top_features_per_container": top_features_per_container,
     "nonzero_features": nonzero_features,
     "packet_features": packet_features,

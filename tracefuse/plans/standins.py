@@ -118,3 +118,20 @@ def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 64) -> tuple[Da
     df = e.select("vec_id", (F.col("label") >= 5).cast("int").alias("y"),
                   *[F.get(F.col("embedding"), i).cast("double").alias(c) for i, c in enumerate(cols)])
     return df, cols
+
+
+def sysdig_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events rendered as sysdig text lines, with the malformed kinds a real
+    capture produces: 'error' events lose their syscall token (short line),
+    low-value events carry a non-numeric time, purchases are upper-case and
+    carry an extra token, views are padded with tabs and spaces."""
+    ev = events(spark, sf_dir)
+    who = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    ts = epoch_seconds("ts").cast("string")
+    line = (F.when(F.col("event_type") == "error", F.concat_ws(" ", who, ts))
+            .when(F.col("value") < 2, F.concat_ws(" ", who, F.concat(F.lit("t"), ts), F.col("event_type")))
+            .when(F.col("event_type") == "purchase", F.concat_ws(" ", who, ts, F.upper("event_type"), F.lit("extra")))
+            .when(F.col("event_type") == "view", F.concat(F.lit(" \t"), who, F.lit("\t "), ts, F.lit("  "),
+                                                            F.col("event_type"), F.lit("\t")))
+            .otherwise(F.concat_ws(" ", who, ts, F.col("event_type"))))
+    return ev.select(line.alias("value"))
