@@ -220,7 +220,7 @@ def top_features(long: DataFrame, key_cols: Sequence[str], k: int = 5,
             .withColumn(feature_col, F.lit(TOTAL)).select(*key_cols, feature_col, count_col)
         src = src.unionByName(totals)
     w = Window.partitionBy(*key_cols).orderBy(F.desc(count_col), F.asc(feature_col))
-    return src.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return src.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def nonzero_features(long: DataFrame, key_cols: Sequence[str], count_col: str = "n",

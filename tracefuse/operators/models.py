@@ -125,7 +125,7 @@ def feature_importance(spark: SparkSession, model: PipelineModel, feature_cols:
                                "feature string, value double")
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(kind)).orderBy(F.desc("value"), F.asc("feature"))
-    return (df.withColumn("kind", F.lit(kind)).withColumn("rank", F.row_number().over(w))
+    return (df.withColumn("kind", F.lit(kind)).withColumn("rank", F.row_number().over(w).cast("bigint"))
             .filter(F.col("rank") <= k))
 
 

@@ -92,5 +92,5 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
     pre = df.mapInPandas(local_top, schema)
     w = Window.partitionBy(*group_cols).orderBy(*_order_exprs(order_cols, descending))
-    return (pre.withColumn(rank_col, F.row_number().over(w))
+    return (pre.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
             .filter(F.col(rank_col) <= k))
