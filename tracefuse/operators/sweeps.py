@@ -67,62 +67,61 @@ def threshold_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: st
     """Confusion counts and rates of the fusion rule at every grid point
     (sys_hi, net_hi, sys_floor) in (k/steps), k = 0..steps (R2).
 
-    The scores are reduced to a per-class 2-D histogram over grid cells (at
-    most 2 x (steps+2)^2 rows, whatever the input size), turned into 2-D
+    The scores are reduced to one histogram over grid cells with a count per
+    class (at most (steps+2)^2 rows, whatever the input size), turned into 2-D
     suffix sums C(x, b) = #{cell_sys >= x, cell_net >= b}, and every grid point
-    is three equi-join lookups:
+    is a few equi-join lookups into that small table:
 
         fused(a, b, f) = C(a, -1) + [f < a] * (C(f, b) - C(a, b))
 
-    where cell -1 holds NULL / NaN scores, so a missing network score still
-    lets the syscall branch fire.
+    where cell -1 holds NULL / NaN scores (a missing network score still lets
+    the syscall branch fire) and C(-1, -1) is the class size.  No cross join
+    of scores with the grid.
     """
     spark = df.sparkSession
     k = steps + 1          # thresholds 0..steps
-    kc = steps + 2         # cells -1..steps (-1: NULL / NaN score, reaches no threshold)
-    cells = df.select(F.col(y).cast("int").alias("y"), grid_cell(p_sys, steps).alias("cs"),
-                      grid_cell(p_net, steps).alias("cn"))
-    hist = cells.groupBy("y", "cs", "cn").agg(F.count(F.lit(1)).alias("h"))
-    totals = cells.groupBy("y").agg(F.count(F.lit(1)).alias("n_class"))
+    kc = steps + 2         # cells -1..steps
+    yy = F.col(y).cast("int")
+    hist = (df.select(yy.alias("_y"), grid_cell(p_sys, steps).alias("cs"), grid_cell(p_net, steps).alias("cn"))
+            .groupBy("cs", "cn")
+            .agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("h1"),
+                 F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("h0")))
 
     def div(c, d):
         return F.floor(c / F.lit(d)).cast("int")
 
     idx = F.col("id")
-    dense = spark.range(2 * kc * kc).select(
-        div(idx, kc * kc).alias("y"), (div(idx, kc) % kc - 1).alias("cs"), (idx % kc - 1).cast("int").alias("cn"))
-    dense = dense.join(hist, ["y", "cs", "cn"], "left").fillna(0, subset=["h"])
-    suffix_s = Window.partitionBy("y", "cn").orderBy(F.desc("cs")).rowsBetween(Window.unboundedPreceding, 0)
-    suffix_n = Window.partitionBy("y", "cs").orderBy(F.desc("cn")).rowsBetween(Window.unboundedPreceding, 0)
-    c = dense.withColumn("r", F.sum("h").over(suffix_s)).withColumn("c", F.sum("r").over(suffix_n)) \
-        .select("y", F.col("cs").alias("x"), F.col("cn").alias("b"), "c")
+    dense = spark.range(kc * kc).select((div(idx, kc) - 1).alias("cs"), (idx % kc - 1).cast("int").alias("cn"))
+    # the histogram is bounded by the cell count: broadcast is proven small
+    dense = dense.join(F.broadcast(hist), ["cs", "cn"], "left").fillna(0, subset=["h1", "h0"])
+    down_s = Window.partitionBy("cn").orderBy(F.desc("cs")).rowsBetween(Window.unboundedPreceding, 0)
+    down_n = Window.partitionBy("cs").orderBy(F.desc("cn")).rowsBetween(Window.unboundedPreceding, 0)
+    c = (dense.select("cs", "cn", F.sum("h1").over(down_s).alias("r1"), F.sum("h0").over(down_s).alias("r0"))
+         .select(F.col("cs").alias("x"), F.col("cn").alias("b"),
+                 F.sum("r1").over(down_n).alias("c1"), F.sum("r0").over(down_n).alias("c0")))
     grid = spark.range(k * k * k).select(
         div(idx, k * k).alias("a"), (div(idx, k) % k).alias("bn"), (idx % k).cast("int").alias("f"))
-    per_class = grid.select("a", "bn", "f", F.explode(F.array(F.lit(0), F.lit(1))).alias("y"))
 
     def lookup(frame: DataFrame, x: Column, b: Column, name: str) -> DataFrame:
-        look = c.select(F.col("y").alias("_ly"), F.col("x").alias("_lx"), F.col("b").alias("_lb"),
-                        F.col("c").alias(name))
-        cond = (F.col("y") == F.col("_ly")) & (x == F.col("_lx")) & (b == F.col("_lb"))
-        return frame.join(look, cond, "left").drop("_ly", "_lx", "_lb")
-
-    t = lookup(per_class, F.col("a"), F.lit(-1), "c_a0")
-    t = lookup(t, F.col("f"), F.col("bn"), "c_fb")
-    t = lookup(t, F.col("a"), F.col("bn"), "c_ab")
-    fused = F.col("c_a0") + F.when(F.col("f") < F.col("a"), F.col("c_fb") - F.col("c_ab")).otherwise(0)
-    # class sizes: one row per label value (0/1) -> bounded broadcast
-    t = t.withColumn("fused", fused).join(F.broadcast(totals), "y", "left")
-    is1, is0 = F.col("y") == 1, F.col("y") == 0
-    agg = t.groupBy("a", "bn", "f").agg(
-        F.coalesce(F.sum(F.when(is1, F.col("fused"))), F.lit(0)).cast("bigint").alias("tp"),
-        F.coalesce(F.sum(F.when(is0, F.col("fused"))), F.lit(0)).cast("bigint").alias("fp"),
-        F.coalesce(F.sum(F.when(is1, F.col("n_class"))), F.lit(0)).cast("bigint").alias("n_pos"),
-        F.coalesce(F.sum(F.when(is0, F.col("n_class"))), F.lit(0)).cast("bigint").alias("n_neg"))
-    out = agg.select((F.col("a") / F.lit(float(steps))).alias("sys_hi"),
-                     (F.col("bn") / F.lit(float(steps))).alias("net_hi"),
-                     (F.col("f") / F.lit(float(steps))).alias("sys_floor"),
-                     "tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn"),
-                     (F.col("n_neg") - F.col("fp")).alias("tn"))
+        look = F.broadcast(c.select(F.col("x").alias("_lx"), F.col("b").alias("_lb"),
+                                    F.col("c1").alias(f"{name}1"), F.col("c0").alias(f"{name}0")))
+        return frame.join(look, (x == F.col("_lx")) & (b == F.col("_lb")), "inner").drop("_lx", "_lb")
+
+    t = lookup(grid, F.col("a"), F.lit(-1), "ca")
+    t = lookup(t, F.col("f"), F.col("bn"), "cf")
+    t = lookup(t, F.col("a"), F.col("bn"), "cab")
+    t = lookup(t, F.lit(-1), F.lit(-1), "n")
+
+    def fused(cls: str) -> Column:
+        return (F.col(f"ca{cls}") + F.when(F.col("f") < F.col("a"), F.col(f"cf{cls}") - F.col(f"cab{cls}"))
+                .otherwise(0)).cast("bigint")
+
+    tp, fp = fused("1"), fused("0")
+    out = t.select((F.col("a") / F.lit(float(steps))).alias("sys_hi"),
+                   (F.col("bn") / F.lit(float(steps))).alias("net_hi"),
+                   (F.col("f") / F.lit(float(steps))).alias("sys_floor"),
+                   tp.alias("tp"), fp.alias("fp"), (F.col("n1") - tp).cast("bigint").alias("fn"),
+                   (F.col("n0") - fp).cast("bigint").alias("tn"))
     return out.withColumns({"recall": safe_div("tp", F.col("tp") + F.col("fn")),
                             "precision": safe_div("tp", F.col("tp") + F.col("fp")),
                             "f1": safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
