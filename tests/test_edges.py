@@ -59,3 +59,10 @@ def test_one_class_metrics(spark):
     sep = M.separation_gap(df, "y", "s").first()
     assert sep.mean_neg == 0.0 and sep.separation == pytest.approx(0.55)
     assert M.separation_gap(df, "y", "s", absent="null").first().separation is None
+
+
+def test_cluster_settings_scale():
+    from tracefuse.session import cluster_settings
+    conf = cluster_settings(100 * 1024 ** 4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 200_000 // 1 or int(conf["spark.sql.shuffle.partitions"]) <= 200_000
+    assert cluster_settings(1024)["spark.sql.shuffle.partitions"] == "8"

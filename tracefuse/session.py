@@ -33,6 +33,31 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                     max_partitions: int = 200_000) -> dict[str, str]:
+    """Settings sized for a large input (e.g. 100 TB on ~1000 executors).
+
+    Scan splits and post-shuffle partitions both aim at ``target_partition_bytes``
+    so a task's share fits executor memory (and spills, not fails, beyond it).
+    The initial shuffle partition count follows the input size; AQE then
+    coalesces small partitions (most shuffles here move pre-aggregated rows)
+    and splits skewed ones (a key holding a third of the rows).
+    """
+    parts = max(8, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
