@@ -66,3 +66,12 @@ def test_top_k_empty_partitions(spark):
     df = spark.createDataFrame([(1, 5), (1, 3), (2, 9)], "g int, o int").repartition(6)
     got = sorted((r.g, r.o) for r in top_k_per_group(df, ["g"], ["o"], 1).collect())
     assert got == [(1, 3), (2, 9)]
+
+
+def test_global_rank_default_blocks_under_aqe(spark):
+    rows = _rows(3000, seed=5)
+    df = spark.createDataFrame(rows, "id int, y int, h int").repartition(6)
+    got = {r.id: r["rank"] for r in global_rank(df, ["y"], ["h", "id"]).collect()}
+    for y in (0, 1):
+        ordered = sorted((r for r in rows if r[1] == y), key=lambda r: (r[2], r[0]))
+        assert [got[r[0]] for r in ordered] == list(range(1, len(ordered) + 1))

@@ -142,9 +142,11 @@ def window_long_counts(events: DataFrame, key_col: str, ts_col: str, windows: Ma
 def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col: str,
                     contract: Sequence[str], windows: Mapping[str, int | None],
                     keys: DataFrame | None = None, feature_col: str = "feature",
-                    total: str = "mapped", unit_seconds: int = 1) -> DataFrame:
-    """Wide (window_tag, key, contract...) feature tables for every window at once."""
-    ev = attach_start(events, manifest, key_col)
+                    total: str = "mapped", unit_seconds: int = 1,
+                    manifest_max_rows: int | None = None) -> DataFrame:
+    """Wide (window_tag, key, contract...) feature tables for every window at once.
+    ``manifest_max_rows`` bounds a manifest read from storage so it can be broadcast."""
+    ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows)
     long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds)
     wide = widen(long, ["window_tag", key_col], contract, feature_col, total=total)
     if keys is not None:

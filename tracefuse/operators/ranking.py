@@ -31,10 +31,10 @@ def _order_exprs(order_cols: Sequence, descending: bool) -> list[Column]:
 
 def _blocks(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
             n_blocks: int | None, descending: bool) -> DataFrame:
-    spark = df.sparkSession
-    n = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c).asc() for c in part_cols],
-                                   *_order_exprs(order_cols, descending))
+    exprs = [*[F.col(c).asc() for c in part_cols], *_order_exprs(order_cols, descending)]
+    # Without an explicit count, AQE sizes the blocks to its advisory partition
+    # size; it only merges adjacent range partitions, so block ids stay in order.
+    ranged = df.repartitionByRange(n_blocks, *exprs) if n_blocks else df.repartitionByRange(*exprs)
     return cut_lineage(ranged.withColumn(_BLK, F.spark_partition_id()))
 
 

@@ -39,7 +39,7 @@ def syscall_window_features(spark: SparkSession, raw_path: str, manifest_path: s
     manifest = readers.read_manifest(spark, manifest_path)
     mapped = counting.map_syscalls(ok, "syscall", contract=contract)
     feats = counting.window_features(mapped, manifest, "container", "ts_s", contract, windows,
-                                     keys=containers)
+                                     keys=containers, manifest_max_rows=1_000_000)
     return readers.with_capture_mode(feats, "sysdig"), status
 
 
