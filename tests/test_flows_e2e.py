@@ -63,3 +63,25 @@ def test_train_detector_and_windows(spark):
     row = det.metrics.first()
     assert 0.0 <= row.accuracy <= 1.0 and det.importances.count() <= 20
     assert det.overfit.count() == 1
+
+
+def test_windowed_evaluation_on_shipped_windows(spark):
+    from tracefuse.operators import models as MD
+    from tracefuse.operators.prep import select_features
+    schema = "label int, container string, " + ", ".join(f"`{c}` double" for c in SYSCALL_CONTRACT)
+    tagged = read_tagged_tables(spark, fixture_path("windows"), schema)
+    assert {r.window_tag for r in tagged.select("window_tag").distinct().collect()} == \
+        {"N3", "N5", "N10", "N15", "full"}
+    # the shipped per-window tables are generated; total_events is the sum of the
+    # counters in every window except N10 (the generator may pick it as a rare column)
+    feats = select_features(tagged)
+    total = sum((F.col(f"`{c}`") for c in feats if c != "total_events"), F.lit(0.0))
+    off = {r.window_tag for r in tagged.filter(F.col("total_events") != total).select("window_tag").collect()}
+    assert off <= {"N10"}
+    full = tagged.filter("window_tag = 'full'")
+    model = MD.random_forest(feats, "label", weight_col=None, num_trees=10, max_depth=4).fit(full)
+    wm, rec = flows.windowed_evaluation(model, tagged, "container", "label")
+    rows = {r.window_tag: r for r in wm.collect()}
+    assert set(rows) == {"N3", "N5", "N10", "N15", "full"}
+    assert all(r.tn + r.fp + r.fn + r.tp == 10 for r in rows.values())
+    assert rec.first().recommended_seconds in (3, 5, 10, 15)
