@@ -18,11 +18,11 @@ def _write(path, text, mode="w"):
 
 def test_sysdig_to_window_features(spark):
     d = tempfile.mkdtemp(prefix="tf-e2e-")
-    _write(f"{d}/sysdig_raw.txt", "redis 100 open\nredis 103 read\nredis 120 write\nbad line\n"
+    _write(f"{d}/capture.txt", "redis 100 open\nredis 103 read\nredis 120 write\nbad line\n"
                                   "port-scan 50 connect\nport-scan 51 socket\nredis x read\n")
     _write(f"{d}/manifest.csv", "container,label,start_ts,end_ts\nredis,0,100,115\nport-scan,1,50,65\n")
     keys = spark.createDataFrame([("redis", 0), ("port-scan", 1), ("idle", 0)], "container string, label int")
-    feats, status = flows.syscall_window_features(spark, f"{d}/sysdig_raw.txt", f"{d}/manifest.csv", keys)
+    feats, status = flows.syscall_window_features(spark, f"{d}/capture.txt", f"{d}/manifest.csv", keys)
     got = {(r.window_tag, r.container): r for r in feats.collect()}
     assert len(got) == 15
     assert got[("N3", "redis")].total_events == 2 and got[("full", "redis")].total_events == 3
