@@ -71,6 +71,7 @@ def test_class_report_and_distribution(spark):
     rep = {r.class_name: r for r in M.class_report(df, "y", {"m": "p"}).collect()}
     assert rep["1"].precision == pytest.approx(2 / 3) and rep["1"].recall == pytest.approx(2 / 3)
     assert rep["0"].support == 3 and rep["weighted avg"].support == 6
+    assert rep["accuracy"].f1 == pytest.approx(4 / 6) and rep["accuracy"].precision is None
     dist = {r.label: (r.n, r.share) for r in M.class_distribution(df, "y").collect()}
     assert dist == {0: (3, 0.5), 1: (3, 0.5)}
 

@@ -143,9 +143,16 @@ def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col
                     contract: Sequence[str], windows: Mapping[str, int | None],
                     keys: DataFrame | None = None, feature_col: str = "feature",
                     total: str = "mapped", unit_seconds: int = 1,
-                    manifest_max_rows: int | None = None) -> DataFrame:
+                    manifest_max_rows: int | None = None, restrict: bool = True) -> DataFrame:
     """Wide (window_tag, key, contract...) feature tables for every window at once.
-    ``manifest_max_rows`` bounds a manifest read from storage so it can be broadcast."""
+
+    With ``keys``, every declared key gets a row per window and (``restrict``)
+    events of undeclared keys are dropped before counting; pass
+    ``restrict=False`` when the keys are derived from the events themselves.
+    ``manifest_max_rows`` bounds a manifest read from storage so it can be broadcast.
+    """
+    if keys is not None and restrict:
+        events = restrict_to(events, keys, [key_col])
     ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows)
     long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds)
     wide = widen(long, ["window_tag", key_col], contract, feature_col, total=total)

@@ -68,7 +68,8 @@ def detector_metrics(df: DataFrame, y: str, preds: Mapping[str, str],
 
 
 def class_report(df: DataFrame, y: str, preds: Mapping[str, str]) -> DataFrame:
-    """Per-class precision/recall/F1/support plus macro and weighted averages."""
+    """Per-class precision/recall/F1/support, the accuracy row (its value in the
+    F1 column), and macro and weighted averages (A12)."""
     c = confusion(stack_predictions(df, y, preds), "y", "pred", ["model"])
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
     p1, r1, f1_1 = safe_div(tp, tp + fp), safe_div(tp, tp + fn), safe_div(2 * tp, 2 * tp + fp + fn)
@@ -80,9 +81,11 @@ def class_report(df: DataFrame, y: str, preds: Mapping[str, str]) -> DataFrame:
         return F.struct(F.lit(name).alias("class_name"), p.alias("precision"),
                         r.alias("recall"), f.alias("f1"), s.cast("bigint").alias("support"))
 
+    null = F.lit(None).cast("double")
     rows = F.array(
         row("0", p0, r0, f1_0, s0),
         row("1", p1, r1, f1_1, s1),
+        row("accuracy", null, null, safe_div(tp + tn, n), n),
         row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n),
         row("weighted avg", safe_div(p0 * s0 + p1 * s1, n), safe_div(r0 * s0 + r1 * s1, n),
             safe_div(f1_0 * s0 + f1_1 * s1, n), n))

@@ -229,6 +229,7 @@ ORACLE: dict[str, str] = {
       tp + fn AS s1, tn + fp AS s0 FROM cm)
   SELECT model, '0' AS class_name, p0 AS precision, r0 AS recall, f1_0 AS f1, CAST(s0 AS BIGINT) AS support FROM pc
   UNION ALL SELECT model, '1', p1, r1, f1_1, CAST(s1 AS BIGINT) FROM pc
+  UNION ALL SELECT model, 'accuracy', NULL::DOUBLE, NULL::DOUBLE, {_div('tp + tn', 's0 + s1')}, CAST(s0 + s1 AS BIGINT) FROM pc
   UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, CAST(s0 + s1 AS BIGINT) FROM pc
   UNION ALL SELECT model, 'weighted avg',
       CASE WHEN s0 + s1 > 0 THEN (p0 * s0 + p1 * s1) / (s0 + s1) ELSE 0.0 END,

@@ -166,8 +166,9 @@ def event_feature_counts(spark, sf):
 def prefix_window_features(spark, sf):
     ev, manifest, keys = S.window_events(spark, sf)
     mapped = counting.map_syscalls(ev, "syscall", S.EVENT_ALIASES, S.EVENT_CONTRACT)
+    # keys are every user seen in the events: no allow-list to apply
     return counting.window_features(mapped, manifest, "container", "ts_s", S.EVENT_CONTRACT,
-                                    S.WINDOW_DAYS, keys=keys, unit_seconds=S.DAY)
+                                    S.WINDOW_DAYS, keys=keys, unit_seconds=S.DAY, restrict=False)
 
 
 def _window_scores(spark, sf):
