@@ -31,7 +31,10 @@ def packet_features(packets: DataFrame, key_col: str = "file", len_col: str = "f
     """
     ln, t = F.col(len_col), F.col(time_col)
     port = F.coalesce(F.col(tcp_col), F.col(udp_col))
-    order = F.when(port.isNotNull(), F.struct(*[F.col(c) for c in order_cols]))
+    # a single (primitive) ordering column keeps the whole aggregate hash-based;
+    # a multi-column order needs a struct, which Spark aggregates by sorting
+    key = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*[F.col(c) for c in order_cols])
+    order = F.when(port.isNotNull(), key)
     agg = packets.groupBy(key_col).agg(
         F.count(ln).alias("_pkts"),
         F.sum(ln).alias("_bytes"),
