@@ -107,3 +107,13 @@ def test_roc_points_drop_intermediate(spark):
     got = sorted((r.threshold is None, r.threshold, r.fpr, r.tpr) for r in M.roc_points(df, "y", "s").collect())
     kept = sorted(t for n, t, _, _ in got if not n)
     assert kept == [0.1, 0.7, 0.9]  # second differences: only 0.7 changes the step
+
+
+def test_shipped_validation_confusions(spark):
+    net = read_csv(spark, fixture_path("network_validation.csv"), "label_bin int, pred int, p_net double")
+    c = M.confusion(net, "label_bin", "pred").first()
+    assert (c.tn, c.fp, c.fn, c.tp) == (1380, 3, 0, 1470)
+    assert round(M.with_rates(M.confusion(net, "label_bin", "pred")).first().accuracy, 5) == 0.99895
+    sysv = read_csv(spark, fixture_path("syscall_synthetic_validation.csv"), "label int, pred int, p_sys double")
+    c = M.confusion(sysv, "label", "pred").first()
+    assert (c.tn, c.fp, c.fn, c.tp) == (50, 0, 0, 50)
