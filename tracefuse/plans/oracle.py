@@ -202,6 +202,26 @@ ps AS (SELECT t[1] AS container, TRY_CAST(t[2] AS BIGINT) AS ts_s, lower(t[3]) A
                    WHEN len(t) < 3 THEN 'short' WHEN TRY_CAST(t[2] AS BIGINT) IS NULL THEN 'bad_time'
                    ELSE 'ok' END AS status FROM sp)"""
 
+RUNTIME = ALIASES + """,
+k AS (SELECT range AS container, CAST(range >= 5 AS INTEGER) AS label FROM range(12)),
+e AS (SELECT user_id % 10 AS container, a.feature FROM events JOIN a ON a.name = events.event_type),
+c AS (SELECT container, """ + EVENT_WIDE + """ FROM e GROUP BY container),
+ss AS (SELECT k.container AS base, k.label,
+              CASE WHEN COALESCE(c.total_events, 0.0) > 0
+                   THEN (COALESCE(c.evt_write, 0.0) + COALESCE(c.evt_openat, 0.0)) / c.total_events
+                   ELSE 0.0 END AS p_sys
+       FROM k LEFT JOIN c ON c.container = k.container),
+ns AS (SELECT l_suppkey AS network_base,
+              CAST(COUNT(CASE WHEN l_discount > 0 THEN l_quantity END) AS DOUBLE) AS pkts FROM lineitem GROUP BY l_suppkey),
+br AS (SELECT range AS base, (range * 7) % 13 + 1 AS network_base FROM range(12)),
+rt AS (SELECT br.base, br.network_base, ss.label, ss.p_sys, ns.pkts / (ns.pkts + 100.0::DOUBLE) AS p_net
+       FROM br JOIN ss ON ss.base = br.base JOIN ns ON ns.network_base = br.network_base),
+rf AS (SELECT *, CAST(p_sys >= 0.5 AS INTEGER) AS pred_syscall, CAST(p_net >= 0.5 AS INTEGER) AS pred_network,
+              CASE WHEN p_sys >= 0.6 THEN 1 WHEN p_net >= 0.5 AND p_sys >= 0.1 THEN 1 ELSE 0 END AS pred_hybrid FROM rt),
+ru AS (SELECT label AS y, 'syscall' AS model, pred_syscall AS pred FROM rf UNION ALL
+       SELECT label, 'network', pred_network FROM rf UNION ALL
+       SELECT label, 'hybrid', pred_hybrid FROM rf)"""
+
 ORACLE: dict[str, str] = {
     "detector_metrics": f"WITH {FUSED}, cm AS (SELECT model, {CONF} FROM u GROUP BY model) "
                         f"SELECT model, tn, fp, fn, tp, {RATES} FROM cm",
@@ -374,6 +394,10 @@ ORACLE: dict[str, str] = {
          0.0::DOUBLE AS proto_arp, 0.0::DOUBLE AS proto_icmp, 0.0::DOUBLE AS "proto_ipv6-icmp",
          0.0::DOUBLE AS proto_proto, CAST(tcp AS DOUBLE) AS proto_tcp, CAST(udp AS DOUBLE) AS proto_udp
   FROM feat""",
+    "runtime_hybrid_detection": f"""WITH {RUNTIME}
+  SELECT base, network_base, label, p_sys, p_net, pred_syscall, pred_network, pred_hybrid FROM rf""",
+    "runtime_hybrid_metrics": f"""WITH {RUNTIME}, cm AS (SELECT model, {CONF} FROM ru GROUP BY model)
+  SELECT model, tn, fp, fn, tp, {RATES} FROM cm""",
     "dedup_and_constant_columns": f"""WITH {TRAINING},
   r AS ({_report_rows()})
   SELECT "column", (SELECT COUNT(*) FROM lineitem) AS rows_before, (SELECT COUNT(*) FROM d) AS rows_after,

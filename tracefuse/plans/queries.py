@@ -248,6 +248,32 @@ def packet_features(spark, sf):
     return out.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
 
 
+def _runtime_chain(spark, sf):
+    """E1 on whole tables: event counts -> p_sys, packet flows -> p_net, bridge, fuse."""
+    ev = S.events(spark, sf).select((F.col("user_id") % 10).alias("container"),
+                                    F.col("event_type").alias("syscall"))
+    mapped = counting.map_syscalls(ev, "syscall", S.EVENT_ALIASES, S.EVENT_CONTRACT)
+    feats = counting.count_features(mapped, ["container"], S.EVENT_CONTRACT, keys=_declared_keys(spark))
+    sys_scores = feats.select(
+        F.col("container").alias("base"), "label",
+        safe_div(F.col("evt_write") + F.col("evt_openat"), F.col("total_events")).alias("p_sys"))
+    flows_ = flows.packet_features(S.packets(spark, sf), key_col="capture", order_cols=S.PACKET_ORDER)
+    net_scores = flows_.select(F.col("capture").alias("network_base"),
+                               (F.col("pkts") / (F.col("pkts") + F.lit(100.0))).alias("p_net"))
+    bridge = _declared_keys(spark).select(
+        F.col("container").alias("base"), ((F.col("container") * 7) % 13 + 1).alias("network_base"))
+    return pairing.pair_predictions(sys_scores, net_scores, bridge, sys_order=["base"],
+                                    net_order=["network_base"], bridge_max_rows=100_000)
+
+
+def runtime_hybrid_detection(spark, sf):
+    return _runtime_chain(spark, sf)
+
+
+def runtime_hybrid_metrics(spark, sf):
+    return metrics.detector_metrics(_runtime_chain(spark, sf), "label", PREDS)
+
+
 # ---- training preparation and sampling --------------------------------------------------
 
 def dedup_and_constant_columns(spark, sf):
@@ -368,6 +394,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_features_per_container": top_features_per_container,
     "nonzero_features": nonzero_features,
     "packet_features": packet_features,
+    "runtime_hybrid_detection": runtime_hybrid_detection,
+    "runtime_hybrid_metrics": runtime_hybrid_metrics,
     "dedup_and_constant_columns": dedup_and_constant_columns,
     "training_prep": training_prep,
     "stratified_split": stratified_split,
