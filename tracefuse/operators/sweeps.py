@@ -99,18 +99,21 @@ def threshold_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: st
     c = (dense.select("cs", "cn", F.sum("h1").over(down_s).alias("r1"), F.sum("h0").over(down_s).alias("r0"))
          .select(F.col("cs").alias("x"), F.col("cn").alias("b"),
                  F.sum("r1").over(down_n).alias("c1"), F.sum("r0").over(down_n).alias("c0")))
+    # class sizes = C(-1, -1), the largest suffix sum; carried on every row of
+    # this (steps+2)^2-row table so no extra join is needed to attach them
+    everything = Window.partitionBy()
+    c = c.withColumns({"n1": F.max("c1").over(everything), "n0": F.max("c0").over(everything)})
     grid = spark.range(k * k * k).select(
         div(idx, k * k).alias("a"), (div(idx, k) % k).alias("bn"), (idx % k).cast("int").alias("f"))
 
-    def lookup(frame: DataFrame, x: Column, b: Column, name: str) -> DataFrame:
+    def lookup(frame: DataFrame, x: Column, b: Column, name: str, extra=()) -> DataFrame:
         look = F.broadcast(c.select(F.col("x").alias("_lx"), F.col("b").alias("_lb"),
-                                    F.col("c1").alias(f"{name}1"), F.col("c0").alias(f"{name}0")))
+                                    F.col("c1").alias(f"{name}1"), F.col("c0").alias(f"{name}0"), *extra))
         return frame.join(look, (x == F.col("_lx")) & (b == F.col("_lb")), "inner").drop("_lx", "_lb")
 
-    t = lookup(grid, F.col("a"), F.lit(-1), "ca")
+    t = lookup(grid, F.col("a"), F.lit(-1), "ca", extra=("n1", "n0"))
     t = lookup(t, F.col("f"), F.col("bn"), "cf")
     t = lookup(t, F.col("a"), F.col("bn"), "cab")
-    t = lookup(t, F.lit(-1), F.lit(-1), "n")
 
     def fused(cls: str) -> Column:
         return (F.col(f"ca{cls}") + F.when(F.col("f") < F.col("a"), F.col(f"cf{cls}") - F.col(f"cab{cls}"))
