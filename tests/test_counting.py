@@ -1,10 +1,8 @@
 """Event parsing, alias mapping, counting, detection windows and alignment."""
 
-import csv
 import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import fixture_path

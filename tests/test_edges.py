@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from tracefuse.operators import counting as C
 from tracefuse.operators import metrics as M

@@ -1,7 +1,5 @@
 """Packet flow statistics and network alignment."""
 
-import math
-
 import pytest
 
 from conftest import fixture_path

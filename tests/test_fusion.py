@@ -1,12 +1,9 @@
 """Fusion rule: truth table, legacy rule, the 580-row evaluation golden."""
 
-import math
-
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import fixture_path
-from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, fuse, probability_band
+from tracefuse.functions.fusion import LEGACY_RULE, fuse, probability_band
 from tracefuse.operators.metrics import detector_metrics
 from tracefuse.sources.readers import read_csv
 

@@ -1,6 +1,5 @@
 """Metrics: exact AUC, ROC points, separation, class report, window recommendation."""
 
-import itertools
 import random
 
 import pytest

@@ -1,10 +1,7 @@
 """Readers and sinks: round trips, multi-file packet scans, manifests."""
 
-import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from tracefuse.operators.flows import network_feature_table
 from tracefuse.sources.readers import read_csv, read_manifest, read_packets
 from tracefuse.sources.sinks import write_table

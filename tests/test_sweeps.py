@@ -3,8 +3,6 @@
 import itertools
 import random
 
-import pytest
-
 from conftest import fixture_path
 from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE
 from tracefuse.operators.sweeps import (best_thresholds, robustness_sweep, rule_agreement,

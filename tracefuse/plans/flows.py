@@ -18,7 +18,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefuse.functions.contracts import NETWORK_CONTRACT, SYSCALL_CONTRACT, WINDOWS
+from tracefuse.functions.contracts import SYSCALL_CONTRACT, WINDOWS
 from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, FusionRule, fuse
 from tracefuse.functions.scalar import label_from_name
 from tracefuse.operators import counting, flows, metrics, models, prep, sampling, sweeps
