@@ -27,3 +27,20 @@ def test_fused_verdicts_on_stream_shape(spark):
     df = spark.createDataFrame([(0.7, 0.1), (0.2, 0.6)], "p_sys double, p_net double")
     got = [r.pred_hybrid for r in fused_verdicts(df).collect()]
     assert got == [1, 1]
+
+
+def test_fused_sink_matches_batch(spark):
+    from tracefuse.plans import standins
+    from tracefuse.streaming.live import start_fused_sink
+    d = sf_dir("0.001")
+    schema = spark.read.parquet(d + "/labels.parquet").schema
+    lab = (spark.readStream.schema(schema).option("pathGlobFilter", "labels.parquet").parquet(d)
+           .select("doc_id", ((F.col("doc_id") * 7919) % 1000 / 1000).alias("p_sys"),
+                   ((F.col("doc_id") * 104729) % 1000 / 1000).alias("p_net")))
+    out = tempfile.mkdtemp(prefix="tf-fused-") + "/out"
+    q = start_fused_sink(lab, out, tempfile.mkdtemp(prefix="tf-ckpt-"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r.doc_id: r.pred_hybrid for r in spark.read.parquet(out).collect()}
+    want = {r.doc_id: r.pred_hybrid for r in fused_verdicts(standins.scores(spark, d)).collect()}
+    assert got == want and len(got) > 0
