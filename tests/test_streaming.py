@@ -44,3 +44,21 @@ def test_fused_sink_matches_batch(spark):
     got = {r.doc_id: r.pred_hybrid for r in spark.read.parquet(out).collect()}
     want = {r.doc_id: r.pred_hybrid for r in fused_verdicts(standins.scores(spark, d)).collect()}
     assert got == want and len(got) > 0
+
+
+def test_windowed_flow_stats_stream(spark):
+    from tracefuse.streaming.live import windowed_flow_stats
+    d = tempfile.mkdtemp(prefix="tf-pkts-")
+    rows = [("cap1", i, 60.0 + i, "6", 80 + i, None, 1000.0 + i * 10) for i in range(12)] + \
+           [("cap2", i, 100.0, "17", None, 53, 1000.0 + i) for i in range(5)]
+    schema = ("file string, ordinal bigint, frame_len double, ip_proto string, tcp_dstport int, "
+              "udp_dstport int, t double")
+    spark.createDataFrame(rows, schema).write.parquet(d + "/p")
+    stream = spark.readStream.schema(schema).parquet(d + "/p")
+    stats = windowed_flow_stats(stream, window="60 seconds", watermark="0 seconds")
+    q = (stats.writeStream.outputMode("update").format("memory").queryName("tf_flows")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tf-ckpt-")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("select file, sum(pkts) as pkts, min(dport) as dport from tf_flows group by file").collect()
+    assert {r.file: (r.pkts, r.dport) for r in got} == {"cap1": (12.0, 80.0), "cap2": (5.0, 53.0)}

@@ -15,7 +15,8 @@ from tracefuse.operators.counting import align
 def packet_features(packets: DataFrame, key_col: str = "file", len_col: str = "frame_len",
                     proto_col: str = "ip_proto", tcp_col: str = "tcp_dstport",
                     udp_col: str = "udp_dstport", time_col: str = "t",
-                    order_cols: Sequence[str] = ("ordinal",)) -> DataFrame:
+                    order_cols: Sequence[str] = ("ordinal",),
+                    extra_keys: Sequence[str] = ()) -> DataFrame:
     """One row of flow features per capture.
 
     * ``pkts`` counts rows with a length; ``bytes``/``sum`` their total;
@@ -25,6 +26,7 @@ def packet_features(packets: DataFrame, key_col: str = "file", len_col: str = "f
     * ``proto_tcp`` / ``proto_udp``: some row's protocol field equals exactly
       ``"6"`` / ``"17"`` (a ``"6,17"`` field matches neither); ``proto_arp`` 0.
     * ``dport``: first non-null port in packet order, tcp before udp per row.
+    * ``extra_keys``: further grouping columns (e.g. an event-time window).
 
     Every aggregate is algebraic (count/sum/min/max/avg/stddev/min_by), so a
     capture holding a third of all packets is combined map-side.
@@ -35,7 +37,7 @@ def packet_features(packets: DataFrame, key_col: str = "file", len_col: str = "f
     # a multi-column order needs a struct, which Spark aggregates by sorting
     key = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*[F.col(c) for c in order_cols])
     order = F.when(port.isNotNull(), key)
-    agg = packets.groupBy(key_col).agg(
+    agg = packets.groupBy(key_col, *extra_keys).agg(
         F.count(ln).alias("_pkts"),
         F.sum(ln).alias("_bytes"),
         F.avg(ln).alias("_mean"),
@@ -53,7 +55,7 @@ def packet_features(packets: DataFrame, key_col: str = "file", len_col: str = "f
     dur = F.when(F.col("_nt") > 1, F.col("_span")).otherwise(F.lit(0.0))
     rate = safe_div(F.col("_pkts"), dur)
     return agg.select(
-        key_col,
+        key_col, *extra_keys,
         F.coalesce(F.col("_dport"), F.lit(0)).cast("double").alias("dport"),
         pkts.alias("pkts"),
         bytes_.alias("bytes"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracefuse.functions.contracts import SYSCALL_ALIASES
 from tracefuse.functions.fusion import CURRENT_RULE, FusionRule, fuse
 from tracefuse.operators.counting import map_syscalls
+from tracefuse.operators.flows import packet_features
 
 
 def windowed_counts(events: DataFrame, key_col: str = "container", ts_col: str = "ts",
@@ -36,6 +37,22 @@ def windowed_counts(events: DataFrame, key_col: str = "container", ts_col: str =
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def windowed_flow_stats(packets: DataFrame, key_col: str = "file", time_col: str = "t",
+                        window: str = "1 minute", watermark: str = "2 minutes",
+                        order_cols=("ordinal",)) -> DataFrame:
+    """Per (capture, event-time window) flow statistics of a packet stream.
+
+    The float epoch time becomes a ``timestamp`` for the watermark; all
+    aggregates are the batch ones (algebraic, so the state per group is a
+    fixed-size buffer, evicted once the watermark passes the window end).
+    """
+    p = (packets.withColumn("_ts", F.timestamp_seconds(F.col(time_col)))
+         .withWatermark("_ts", watermark)
+         .withColumn("window", F.window("_ts", window)))
+    return packet_features(p, key_col=key_col, time_col=time_col, order_cols=order_cols,
+                           extra_keys=["window"])
+
+
 def fused_verdicts(scores: DataFrame, rule: FusionRule = CURRENT_RULE) -> DataFrame:
     """Stateless fusion of a stream of paired scores (p_sys, p_net)."""
     return fuse(scores, rule=rule)
