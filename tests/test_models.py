@@ -45,3 +45,15 @@ def test_save_load_round_trip(spark):
     a = sorted(r.p for r in MD.score(m, df, ["id"], "y").collect())
     b = sorted(r.p for r in MD.score(again, df, ["id"], "y").collect())
     assert a == b
+
+
+def test_population_std_scaling(spark):
+    rows = [(float(x), int(x > 2)) for x in range(6)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    pipe = MD.logistic_regression(["x"], "y", weight_col=None, n_rows=6, max_iter=5)
+    model = pipe.fit(df)
+    scaled = model.stages[2].transform(model.stages[1].transform(model.stages[0].transform(df)))
+    vals = sorted(r.features[0] for r in scaled.collect())
+    mean = sum(range(6)) / 6
+    pop = (sum((x - mean) ** 2 for x in range(6)) / 6) ** 0.5
+    assert all(abs(v - (x - mean) / pop) < 1e-9 for v, x in zip(vals, range(6)))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,22 @@ def logistic_regression(feature_cols: Sequence[str], label: str, weight_col: str
 
     C = 1 in the reference objective corresponds to regParam = 1 / sum(weights);
     balanced weights sum to N, so regParam = 1 / N when ``n_rows`` is given.
+    MLlib's scaler divides by the sample standard deviation; with ``n_rows``
+    a constant factor sqrt(n / (n - 1)) turns that into the population one,
+    so the penalty acts on the same scale as in the reference.
     """
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
-                            regParam=(1.0 / n_rows) if n_rows else 0.0, elasticNetParam=0.0,
-                            standardization=False, **({"weightCol": weight_col} if weight_col else {}))
-    return Pipeline(stages=[_assembler(feature_cols, "raw_features"), scaler, lr])
+    stages = [_assembler(feature_cols, "raw_features"),
+              StandardScaler(inputCol="raw_features", outputCol="scaled" if n_rows and n_rows > 1 else "features",
+                             withMean=True, withStd=True)]
+    if n_rows and n_rows > 1:
+        factor = math.sqrt(n_rows / (n_rows - 1))
+        stages.append(ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(feature_cols)),
+                                         inputCol="scaled", outputCol="features"))
+    stages.append(LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
+                                     regParam=(1.0 / n_rows) if n_rows else 0.0, elasticNetParam=0.0,
+                                     standardization=False,
+                                     **({"weightCol": weight_col} if weight_col else {})))
+    return Pipeline(stages=stages)
 
 
 def random_forest(feature_cols: Sequence[str], label: str, weight_col: str | None = "weight",
