@@ -79,8 +79,12 @@ def test_windowed_evaluation_on_shipped_windows(spark):
     assert off <= {"N10"}
     full = tagged.filter("window_tag = 'full'")
     model = MD.random_forest(feats, "label", weight_col=None, num_trees=10, max_depth=4).fit(full)
-    wm, rec = flows.windowed_evaluation(model, tagged, "container", "label")
-    rows = {r.window_tag: r for r in wm.collect()}
+    ref = spark.createDataFrame([("rf", 0.95)], "model string, f1 double")
+    ev = flows.windowed_evaluation(model, tagged, "container", "label", reference=ref)
+    rows = {r.window_tag: r for r in ev["metrics"].collect()}
     assert set(rows) == {"N3", "N5", "N10", "N15", "full"}
     assert all(r.tn + r.fp + r.fn + r.tp == 10 for r in rows.values())
-    assert rec.first().recommended_seconds in (3, 5, 10, 15)
+    assert ev["recommended"].first().recommended_seconds in (3, 5, 10, 15)
+    assert ev["breakdown"].count() == 10
+    d = ev["reference_delta"].first()
+    assert abs(d.delta - (0.95 - rows["full"].f1)) < 1e-12

@@ -119,8 +119,26 @@ def synthetic_evaluation(scores: DataFrame, y: str = "y_true", rule: FusionRule
 
 
 def windowed_evaluation(model: PipelineModel, tagged: DataFrame, key_col: str, label: str,
-                        seconds: Mapping[str, int | None] = WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """Score every window's features with one model -> (per-window metrics, recommended window)."""
+                        seconds: Mapping[str, int | None] = WINDOWS, full_tag: str = "full",
+                        reference: DataFrame | None = None) -> dict:
+    """Score every window's features with one model.
+
+    Returns per-window ``metrics``, the ``recommended`` window, the
+    per-container ``breakdown`` of the full window, the scored ``predictions``
+    and, when a reference metrics row (``model``, ``f1``) is given, the
+    ``reference_delta`` of F1 against the full window.
+    """
     scored = models.score(model, tagged, ["window_tag", key_col], label)
     wm = metrics.window_metrics(scored, "y", "pred", "p")
-    return wm, metrics.recommended_window(wm, seconds)
+    out = {
+        "metrics": wm,
+        "recommended": metrics.recommended_window(wm, seconds),
+        "breakdown": metrics.row_breakdown(scored.filter(F.col("window_tag") == full_tag),
+                                           [key_col], "y", "pred", "p"),
+        "predictions": scored,
+    }
+    if reference is not None:
+        full = wm.filter(F.col("window_tag") == full_tag).select(
+            F.lit(reference.first()["model"]).alias("model"), "f1")
+        out["reference_delta"] = metrics.reference_delta(reference.select("model", "f1"), full)
+    return out

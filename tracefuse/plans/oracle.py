@@ -348,6 +348,14 @@ ORACLE: dict[str, str] = {
   rw AS (SELECT wm.window_tag, {_div('2 * tp', '2 * tp + fp + fn')} AS f1, separation FROM wm)
   SELECT CAST(COALESCE(MIN(CASE WHEN f1 >= 0.7 AND separation >= 0.4 THEN sec.n END), 15) AS INTEGER) AS recommended_n
   FROM rw LEFT JOIN sec USING (window_tag)""",
+    "window_breakdown": f"""WITH {WINDOW_SCORES}
+  SELECT container, y, p AS score, pred,
+         CASE WHEN y = 1 THEN 'Malicious' ELSE 'Benign' END AS true_label,
+         CASE WHEN pred = 1 THEN 'Malicious' ELSE 'Benign' END AS predicted,
+         CASE WHEN pred = 1 THEN 'MALICIOUS' ELSE 'BENIGN' END AS verdict,
+         CAST(y = pred AS INTEGER) AS correct, CAST(y = 0 AND pred = 1 AS INTEGER) AS fp,
+         CAST(y = 1 AND pred = 0 AS INTEGER) AS fn
+  FROM wp WHERE window_tag = 'full'""",
     "schema_align": f"""WITH {STRACE_LONG}
   SELECT container, CAST(SUM(n) AS DOUBLE) AS total_events,
          CAST(COALESCE(SUM(n) FILTER (WHERE feature = 'evt_click'), 0) AS DOUBLE) AS evt_click,

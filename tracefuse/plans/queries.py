@@ -188,6 +188,11 @@ def recommended_window(spark, sf):
         "recommended_seconds", "recommended_n")
 
 
+def window_breakdown(spark, sf):
+    full = _window_scores(spark, sf).filter(F.col("window_tag") == "full")
+    return metrics.row_breakdown(full, ["container"], "y", "pred", "p")
+
+
 def _strace_long(spark, sf):
     ev = S.events(spark, sf).select((F.col("user_id") % 10).alias("container"),
                                     F.col("event_type").alias("syscall"))
@@ -387,6 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_window_features": prefix_window_features,
     "window_metrics": window_metrics,
     "recommended_window": recommended_window,
+    "window_breakdown": window_breakdown,
     "schema_align": schema_align,
     "schema_drift_report": schema_drift_report,
     "log_call_counts": log_call_counts,
