@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import fixture_path
-from tracefuse.functions.fusion import LEGACY_RULE, fuse, probability_band
+from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, fuse, probability_band
 from tracefuse.operators.metrics import detector_metrics
 from tracefuse.sources.readers import read_csv
 
@@ -77,3 +77,12 @@ def test_bands_cover_expected_cases(spark):
                                 (0.05, 0.1), (0.05, 0.55), (0.3, 0.2)], "p_sys double, p_net double")
     got = [r.b for r in df.select(probability_band("p_sys", "p_net").alias("b")).collect()]
     assert got == ["A", "B", "C", "D", "E", None, None]
+
+
+def test_band_cases_on_580_rows(spark):
+    from tracefuse.operators.pairing import first_per_key
+    df = _probs(spark).coalesce(1).withColumn("ordinal", F.monotonically_increasing_id())
+    banded = df.withColumn("band", probability_band("p_sys", "p_net")).filter("band is not null")
+    first = first_per_key(banded, ["band"], ["ordinal"], ["p_sys", "p_net"])
+    got = {r.band: r.pred for r in first.select("band", CURRENT_RULE.decide("p_sys", "p_net").alias("pred")).collect()}
+    assert got == {"A": 1, "B": 0, "C": 1, "D": 1, "E": 0}
