@@ -18,11 +18,16 @@ def first_per_key(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[s
 
     Expressed as ``min_by(row, order)``: a partial aggregate, so a key holding
     a third of all rows is combined map-side instead of landing in one task.
-    ``order_cols`` should be a total order; rows with equal order are interchangeable.
+    ``order_cols`` must be a total order within a key (as file order is).
     """
     key_cols = list(key_cols)
     values = list(value_cols) if value_cols is not None else [
         c for c in df.columns if c not in key_cols]
+    if len(order_cols) == 1:
+        # one primitive ordering: a min_by per column keeps fixed-width buffers,
+        # so Spark can hash-aggregate (a struct buffer forces a sort aggregate)
+        order = F.col(order_cols[0])
+        return df.groupBy(*key_cols).agg(*[F.min_by(F.col(c), order).alias(c) for c in values])
     row = F.struct(*[F.col(c) for c in values])
     order = F.struct(*[F.col(c) for c in order_cols])
     return (df.groupBy(*key_cols).agg(F.min_by(row, order).alias("_first"))
