@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracefuse.functions.scalar import predict
 from tracefuse.operators.metrics import confusion, roc_auc, with_rates
+from tracefuse.session import cut_lineage
 
 
 def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
@@ -100,7 +101,11 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], label: str,
 
 
 def evaluate(scored: DataFrame, model_name: str, p: str = "p") -> DataFrame:
-    """Metrics row for one scored set: rates + exact ROC-AUC."""
+    """Metrics row for one scored set: rates + exact ROC-AUC.
+
+    The narrow scored table is frozen once so the confusion counts and the AUC
+    do not each re-run the model over the features."""
+    scored = cut_lineage(scored)
     m = with_rates(confusion(scored.withColumn("model", F.lit(model_name)), "y", "pred", ["model"]))
     auc = roc_auc(scored.withColumn("model", F.lit(model_name)), "y", p, ["model"]).select("model", "roc_auc")
     return m.join(auc, "model", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefuse.functions.contracts import LABEL_CANDIDATES, METADATA_COLUMNS
+from tracefuse.session import cut_lineage
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -98,7 +99,9 @@ def prepare_training(df: DataFrame, label: str) -> PreparedTable:
                if isinstance(f.dataType, T.StringType) and f.name != label]
     x = drop_string_columns(booleans_to_int(df), keep=[label])
     x = x.withColumn(label, F.col(label).try_cast("int"))
-    x = x.dropDuplicates()  # aggregate with map-side combine: hot duplicates collapse early
+    # aggregate with map-side combine (hot duplicates collapse early); frozen
+    # once because the constant check, the output and the fits all read it
+    x = cut_lineage(x.dropDuplicates())
     feats = [c for c in x.columns if c != label]
     const = constant_columns(x, feats)
     kept = [c for c in feats if c not in const]
@@ -110,10 +113,11 @@ def column_report(df: DataFrame, label: str) -> DataFrame:
     """Per numeric column after de-duplication: rows before/after, non-null
     count, min, max and the constant flag (A16 + P7 as a table)."""
     x = drop_string_columns(booleans_to_int(df), keep=[label])
-    before = df.count()
-    dedup = x.dropDuplicates()
-    feats = [f.name for f in dedup.schema.fields if f.name != label and isinstance(f.dataType, _NUMERIC)]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    # one pass: the de-duplicating aggregate also counts the copies it folds
+    dedup = x.groupBy(*[F.col(f"`{c}`") for c in x.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    feats = [f.name for f in dedup.schema.fields
+             if f.name not in (label, "_copies") and isinstance(f.dataType, _NUMERIC)]
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.sum("_copies").alias("_before")]
     for i, c in enumerate(feats):
         col = F.col(f"`{c}`").cast("double")
         aggs += [F.count(col).alias(f"n{i}"), F.min(col).alias(f"mn{i}"), F.max(col).alias(f"mx{i}")]
@@ -121,7 +125,8 @@ def column_report(df: DataFrame, label: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_nonnull"),
                               F.col(f"mn{i}").alias("min_value"), F.col(f"mx{i}").alias("max_value"))
                      for i, c in enumerate(feats)])
-    out = wide.select(F.col("_rows").alias("rows_after"), F.explode(rows).alias("r"))
+    out = wide.select(F.col("_rows").alias("rows_after"), F.col("_before").cast("bigint").alias("rows_before"),
+                      F.explode(rows).alias("r"))
     is_const = (F.col("r.n_nonnull") == 0) | (F.col("r.min_value") == F.col("r.max_value"))
-    return out.select("r.column", F.lit(before).cast("bigint").alias("rows_before"), "rows_after",
+    return out.select("r.column", "rows_before", "rows_after",
                       "r.n_nonnull", "r.min_value", "r.max_value", is_const.cast("int").alias("is_constant"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tracefuse.operators.ranking import global_rank, top_k_per_group
 
 
-def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
+def _ranked_sizes(ranked: DataFrame, label: str) -> DataFrame:
+    """Class sizes as the largest rank per class (one row per class)."""
+    return ranked.groupBy(label).agg(F.max("rank").alias("class_n"))
 
 
 def stratified_split(df: DataFrame, label: str, order_cols: Sequence[str],
@@ -25,7 +26,8 @@ def stratified_split(df: DataFrame, label: str, order_cols: Sequence[str],
     """Adds ``split`` in {train, test}: the first round(f * n_class) rows of each
     class (by ``order_cols``) are test, preserving class proportions (M1)."""
     ranked = global_rank(df, [label], order_cols)
-    sized = ranked.join(_class_sizes(df, label), label)
+    # class sizes from the frozen ranking (max rank), not a second scan of the source
+    sized = ranked.join(_ranked_sizes(ranked, label), label)
     n_test = F.round(F.col("class_n") * F.lit(float(test_fraction)))
     split = F.when(F.col("rank") <= n_test, "test").otherwise("train")
     return sized.withColumn("split", split).drop("class_n")
@@ -40,10 +42,12 @@ def rebalance_classes(df: DataFrame, label: str, order_cols: Sequence[str], rati
                       bands: Sequence[float] = (0.7, 0.85)) -> DataFrame:
     """Cap every class at floor(ratio * minority size) and split the kept rows
     into train / validation / test by rank bands (M3)."""
-    # one row per class: the minority size is a window over this tiny table
-    sizes = _class_sizes(df, label).withColumn(
+    ranked = global_rank(df, [label], order_cols)
+    # one row per class (from the frozen ranking): the minority size is a
+    # window over this tiny table
+    sizes = _ranked_sizes(ranked, label).withColumn(
         "minority_n", F.min("class_n").over(Window.partitionBy()))
-    ranked = global_rank(df, [label], order_cols).join(sizes, label)
+    ranked = ranked.join(sizes, label)
     keep_n = F.least(F.col("class_n"), F.floor(F.col("minority_n") * F.lit(float(ratio))))
     kept = ranked.withColumn("keep_n", keep_n).filter(F.col("rank") <= F.col("keep_n"))
     b1 = F.round(F.col("keep_n") * F.lit(float(bands[0])))
