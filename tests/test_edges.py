@@ -65,3 +65,19 @@ def test_cluster_settings_scale():
     conf = cluster_settings(100 * 1024 ** 4)
     assert conf["spark.sql.shuffle.partitions"] == "200000"  # 409,600 splits of 256 MB, capped
     assert cluster_settings(1024)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_join_dimension_size_check(spark):
+    from tracefuse.session import has_at_most, join_dimension
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # isolate the explicit check
+    try:
+        fact = spark.range(1000).withColumnRenamed("id", "k")
+        dim = spark.range(50).withColumnRenamed("id", "k")
+        assert has_at_most(dim, 50) and not has_at_most(dim, 49)
+        small = join_dimension(fact, dim, "k", max_rows=100)._jdf.queryExecution().executedPlan().toString()
+        big = join_dimension(fact, dim, "k", max_rows=10)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in small
+        assert "BroadcastHashJoin" not in big
+        assert join_dimension(fact, dim, "k", max_rows=10).count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
