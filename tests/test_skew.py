@@ -54,3 +54,16 @@ def test_hot_key_first_row_and_flows(spark):
     hot = [r for r in rows if r[0] == "hot"]
     assert f["hot"].pkts == len(hot) and f["hot"].bytes == sum(r[2] for r in hot)
     assert f["hot"].dport == 80 and f["hot"].dur == hot[-1][6] - hot[0][6]
+
+
+def test_salted_manifest_join_matches_plain(spark):
+    rows = _events(6000, seed=4)
+    ev = spark.createDataFrame(rows, "container string, ts_s bigint, syscall string").repartition(8)
+    manifest = spark.createDataFrame([("hot", 1000), ("c3", 1010)], "container string, start_ts bigint")
+    mapped = C.map_syscalls(ev, "syscall", contract=SYSCALL_CONTRACT)
+    plain = C.window_features(mapped, manifest, "container", "ts_s", SYSCALL_CONTRACT, {"N10": 10, "full": None})
+    salted = C.window_features(mapped, manifest, "container", "ts_s", SYSCALL_CONTRACT, {"N10": 10, "full": None},
+                               salt_buckets=8)
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefuse.functions.contracts import CALL_GROUP, CALL_PATTERN, SYSCALL_ALIASES
-from tracefuse.session import fixed_table, join_dimension
+from tracefuse.session import fixed_table, has_at_most, join_dimension, salted_join
 
 TOTAL = "total_events"
 
@@ -107,10 +107,21 @@ def count_features(events: DataFrame, key_cols: Sequence[str], contract: Sequenc
 
 
 def attach_start(events: DataFrame, manifest: DataFrame, key_col: str,
-                 start_col: str = "start_ts", manifest_max_rows: int | None = None) -> DataFrame:
-    """Manifest lookup with default (J3): a key missing from the manifest starts at 0."""
+                 start_col: str = "start_ts", manifest_max_rows: int | None = None,
+                 salt_buckets: int | None = None) -> DataFrame:
+    """Manifest lookup with default (J3): a key missing from the manifest starts at 0.
+
+    Broadcast when ``manifest_max_rows`` bounds the manifest; otherwise a
+    shuffle join, salted over ``salt_buckets`` when given (a container with a
+    third of all events is then spread over that many tasks; without it AQE's
+    skew-join splitting is relied on).
+    """
     m = manifest.select(key_col, start_col)
-    out = join_dimension(events, m, key_col, how="left", max_rows=manifest_max_rows)
+    small = manifest_max_rows is not None and has_at_most(m, manifest_max_rows)
+    if salt_buckets and not small:
+        out = salted_join(events, m, key_col, how="left", buckets=salt_buckets)
+    else:
+        out = join_dimension(events, m, key_col, how="left", bounded=small)
     return out.withColumn(start_col, F.coalesce(F.col(start_col), F.lit(0)).cast("bigint"))
 
 
@@ -143,7 +154,8 @@ def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col
                     contract: Sequence[str], windows: Mapping[str, int | None],
                     keys: DataFrame | None = None, feature_col: str = "feature",
                     total: str = "mapped", unit_seconds: int = 1,
-                    manifest_max_rows: int | None = None, restrict: bool = True) -> DataFrame:
+                    manifest_max_rows: int | None = None, restrict: bool = True,
+                    salt_buckets: int | None = None) -> DataFrame:
     """Wide (window_tag, key, contract...) feature tables for every window at once.
 
     With ``keys``, every declared key gets a row per window and (``restrict``)
@@ -153,7 +165,8 @@ def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col
     """
     if keys is not None and restrict:
         events = restrict_to(events, keys, [key_col])
-    ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows)
+    ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows,
+                      salt_buckets=salt_buckets)
     long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds)
     wide = widen(long, ["window_tag", key_col], contract, feature_col, total=total)
     if keys is not None:

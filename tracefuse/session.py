@@ -107,6 +107,22 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
     return fact.join(dim, on, how)
 
 
+def salted_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
+                buckets: int = 16) -> DataFrame:
+    """Shuffle join that spreads a hot key over ``buckets`` tasks.
+
+    For a dimension too large to broadcast while one key may hold a large
+    share of the fact rows: fact rows get a salt in [0, buckets) (row id
+    modulo buckets: stable under task retry, and it separates identical
+    rows), the dimension is replicated once per salt, and the salt joins too.
+    Every fact row still meets each matching dimension row exactly once.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    f = fact.withColumn("_salt", (F.monotonically_increasing_id() % buckets).cast("int"))
+    d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return f.join(d, [*on, "_salt"], how).drop("_salt")
+
+
 def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A small literal lookup table (alias map, contract, declared keys).
 
