@@ -88,3 +88,31 @@ def test_windowed_evaluation_on_shipped_windows(spark):
     assert ev["breakdown"].count() == 10
     d = ev["reference_delta"].first()
     assert abs(d.delta - (0.95 - rows["full"].f1)) < 1e-12
+
+
+def test_detect_from_captures(spark):
+    from tracefuse.functions.contracts import NETWORK_CONTRACT
+    from tracefuse.operators import models as MD
+    sys_schema = "label int, container string, " + ", ".join(f"`{c}` double" for c in SYSCALL_CONTRACT)
+    sys_train = read_tagged_tables(spark, fixture_path("windows"), sys_schema).filter("window_tag = 'full'")
+    sys_model = MD.random_forest(SYSCALL_CONTRACT, "label", weight_col=None, num_trees=5, max_depth=3).fit(sys_train)
+    net_train = spark.read.option("header", True).option("inferSchema", True).csv(
+        fixture_path("runtime_network_aligned.csv"))
+    net_train = net_train.select("label", *[F.col(f"`{c}`").cast("double").alias(c) for c in NETWORK_CONTRACT])
+    net_model = MD.random_forest(NETWORK_CONTRACT, "label", weight_col=None, num_trees=5, max_depth=3).fit(net_train)
+    d = tempfile.mkdtemp(prefix="tf-det-")
+    _write(f"{d}/capture.txt", "".join(f"redis {100 + i % 10} read\n" for i in range(50)) +
+           "".join(f"file-flood {200 + i % 10} write\n" for i in range(500)))
+    _write(f"{d}/manifest.csv", "container,label,start_ts,end_ts\nredis,0,100,115\nfile-flood,1,200,215\n")
+    pk = tempfile.mkdtemp(prefix="tf-detpk-")
+    _write(f"{pk}/benign_web_network.tsv", "".join(f"60\t6\t80\t\t{i}.0\n" for i in range(20)))
+    _write(f"{pk}/mal_flood_network.tsv", "".join(f"1400\t17\t\t53\t{i / 100}\n" for i in range(300)))
+    keys = spark.createDataFrame([("redis", 0), ("file-flood", 1)], "container string, label int")
+    bridge = spark.createDataFrame([("redis", "benign_web"), ("file-flood", "mal_flood"), ("idle", "none")],
+                                   "base string, network_base string")
+    paired, metrics, unmatched = flows.detect_from_captures(spark, f"{d}/capture.txt", f"{d}/manifest.csv", keys,
+                                                            pk, sys_model, net_model, bridge)
+    got = {r.base: r for r in paired.collect()}
+    assert set(got) == {"redis", "file-flood"} and got["file-flood"].label == 1
+    assert all(0.0 <= r.p_sys <= 1.0 and 0.0 <= r.p_net <= 1.0 for r in got.values())
+    assert metrics.count() == 3 and [r.missing_side for r in unmatched.collect()] == ["both"]

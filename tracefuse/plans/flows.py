@@ -4,7 +4,8 @@
 * :func:`strace_features` - directory of ``*.log`` traces -> aligned feature table
 * :func:`network_features` - decoded packet rows -> aligned flow table
 * :func:`train_detector` - prepare, split, fit, evaluate, importances
-* :func:`runtime_detection` - score both signals, pair through a bridge, fuse, evaluate
+* :func:`runtime_detection` - pair scored signals through a bridge, fuse, evaluate
+* :func:`detect_from_captures` - the whole runtime chain from raw capture files and two models
 * :func:`synthetic_evaluation` - paired scores -> metrics, sweeps, rule agreement
 * :func:`windowed_evaluation` - per-window scoring -> metrics and recommended window
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tracefuse.functions.contracts import SYSCALL_CONTRACT, WINDOWS
 from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, FusionRule, fuse
-from tracefuse.functions.scalar import label_from_name
+from tracefuse.functions.scalar import base_name, label_from_name
 from tracefuse.operators import counting, flows, metrics, models, prep, sampling, sweeps
 from tracefuse.operators.pairing import pair_predictions, unmatched_pairs
 from tracefuse.sources import readers
@@ -104,6 +105,27 @@ def runtime_detection(sys_scores: DataFrame, net_scores: DataFrame, bridge: Data
         unmatched_pairs(sys_scores, net_scores, bridge)
 
 
+def detect_from_captures(spark: SparkSession, raw_path: str, manifest_path: str, containers: DataFrame,
+                         packet_dir: str, sys_model: PipelineModel, net_model: PipelineModel,
+                         bridge: DataFrame, rule: FusionRule = CURRENT_RULE,
+                         net_suffixes: Sequence[str] = ("_network.pcap", ".pcap", "_network.tsv", ".tsv"),
+                         window_tag: str = "full") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole runtime chain from raw inputs: sysdig capture -> window
+    features -> syscall model; packet rows -> flow features -> network model;
+    pair through ``bridge(base, network_base)``, fuse, evaluate.
+
+    Returns (paired verdicts, per-model metrics, unmatched bridge rows).
+    """
+    feats, _ = syscall_window_features(spark, raw_path, manifest_path, containers)
+    sys_scores = (models.score(sys_model, feats.filter(F.col("window_tag") == window_tag),
+                               ["container"], "label", out="p_sys")
+                  .select(F.col("container").alias("base"), F.col("y").alias("label"), "p_sys"))
+    net = network_features(spark, packet_dir)
+    net_scores = (models.score(net_model, net, ["file"], "label", out="p_net")
+                  .select(base_name("file", net_suffixes).alias("network_base"), "file", "p_net"))
+    return runtime_detection(sys_scores, net_scores, bridge, ["base"], ["file"], rule)
+
+
 def synthetic_evaluation(scores: DataFrame, y: str = "y_true", rule: FusionRule = CURRENT_RULE) -> dict:
     """Paired (y, p_sys, p_net) scores -> every report of the synthetic study."""
     clean = prep.drop_incomplete(scores, ["p_sys", "p_net", y])
