@@ -116,3 +116,11 @@ def test_detect_from_captures(spark):
     assert set(got) == {"redis", "file-flood"} and got["file-flood"].label == 1
     assert all(0.0 <= r.p_sys <= 1.0 and 0.0 <= r.p_net <= 1.0 for r in got.values())
     assert metrics.count() == 3 and [r.missing_side for r in unmatched.collect()] == ["both"]
+
+
+def test_train_detector_drops_metadata_and_resolves_label(spark):
+    raw = standins.training_rows(spark, sf_dir("0.001")).withColumn("id", F.monotonically_increasing_id()) \
+        .withColumn("folder", F.lit("f1"))
+    det = flows.train_detector(raw, kind="logistic_regression")
+    assert "id" not in det.features and "folder" not in det.features
+    assert det.metrics.count() == 1

@@ -3,7 +3,7 @@
     python -m tracefuse sysdig-features --raw R --manifest M --containers C --out O
     python -m tracefuse strace-features --logs DIR --out O
     python -m tracefuse packet-features --packets DIR --out O
-    python -m tracefuse train --table T --label L [--kind random_forest] --model-out M --out O
+    python -m tracefuse train --table T [--label L] [--kind random_forest] --model-out M --out O
     python -m tracefuse score --model M --table T --key K --label L --out O
     python -m tracefuse fuse --syscall S --network N --bridge B --out O
     python -m tracefuse evaluate --scores S --out O
@@ -99,7 +99,8 @@ def parser() -> argparse.ArgumentParser:
     cmd("sysdig-features", "raw", "manifest", "containers")
     cmd("strace-features", "logs")
     cmd("packet-features", "packets")
-    t = cmd("train", "table", "label", "model-out")
+    t = cmd("train", "table", "model-out")
+    t.add_argument("--label", default=None, help="default: first of label, label_bin, true_label, y")
     t.add_argument("--kind", default="random_forest", choices=["random_forest", "logistic_regression"])
     cmd("score", "model", "table", "key", "label")
     cmd("fuse", "syscall", "network", "bridge")

@@ -71,12 +71,17 @@ class TrainedDetector:
     overfit: DataFrame
 
 
-def train_detector(df: DataFrame, label: str, kind: str = "random_forest",
+def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_forest",
                    test_fraction: float = 0.2, num_trees: int = 200,
                    max_depth: int = 30) -> TrainedDetector:
-    """L10 preparation -> deterministic stratified split -> distributed fit ->
-    metrics on the held-out split, importances, overfit gap."""
+    """Metadata drop (P1) and label resolution (P3) -> L10 preparation ->
+    deterministic stratified split -> distributed fit -> metrics on the
+    held-out split, importances, overfit gap."""
     spark = df.sparkSession
+    df = prep.drop_metadata(df)
+    label = label or prep.resolve_label(df.columns)
+    if label is None:
+        raise ValueError("no label column (label, label_bin, true_label or y)")
     prepared = prep.prepare_training(df, label)
     # deterministic split key: a hash of the prepared row (rows are unique after dedup)
     keyed = prepared.data.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in prepared.features]))
