@@ -124,3 +124,13 @@ def test_train_detector_drops_metadata_and_resolves_label(spark):
     det = flows.train_detector(raw, kind="logistic_regression")
     assert "id" not in det.features and "folder" not in det.features
     assert det.metrics.count() == 1
+
+
+def test_sweep_detectors(spark):
+    raw = standins.training_rows(spark, sf_dir("0.001"))
+    table, best = flows.sweep_detectors(raw, candidates=("logistic_regression", "gradient_boosting"),
+                                        gbt_iterations=3)
+    rows = {r.model: r for r in table.collect()}
+    assert set(rows) == {"logistic_regression", "gradient_boosting"}
+    b = best.first()
+    assert b.f1 == max(r.f1 for r in rows.values())

@@ -4,6 +4,7 @@
 * :func:`strace_features` - directory of ``*.log`` traces -> aligned feature table
 * :func:`network_features` - decoded packet rows -> aligned flow table
 * :func:`train_detector` - prepare, split, fit, evaluate, importances
+* :func:`sweep_detectors` - candidate models side by side, best by F1
 * :func:`runtime_detection` - pair scored signals through a bridge, fuse, evaluate
 * :func:`detect_from_captures` - the whole runtime chain from raw capture files and two models
 * :func:`synthetic_evaluation` - paired scores -> metrics, sweeps, rule agreement
@@ -100,6 +101,33 @@ def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_
                            metrics.overfit_gap(tr, te))
 
 
+def sweep_detectors(df: DataFrame, label: str | None = None, test_fraction: float = 0.2,
+                    candidates: Sequence[str] = ("logistic_regression", "random_forest",
+                                                 "linear_svm", "gradient_boosting"),
+                    num_trees: int = 100, gbt_iterations: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Candidate sweep (L7): prepare once, split once, fit each candidate
+    (every fit distributed), metrics side by side (A17) and the best by F1,
+    first candidate winning ties (K5).  Linear models see standardised
+    inputs, trees raw ones.  Returns (metrics, best)."""
+    df = prep.drop_metadata(df)
+    label = label or prep.resolve_label(df.columns)
+    prepared = prep.prepare_training(df, label)
+    feats = prepared.features
+    keyed = prepared.data.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in feats]))
+    split = sampling.stratified_split(keyed, label, ["_h", *feats], test_fraction)
+    train = models.balanced_weights(split.filter(F.col("split") == "train"), label)
+    test = split.filter(F.col("split") == "test")
+    n = train.count()
+    build = {
+        "logistic_regression": lambda: models.logistic_regression(feats, label, n_rows=n),
+        "random_forest": lambda: models.random_forest(feats, label, num_trees=num_trees),
+        "linear_svm": lambda: models.linear_svm(feats, label),
+        "gradient_boosting": lambda: models.gradient_boosting(feats, label, max_iter=gbt_iterations),
+    }
+    table = models.candidate_sweep(train, test, feats, label, {c: build[c]() for c in candidates})
+    return table, metrics.best_model(table)
+
+
 def runtime_detection(sys_scores: DataFrame, net_scores: DataFrame, bridge: DataFrame,
                       sys_order: Sequence[str], net_order: Sequence[str],
                       rule: FusionRule = CURRENT_RULE) -> tuple[DataFrame, DataFrame, DataFrame]:
