@@ -21,7 +21,8 @@ def test_sysdig_to_window_features(spark):
                                   "port-scan 50 connect\nport-scan 51 socket\nredis x read\n")
     _write(f"{d}/manifest.csv", "container,label,start_ts,end_ts\nredis,0,100,115\nport-scan,1,50,65\n")
     keys = spark.createDataFrame([("redis", 0), ("port-scan", 1), ("idle", 0)], "container string, label int")
-    feats, status = flows.syscall_window_features(spark, f"{d}/capture.txt", f"{d}/manifest.csv", keys)
+    feats, status = flows.syscall_window_features(spark, f"{d}/capture.txt", f"{d}/manifest.csv", keys,
+                                                  validate=True)
     got = {(r.window_tag, r.container): r for r in feats.collect()}
     assert len(got) == 15
     assert got[("N3", "redis")].total_events == 2 and got[("full", "redis")].total_events == 3
@@ -34,7 +35,7 @@ def test_strace_and_packets(spark):
     d = tempfile.mkdtemp(prefix="tf-e2e-")
     _write(f"{d}/mal_file.log", "1 0.1 openat(x) = 3\n1 0.2 openat(y) = 4\n1 0.3 renameat(a, b) = 0\n")
     _write(f"{d}/benign_idle.log", "1 0.1 restart_syscall(<...\n")
-    feats, drift = flows.strace_features(spark, d)
+    feats, drift = flows.strace_features(spark, d, validate=True)
     got = {r.file: r for r in feats.collect()}
     assert got["mal_file.log"].label == 1 and got["mal_file.log"].evt_openat == 2
     assert got["mal_file.log"].total_events == 3  # renameat counted in the total, dropped as a column

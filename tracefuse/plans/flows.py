@@ -32,9 +32,12 @@ PREDS = {"syscall": "pred_syscall", "network": "pred_network", "hybrid": "pred_h
 
 def syscall_window_features(spark: SparkSession, raw_path: str, manifest_path: str,
                             containers: DataFrame, contract: Sequence[str] = SYSCALL_CONTRACT,
-                            windows: Mapping[str, int | None] = WINDOWS) -> tuple[DataFrame, DataFrame]:
+                            windows: Mapping[str, int | None] = WINDOWS,
+                            validate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(features, line_status_counts).  No synthetic fallback: an input with no
-    parseable event is an error, and every row carries ``capture_mode``."""
+    parseable event is an error, and every row carries ``capture_mode``.
+    ``validate`` asserts the contract (P18): column order, no NULL/NaN, and
+    one row per declared container and window."""
     parsed = readers.read_sysdig(spark, raw_path)
     status = parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     ok = readers.require_rows(parsed.filter(F.col("status") == "ok"), raw_path)
@@ -42,11 +45,15 @@ def syscall_window_features(spark: SparkSession, raw_path: str, manifest_path: s
     mapped = counting.map_syscalls(ok, "syscall", contract=contract)
     feats = counting.window_features(mapped, manifest, "container", "ts_s", contract, windows,
                                      keys=containers, manifest_max_rows=1_000_000)
-    return readers.with_capture_mode(feats, "sysdig"), status
+    feats = readers.with_capture_mode(feats, "sysdig")
+    if validate:
+        counting.assert_contract(feats, contract, keep=["window_tag", "container", "label", "capture_mode"],
+                                 expected_rows=containers.count() * len(windows))
+    return feats, status
 
 
-def strace_features(spark: SparkSession, log_dir: str,
-                    contract: Sequence[str] = SYSCALL_CONTRACT) -> tuple[DataFrame, DataFrame]:
+def strace_features(spark: SparkSession, log_dir: str, contract: Sequence[str] = SYSCALL_CONTRACT,
+                    validate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(aligned features, drift report) from archived strace logs (no aliasing;
     ``total_events`` counts every extracted call, including dropped ones)."""
     calls = readers.require_rows(readers.read_strace_logs(spark, log_dir), log_dir)
@@ -54,8 +61,10 @@ def strace_features(spark: SparkSession, log_dir: str,
     long = counting.long_counts(mapped, ["file"])
     wide = counting.widen(long, ["file"], contract, total="all")
     wide = wide.withColumn("label", label_from_name("file", "syscall"))
-    return wide.select("file", "label", *[F.col(f"`{c}`") for c in contract]), \
-        counting.drift_report(long, contract, key_col="file")
+    wide = wide.select("file", "label", *[F.col(f"`{c}`") for c in contract])
+    if validate:
+        counting.assert_contract(wide, contract, keep=["file", "label"])
+    return wide, counting.drift_report(long, contract, key_col="file")
 
 
 def network_features(spark: SparkSession, packet_dir: str) -> DataFrame:
