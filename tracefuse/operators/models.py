@@ -27,6 +27,7 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> D
     sizes = sizes.withColumns({"_n": F.sum("_n_c").over(Window.partitionBy()),
                                "_k": F.count(F.lit(1)).over(Window.partitionBy())})
     w = (F.col("_n") / (F.col("_k") * F.col("_n_c"))).alias(weight_col)
+    # one row per class (bounded by the number of classes) -> broadcast
     return df.join(F.broadcast(sizes.select(label, w)), label)
 
 

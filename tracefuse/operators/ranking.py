@@ -51,8 +51,11 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
     before = Window.partitionBy(*part_cols).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_BLK, *part_cols, *[
         F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-    # offsets has at most (#blocks + #groups) rows: proven small -> broadcast
-    joined = blk.join(F.broadcast(offsets), [_BLK, *part_cols], "inner")
+    # offsets has at most #blocks + #groups rows (groups are contiguous in the
+    # range order).  Without groups that is bounded by the block count ->
+    # broadcast; with groups (possibly many) AQE checks the size at run time.
+    offsets = offsets if part_cols else F.broadcast(offsets)
+    joined = blk.join(offsets, [_BLK, *part_cols], "inner")
     within = (Window.partitionBy(_BLK, *part_cols).orderBy(*_order_exprs(order_cols, descending))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select(*[c for c in df.columns], *[
