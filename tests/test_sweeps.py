@@ -33,6 +33,7 @@ def test_threshold_grid_golden(spark):
     assert sw.filter("tp = 460 and fp = 0").count() == 46
     best = best_thresholds(sw).first()
     assert (best.tp, best.fp, best.recall) == (460, 0, 1.0)
+    assert (best.sys_hi, best.net_hi, best.sys_floor) == (0.55, 0.45, 0.0)
 
 
 def _brute(rows, steps=4):
