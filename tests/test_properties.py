@@ -35,3 +35,33 @@ def test_rank_property(spark, rows):
     for g in {g for g, _ in rows}:
         ordered = sorted(o for gg, o in rows if gg == g)
         assert [got[(g, o)] for o in ordered] == list(range(1, len(ordered) + 1))
+
+
+NAMES = ["read", "open", "accept4", "clone3", "zzz"]
+FEAT = {"read": "evt_read", "open": "evt_openat", "accept4": "evt_accept", "clone3": "evt_clone"}
+
+
+@SETTINGS
+@given(events=st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(90, 130),
+                                 st.sampled_from(NAMES)), min_size=1, max_size=80),
+       starts=st.dictionaries(st.sampled_from(["a", "b"]), st.integers(95, 115)))
+def test_window_features_property(spark, events, starts):
+    from tracefuse.functions.contracts import SYSCALL_CONTRACT
+    from tracefuse.operators import counting as C
+    ev = spark.createDataFrame(events, "container string, ts_s bigint, syscall string")
+    manifest = spark.createDataFrame(list(starts.items()) or [("none", 0)], "container string, start_ts bigint")
+    windows = {"N3": 3, "N10": 10, "full": None}
+    out = C.window_features(C.map_syscalls(ev, "syscall", contract=SYSCALL_CONTRACT), manifest,
+                            "container", "ts_s", SYSCALL_CONTRACT, windows)
+    got = {(r.window_tag, r.container): r for r in out.collect()}
+    for tag, lim in windows.items():
+        for c in {e[0] for e in events}:
+            kept = [s for cc, t, s in events if cc == c and s in FEAT
+                    and (lim is None or t - starts.get(c, 0) <= lim)]
+            row = got.get((tag, c))
+            if not kept:
+                assert row is None
+                continue
+            assert row.total_events == len(kept)
+            for name, feat in FEAT.items():
+                assert row[feat] == sum(1 for s in kept if s == name)
