@@ -140,7 +140,8 @@ def roc_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()
     keys = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
     g = _score_groups(src, y, score, keys).withColumn("_one", F.lit(1))
-    r = running_sums(g, keys, ["score"], ["pos", "neg", "_one"], descending=True)
+    # read three times below (totals, next-group lookup, points): frozen once
+    r = cut_lineage(running_sums(g, keys, ["score"], ["pos", "neg", "_one"], descending=True))
     # group totals = the last running sums; taken from the frozen blocks, so the
     # source is not scanned a second time
     totals = r.groupBy(*keys).agg(F.max("cum_pos").alias("n_pos"), F.max("cum_neg").alias("n_neg"))
