@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracefuse.functions.fusion import CURRENT_RULE, FusionRule
 from tracefuse.functions.scalar import clip01, nan_to_null, predict, safe_div
 from tracefuse.operators.metrics import detector_metrics
+from tracefuse.session import cut_lineage
 
 # FIXED VALUES: observation window (seconds) -> confidence scale of the shrink study.
 SHRINK_GRID: tuple[tuple[int, float], ...] = ((5, 0.25), (10, 0.50), (15, 0.75), (30, 1.00))
@@ -86,6 +87,8 @@ def threshold_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: st
             .groupBy("cs", "cn")
             .agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("h1"),
                  F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("h0")))
+    # the only pass over the scores; frozen so the lookups below never rescan them
+    hist = cut_lineage(hist)
 
     def div(c, d):
         return F.floor(c / F.lit(d)).cast("int")
