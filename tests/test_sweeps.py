@@ -65,3 +65,14 @@ def test_rule_agreement(spark):
     assert sum(got.values()) == 580
     assert got.get((1, 0), 0) + got.get((1, 1), 0) == 375
     assert got.get((0, 1), 0) + got.get((1, 1), 0) == 390
+
+
+def test_missing_scores_stay_missing_in_sweep(spark):
+    from tracefuse.functions.scalar import clip01
+    df = spark.createDataFrame([(1, None, 0.9), (1, float("nan"), 0.9), (0, 1.7, -0.2)],
+                               "y int, p_sys double, p_net double")
+    got = [(r.a, r.b) for r in df.select(clip01("p_sys").alias("a"), clip01("p_net").alias("b")).collect()]
+    assert got == [(None, 0.9), (None, 0.9), (1.0, 0.0)]
+    r = {x.n_window: x for x in robustness_sweep(df).collect()}
+    # with p_sys missing, neither the syscall branch nor the corroboration can fire
+    assert r[30].f1_syscall == 0.0 and r[30].f1_hybrid == 0.0

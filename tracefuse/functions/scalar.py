@@ -33,8 +33,10 @@ def safe_div(num, den) -> Column:
 
 
 def clip01(x) -> Column:
-    """Clip to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x)))
+    """Clip to [0, 1] (P22).  NULL and NaN stay missing (``greatest``/``least``
+    skip NULLs, which would turn a missing score into 1.0)."""
+    v = nan_to_null(_c(x))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
 def to_int_or_zero(x) -> Column:
