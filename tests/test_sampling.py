@@ -75,3 +75,10 @@ def test_global_rank_default_blocks_under_aqe(spark):
     for y in (0, 1):
         ordered = sorted((r for r in rows if r[1] == y), key=lambda r: (r[2], r[0]))
         assert [got[r[0]] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_top_k_null_order_matches_spark(spark):
+    rows = [(1, None, i) for i in range(3)] + [(1, float(v), 10 + v) for v in range(20)]
+    df = spark.createDataFrame(rows, "g int, o double, id int").repartition(4)
+    got = sorted(r.id for r in top_k_per_group(df, ["g"], ["o", "id"], 4).collect())
+    assert got == [0, 1, 2, 10]  # NULLs first in ascending order, as Spark orders them

@@ -88,7 +88,9 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
             if not len(b):
                 continue
             cur = b if kept is None else pd.concat([kept, b], ignore_index=True)
-            cur = cur.sort_values(order_cols, ascending=not descending, kind="mergesort")
+            # same NULL placement as the final Spark window (asc: first, desc: last)
+            cur = cur.sort_values(order_cols, ascending=not descending, kind="mergesort",
+                                  na_position="last" if descending else "first")
             kept = cur.groupby(group_cols, dropna=False, sort=False).head(k)
         if kept is not None:
             yield kept
