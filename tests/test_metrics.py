@@ -116,3 +116,13 @@ def test_shipped_validation_confusions(spark):
     sysv = read_csv(spark, fixture_path("syscall_synthetic_validation.csv"), "label int, pred int, p_sys double")
     c = M.confusion(sysv, "label", "pred").first()
     assert (c.tn, c.fp, c.fn, c.tp) == (50, 0, 0, 50)
+
+
+def test_null_group_in_roc_and_window_metrics(spark):
+    rows = [(None, 1, 0.9), (None, 0, 0.2), (None, 1, 0.4), ("w", 1, 0.8), ("w", 0, 0.1)]
+    df = spark.createDataFrame(rows, "window_tag string, y int, p double").withColumn(
+        "pred", (F.col("p") >= 0.5).cast("int"))
+    pts = M.roc_points(df, "y", "p", ["window_tag"])
+    assert pts.filter("window_tag is null").count() == 1 + 3
+    wm = {r.window_tag: r for r in M.window_metrics(df, "y", "pred", "p").collect()}
+    assert wm[None].roc_auc == 1.0 and wm["w"].roc_auc == 1.0

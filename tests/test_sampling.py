@@ -82,3 +82,11 @@ def test_top_k_null_order_matches_spark(spark):
     df = spark.createDataFrame(rows, "g int, o double, id int").repartition(4)
     got = sorted(r.id for r in top_k_per_group(df, ["g"], ["o", "id"], 4).collect())
     assert got == [0, 1, 2, 10]  # NULLs first in ascending order, as Spark orders them
+
+
+def test_null_label_rows_are_kept(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2, i * 7 % 101) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, y int, h int")
+    out = stratified_split(df, "y", ["h", "id"], 0.2)
+    assert out.count() == 100
+    assert out.filter("y is null and split = 'test'").count() == 4  # round(0.2 * 20)

@@ -16,6 +16,16 @@ from tracefuse.operators.ranking import running_sums
 from tracefuse.session import cut_lineage
 
 
+def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (a NULL group is a group)."""
+    keys = list(keys)
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _is(col: str, v: int) -> Column:
     return F.col(col) == F.lit(v)
 
@@ -148,11 +158,11 @@ def roc_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()
     if drop_intermediate:
         nxt = r.select(*keys, (F.col("cum__one") - 1).alias("cum__one"),
                        F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-        r = r.join(nxt, [*keys, "cum__one"], "left")
+        r = _join_on(r, nxt, [*keys, "cum__one"], "left")
         keep = ((F.col("cum__one") == 1) | F.col("_npos").isNull()
                 | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
         r = r.filter(keep)
-    pts = r.join(totals, keys, "inner")
+    pts = _join_on(r, totals, keys, "inner")
     pts = pts.select(*group_cols, safe_div("cum_neg", "n_neg").alias("fpr"),
                      safe_div("cum_pos", "n_pos").alias("tpr"), F.col("score").alias("threshold"))
     origin = totals.select(*group_cols, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
@@ -219,7 +229,7 @@ def window_metrics(scored: DataFrame, y: str, pred: str, score: str,
         F.round(F.avg(F.when(_is(y, 1), s)) - F.avg(F.when(_is(y, 0), s)), 6).alias("separation"))
     m = with_rates(m)
     auc = roc_auc(scored, y, score, [tag_col]).select(tag_col, "roc_auc")
-    return m.join(auc, tag_col, "left").select(
+    return _join_on(m, auc, [tag_col], "left").select(
         tag_col, "tn", "fp", "fn", "tp", *rate_columns().keys(), "roc_auc", "separation")
 
 

@@ -54,8 +54,14 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
     # offsets has at most #blocks + #groups rows (groups are contiguous in the
     # range order).  Without groups that is bounded by the block count ->
     # broadcast; with groups (possibly many) AQE checks the size at run time.
+    offsets = offsets.select(F.col(_BLK).alias("_oblk"), *[F.col(c).alias(f"_o_{c}") for c in part_cols],
+                             *[F.col(f"_off_{c}") for c in sum_cols])
     offsets = offsets if part_cols else F.broadcast(offsets)
-    joined = blk.join(offsets, [_BLK, *part_cols], "inner")
+    # NULL-safe on the group columns: a NULL group is a group, not lost rows
+    cond = F.col(_BLK) == F.col("_oblk")
+    for c in part_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = blk.join(offsets, cond, "inner").drop("_oblk", *[f"_o_{c}" for c in part_cols])
     within = (Window.partitionBy(_BLK, *part_cols).orderBy(*_order_exprs(order_cols, descending))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select(*[c for c in df.columns], *[

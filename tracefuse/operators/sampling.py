@@ -21,13 +21,20 @@ def _ranked_sizes(ranked: DataFrame, label: str) -> DataFrame:
     return ranked.groupBy(label).agg(F.max("rank").alias("class_n"))
 
 
+def _with_sizes(ranked: DataFrame, sizes: DataFrame, label: str) -> DataFrame:
+    """Attach class columns with a NULL-safe join: a NULL label is a class of
+    its own instead of silently losing its rows."""
+    s = sizes.withColumnRenamed(label, "_lbl")
+    return ranked.join(s, ranked[label].eqNullSafe(s["_lbl"]), "inner").drop("_lbl")
+
+
 def stratified_split(df: DataFrame, label: str, order_cols: Sequence[str],
                      test_fraction: float = 0.2) -> DataFrame:
     """Adds ``split`` in {train, test}: the first round(f * n_class) rows of each
     class (by ``order_cols``) are test, preserving class proportions (M1)."""
     ranked = global_rank(df, [label], order_cols)
     # class sizes from the frozen ranking (max rank), not a second scan of the source
-    sized = ranked.join(_ranked_sizes(ranked, label), label)
+    sized = _with_sizes(ranked, _ranked_sizes(ranked, label), label)
     n_test = F.round(F.col("class_n") * F.lit(float(test_fraction)))
     split = F.when(F.col("rank") <= n_test, "test").otherwise("train")
     return sized.withColumn("split", split).drop("class_n")
@@ -47,7 +54,7 @@ def rebalance_classes(df: DataFrame, label: str, order_cols: Sequence[str], rati
     # window over this tiny table
     sizes = _ranked_sizes(ranked, label).withColumn(
         "minority_n", F.min("class_n").over(Window.partitionBy()))
-    ranked = ranked.join(sizes, label)
+    ranked = _with_sizes(ranked, sizes, label)
     keep_n = F.least(F.col("class_n"), F.floor(F.col("minority_n") * F.lit(float(ratio))))
     kept = ranked.withColumn("keep_n", keep_n).filter(F.col("rank") <= F.col("keep_n"))
     b1 = F.round(F.col("keep_n") * F.lit(float(bands[0])))
