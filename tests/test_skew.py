@@ -67,3 +67,16 @@ def test_salted_manifest_join_matches_plain(spark):
     plan = salted._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
+
+
+def test_pre_aggregated_events_give_same_features(spark):
+    rows = _events(5000, seed=8)
+    ev = spark.createDataFrame(rows, "container string, ts_s bigint, syscall string")
+    rolled = ev.groupBy("container", "ts_s", "syscall").count().withColumnRenamed("count", "w")
+    manifest = spark.createDataFrame([("hot", 1000), ("c5", 1012)], "container string, start_ts bigint")
+    windows = {"N10": 10, "full": None}
+    raw = C.window_features(C.map_syscalls(ev, "syscall", contract=SYSCALL_CONTRACT), manifest,
+                            "container", "ts_s", SYSCALL_CONTRACT, windows)
+    pre = C.window_features(C.map_syscalls(rolled, "syscall", contract=SYSCALL_CONTRACT), manifest,
+                            "container", "ts_s", SYSCALL_CONTRACT, windows, weight_col="w")
+    assert sorted(map(tuple, raw.collect()), key=str) == sorted(map(tuple, pre.collect()), key=str)

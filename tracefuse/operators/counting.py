@@ -50,9 +50,12 @@ def map_syscalls(events: DataFrame, name_col: str = "syscall",
     return out
 
 
-def long_counts(events: DataFrame, key_cols: Sequence[str], feature_col: str = "feature") -> DataFrame:
-    """(key..., feature, n): the one heavy aggregation (A4 long form)."""
-    return events.groupBy(*key_cols, feature_col).agg(F.count(F.lit(1)).alias("n"))
+def long_counts(events: DataFrame, key_cols: Sequence[str], feature_col: str = "feature",
+                weight_col: str | None = None) -> DataFrame:
+    """(key..., feature, n): the one heavy aggregation (A4 long form).
+    ``weight_col`` accepts pre-aggregated events (a count per row)."""
+    n = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col).cast("bigint")
+    return events.groupBy(*key_cols, feature_col).agg(n.alias("n"))
 
 
 def widen(long: DataFrame, key_cols: Sequence[str], contract: Sequence[str],
@@ -127,7 +130,7 @@ def attach_start(events: DataFrame, manifest: DataFrame, key_col: str,
 
 def window_long_counts(events: DataFrame, key_col: str, ts_col: str, windows: Mapping[str, int | None],
                        feature_col: str = "feature", start_col: str = "start_ts",
-                       unit_seconds: int = 1) -> DataFrame:
+                       unit_seconds: int = 1, weight_col: str | None = None) -> DataFrame:
     """All detection windows in one pass.
 
     An event belongs to window N when ``ts - start <= N`` (inclusive; events
@@ -137,12 +140,13 @@ def window_long_counts(events: DataFrame, key_col: str, ts_col: str, windows: Ma
     Returns (window_tag, key, feature, n).
     """
     elapsed = F.col(ts_col) - F.col(start_col)
+    one = F.lit(1) if weight_col is None else F.col(weight_col).cast("bigint")
     tags = list(windows)
     aggs = []
     for tag in tags:
         n = windows[tag]
         cond = F.lit(True) if n is None else elapsed <= F.lit(int(n) * unit_seconds)
-        aggs.append(F.sum(F.when(cond, 1).otherwise(0)).alias(f"_w_{tag}"))
+        aggs.append(F.sum(F.when(cond, one).otherwise(0)).alias(f"_w_{tag}"))
     per = events.groupBy(key_col, feature_col).agg(*aggs)
     stacked = per.select(key_col, feature_col, F.explode(F.array(*[
         F.struct(F.lit(t).alias("window_tag"), F.col(f"_w_{t}").alias("n")) for t in tags
@@ -155,19 +159,22 @@ def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col
                     keys: DataFrame | None = None, feature_col: str = "feature",
                     total: str = "mapped", unit_seconds: int = 1,
                     manifest_max_rows: int | None = None, restrict: bool = True,
-                    salt_buckets: int | None = None) -> DataFrame:
+                    salt_buckets: int | None = None, weight_col: str | None = None) -> DataFrame:
     """Wide (window_tag, key, contract...) feature tables for every window at once.
 
     With ``keys``, every declared key gets a row per window and (``restrict``)
     events of undeclared keys are dropped before counting; pass
     ``restrict=False`` when the keys are derived from the events themselves.
     ``manifest_max_rows`` bounds a manifest read from storage so it can be broadcast.
+    ``weight_col`` accepts events already rolled up per (key, second, name) with
+    a count, which shrinks the join and the shuffle for high-rate captures.
     """
     if keys is not None and restrict:
         events = restrict_to(events, keys, [key_col])
     ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows,
                       salt_buckets=salt_buckets)
-    long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds)
+    long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds,
+                              weight_col=weight_col)
     wide = widen(long, ["window_tag", key_col], contract, feature_col, total=total)
     if keys is not None:
         all_keys = keys.withColumn("window_tag", F.explode(F.array(*[F.lit(t) for t in windows])))
