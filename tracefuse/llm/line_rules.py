@@ -39,7 +39,7 @@ LINE_MIN_DOCS = 10
 #: ... and above this share (per mille) of the host's documents
 LINE_PER_MILLE = 5
 #: a document is depleted when fewer than this percentage of its words is left
-MIN_LEFT_PERCENT = 30
+MIN_LEFT_PERCENT = 20
 #: frequent (host, line) rows are broadcast up to this count (about 40 bytes each)
 BROADCAST_ROWS = 200_000
 

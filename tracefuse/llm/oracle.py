@@ -1,5 +1,134 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+No SQL: op1 (tokenizer merges), op2 (block rules over markup), op5 (banded
+alignment), op6 (a trained network), op8 (XXH64), op9 (Kneser-Ney tables),
+pipeline; tests/llm holds them against brute force.  op10's text_crc32 is
+spelled out bit by bit, as the SQL engine has no CRC function.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from tracefuse.llm import licenses, line_rules, sharding, warc
+from tracefuse.llm.queries import SHARDS
+
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def line_rules_sql() -> str:
+    norm = (f"translate(translate(array_to_string(regexp_extract_all(line, {WORDS}), ' '), "
+            f"'{licenses.UPPER}', '{licenses.UPPER.lower()}'), '123456789', '000000000')")
+    w = line_rules.WINDOW_WORDS
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), {WORDS}) AS words FROM documents),
+lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+real AS (SELECT doc_id, source, line, len(regexp_extract_all(line, {WORDS})) AS n,
+                substr(md5({norm}), 1, 16) AS k
+         FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM real GROUP BY doc_id),
+keys AS (SELECT doc_id, source, k, sum(n) AS n,
+                row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place
+         FROM real GROUP BY doc_id, source, k),
+low AS (SELECT doc_id, min(k) FILTER (place = 1) AS k1, min(k) FILTER (place = 2) AS k2 FROM keys GROUP BY doc_id),
+fam AS (SELECT keys.*, CASE WHEN k <> k1 THEN k1 ELSE coalesce(k2, k) END AS f FROM keys JOIN low USING (doc_id)),
+byfam AS (SELECT source, k, f, count(*)::DOUBLE AS n FROM fam GROUP BY source, k, f),
+spread AS (SELECT source, k, sum(n) AS n, sum(n * n) AS nn FROM byfam GROUP BY source, k),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+often AS (SELECT spread.source, k FROM spread JOIN hosts ON spread.source IS NOT DISTINCT FROM hosts.source
+          WHERE n > {line_rules.LINE_MIN_DOCS}
+            AND n * n > greatest({line_rules.LINE_MIN_DOCS}::DOUBLE, docs * {line_rules.LINE_PER_MILLE} / 1000.0::DOUBLE) * nn),
+gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM fam
+         WHERE EXISTS (SELECT 1 FROM often WHERE often.k = fam.k AND often.source IS NOT DISTINCT FROM fam.source)
+         GROUP BY doc_id),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - {w - 2})) AS i FROM d WHERE len(words) >= {w}),
+wins AS (SELECT starts.doc_id, i, array_to_string(words[i:i + {w - 1}], ' ') AS win FROM starts JOIN d USING (doc_id)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+          FROM (SELECT doc_id, unnest(range(i, i + {w})) AS p FROM twice WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             coalesce(removed_words, 0)::BIGINT AS removed_words
+      FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN gone USING (doc_id)),
+b AS (SELECT *, n_words < {line_rules.MIN_WORDS}
+                OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT 100 * (n_words - removed_words) < {line_rules.MIN_LEFT_PERCENT} * n_words AS kept,
+       removed_words
+FROM b"""
+
+
+def warc_sql() -> str:
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND page_id IS DISTINCT FROM first_id
+            THEN first_id END AS refers_to
+FROM f"""
+
+
+def licenses_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    steps, prev = [], "seq0"
+    for n, (name, ids) in enumerate(licenses.RULES, 1):
+        pattern = "".join(f"<{i}>" for i in ids)
+        steps.append(f"r{n} AS (SELECT *, replace(rest{n - 1}, '{pattern}', '|') AS rest{n}, "
+                     f"(length(rest{n - 1}) - length(replace(rest{n - 1}, '{pattern}', '|'))) // {len(pattern) - 1} AS c{n} "
+                     f"FROM {prev})")
+        prev = f"r{n}"
+    n = len(licenses.RULES)
+    found = " || ".join(f"repeat('{name},', c{i}::BIGINT)" for i, (name, _) in enumerate(licenses.RULES, 1))
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS place FROM (
+    SELECT doc_id, string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}'),
+                                      '\\n|[.;:!?][ \\t\\r\\n]') AS p FROM documents)),
+ids AS (SELECT doc_id, place, id FROM s
+        JOIN known ON known.sentence = trim(regexp_replace(s.sentence, '[^a-z0-9]+', ' ', 'g'))),
+seq AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY place) AS sentence_ids,
+               string_agg('<' || id || '>', '' ORDER BY place) AS rest0 FROM ids GROUP BY doc_id),
+seq0 AS (SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
+                coalesce(rest0, '') AS rest0 FROM documents LEFT JOIN seq USING (doc_id)),
+{", ".join(steps)}
+SELECT doc_id, n_sentences, sentence_ids, rtrim({found}, ',') AS licenses,
+       ({" + ".join(f"c{i}" for i in range(1, n + 1))})::BIGINT AS n_licenses,
+       length(regexp_replace(rest{n}, '[^<]', '', 'g'))::BIGINT AS n_unmatched
+FROM r{n}"""
+
+
+def sharding_sql(shards: int = SHARDS) -> str:
+    def draw(i: int) -> str:
+        return f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{i}'), 1, {sharding.HASH_DIGITS}))::BIGINT"
+
+    def best(n: int) -> str:
+        # list_position gives the first of equal draws: ties go to the smaller shard
+        draws = "[" + ", ".join(draw(i) for i in range(n)) + "]"
+        return f"(list_position({draws}, list_max({draws})) - 1)::INTEGER"
+
+    return f"""
+WITH crc_table AS (
+  SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, _: CASE WHEN c & 1 = 1
+         THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n)),
+tab AS (SELECT list(v ORDER BY n) AS t FROM crc_table),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes,
+             {best(shards)} AS shard, {best(shards + 1)} AS grown_shard FROM documents),
+c AS (SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                                              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS text_crc32
+      FROM d, tab)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM c"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_line_rules": line_rules_sql(),
+    "op4_warc": warc_sql(),
+    "op7_licenses": licenses_sql(),
+    "op10_sharding": sharding_sql(),
+}
