@@ -24,8 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good; it learns from the labelled ones among them."""
-    return quality_net.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that are good with a calibrated probability of a half or more.
+
+    The classifier learns from the labelled documents among those that are left.
+    """
+    return quality_net.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
