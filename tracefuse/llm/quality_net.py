@@ -8,7 +8,7 @@
    result is exact and independent of partitioning, and the table (a few MB
    whatever the corpus) may be broadcast.
 2. A document is pooled: mean and deviation of its word vectors, and the mean
-   product of neighbouring ones.
+   products of vectors one and two tokens apart.
 3. A two-layer numpy network is trained on a bounded sample of labelled
    documents (``MAX_TRAIN``, the documented bound: those with the smallest id
    hashes) and its probabilities are calibrated by one temperature on labelled
@@ -19,16 +19,14 @@ Scores see texts only, never labels, language, source or id.
 
 from __future__ import annotations
 
-import re
-import zlib
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefuse.llm.common import id_crc32, texts
+from tracefuse.llm.common import id_crc32, splitmix64, texts
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -42,58 +40,95 @@ DECAY = 1e-4
 SEED = 7
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
-TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
-_CACHE = 300_000
-_BLOCK = 200_000
+FEATURES = (2 + REACH) * DIMS
+_POOL_BLOCK = 2048
 
 
 def index_vectors() -> np.ndarray:
     """Sparse +1/-1 vector per bucket; the last row (between documents) is zero."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS + 1, DIMS), np.int16)
+    out = np.zeros((BUCKETS + 1, DIMS), np.int8)
     spots = np.argsort(rng.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    signs = rng.choice(np.array([-1, 1], np.int16), (BUCKETS, NONZERO))
+    signs = rng.choice(np.array([-1, 1], np.int8), (BUCKETS, NONZERO))
     np.put_along_axis(out[:BUCKETS], spots, signs, axis=1)
     return out
 
 
-def _bucket(token: str) -> int:
-    if token.isalpha():
-        shape = "U" if len(token) > 1 and token.isupper() else "T" if token[0].isupper() else "l"
-        token = f"{shape}{token.lower()}"
-    elif token.isdigit():
-        token = f"9{min(len(token), 6)}"
-    elif not token.isalnum():
-        token = f".{token[:3]}"
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+@lru_cache(maxsize=1)
+def _signs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sign of the basic plane: class (0 space, 1 letter, 2 figure, 3 mark), lower case, is it upper case."""
+    chars = [chr(c) for c in range(0x10000)]
+    kinds = np.array([0 if c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3 for c in chars], np.uint8)
+    lower = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint64)
+    return kinds, lower, np.array([c.isupper() for c in chars])
 
 
-class _Words(dict):
-    """Buckets of the tokens of a white-space separated word, remembered up to a bound."""
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(_bucket(t) for t in TOKEN.findall(word))
-        if len(self) >= _CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
 
+def token_buckets(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all tokens of some texts, one after the other, and the tokens of each text.
 
-def token_buckets(text: str, words: _Words) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(map(words.__getitem__, text.split())), np.int32)
+    A token is a run of one class of signs.  Letter runs hash by their lower
+    case and shape (lower, title, upper), figures by length, marks by sign and
+    length, so junk that decorates words is told from prose.
+    """
+    kinds, lower, upper = _signs()
+    codes = np.frombuffer("\n".join(batch).encode("utf-32-le", "replace"), "<u4")
+    if not len(codes):
+        return np.empty(0, np.int32), np.zeros(len(batch), np.int64)
+    plane = np.minimum(codes, 0xFFFF)
+    kind = kinds[plane]
+    starts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(codes)))
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    hashes = np.add.reduceat(np.where(codes > 0xFFFF, codes, lower[plane]) * _POWERS[place & 63], starts)
+    capitals = np.add.reduceat(upper[plane].astype(np.int64), starts)
+    shape = np.where((capitals == sizes) & (sizes > 1), 2, np.where(upper[plane[starts]], 1, 0))
+    run = kind[starts]
+    key = np.where(run == 1, hashes * np.uint64(3) + shape.astype(np.uint64),
+                   np.where(run == 2, np.uint64(7) + np.minimum(sizes, 6).astype(np.uint64),
+                            codes[starts].astype(np.uint64) * np.uint64(16) + np.minimum(sizes, 3).astype(np.uint64)))
+    bucket = (splitmix64(key) % np.uint64(BUCKETS)).astype(np.int32)
+    real = run != 0
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in batch])[:-1]])
+    owner = np.searchsorted(begin, starts[real], "right") - 1
+    return bucket[real], np.bincount(owner, minlength=len(batch))
+
+
+def _runs(column):
+    """Texts of a column in runs of about a million signs."""
+    held, n = [], 0
+    for t in texts(column):
+        held.append(t)
+        n += len(t)
+        if n >= 1 << 20:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def pool_texts(column, vectors: np.ndarray) -> np.ndarray:
+    """Feature row of every text of a column."""
+    out = []
+    for run in _runs(column):
+        ids, sizes = token_buckets(run)
+        ends = np.cumsum(sizes)
+        out += [pool(ids[b - n:b], vectors) for b, n in zip(ends.tolist(), sizes.tolist())]
+    return np.array(out, np.float32).reshape(-1, FEATURES)
 
 
 def _add_contexts(ids: np.ndarray, index: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
     """Adds the neighbours' index vectors of every token; documents are REACH separators apart."""
     near = index[ids]
-    context = np.zeros((len(ids), DIMS), np.int32)
+    context = np.zeros_like(near)  # at most 2 * REACH in size: bytes hold it
     for r in range(1, REACH + 1):
         context[r:] += near[:-r]
         context[:-r] += near[r:]
     order = np.argsort(ids, kind="stable")
     names, first = np.unique(ids[order], return_index=True)
-    sums[names] += np.add.reduceat(context[order], first, axis=0)
+    sums[names] += np.add.reduceat(context[order], first, axis=0, dtype=np.int32)
     counts[names] += np.diff(np.append(first, len(ids)))
 
 
@@ -102,20 +137,14 @@ def context_sums(docs: DataFrame) -> DataFrame:
     names = ["bucket", "n", *[f"v{i}" for i in range(DIMS)]]
 
     def run(batches):
-        index, words = index_vectors(), _Words()
+        index = index_vectors()
         sums, counts = np.zeros((BUCKETS + 1, DIMS), np.int64), np.zeros(BUCKETS + 1, np.int64)
-        gap = np.full(REACH, BUCKETS, np.int32)
-        held, size = [], 0
         for b in batches:
-            for text in texts(b.column(0)):
-                ids = token_buckets(text, words)
-                held += [ids, gap]
-                size += len(ids) + REACH
-                if size >= _BLOCK:
-                    _add_contexts(np.concatenate(held), index, sums, counts)
-                    held, size = [], 0
-        if held:
-            _add_contexts(np.concatenate(held), index, sums, counts)
+            for some in _runs(b.column(0)):
+                ids, sizes = token_buckets(some)
+                apart = np.full(len(ids) + REACH * len(sizes), BUCKETS, np.int32)
+                apart[np.arange(len(ids)) + REACH * np.repeat(np.arange(len(sizes)), sizes)] = ids
+                _add_contexts(apart, index, sums, counts)
         used = np.flatnonzero(counts[:BUCKETS])
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), pa.array(counts[used]), *[pa.array(sums[used, i]) for i in range(DIMS)]], names)
@@ -140,20 +169,23 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and deviation of a document's word vectors, mean product of neighbours (zeros if empty)."""
+    """Mean and deviation of a document's word vectors, mean products one and two apart (zeros if empty)."""
     if not len(ids):
-        return np.zeros(3 * DIMS, np.float32)
-    total, square, cross = (np.zeros(DIMS) for _ in range(3))
-    for at in range(0, len(ids), _BLOCK):
-        x = vectors[ids[at:at + _BLOCK + 1]]
-        y = x[:_BLOCK]
-        total += y.sum(axis=0, dtype=np.float64)
-        square += (y * y).sum(axis=0, dtype=np.float64)
-        cross += (x[:-1] * x[1:]).sum(axis=0, dtype=np.float64)
+        return np.zeros(FEATURES, np.float32)
+    total, square, cross = np.zeros(DIMS), np.zeros(DIMS), np.zeros((REACH, DIMS))
+    for at in range(0, len(ids), _POOL_BLOCK):  # short runs: single precision within, double across
+        x = vectors[ids[at:at + _POOL_BLOCK + REACH]]
+        y = x[:_POOL_BLOCK]
+        total += y.sum(axis=0)
+        square += np.einsum("ij,ij->j", y, y)
+        for r in range(1, REACH + 1):
+            z = x[r:_POOL_BLOCK + r]
+            cross[r - 1] += np.einsum("ij,ij->j", x[:len(z)], z)
     n = len(ids)
     mean = total / n
     deviation = np.sqrt(np.maximum(square / n - mean * mean, 0))
-    return np.concatenate([mean, deviation, cross / max(n - 1, 1)]).astype(np.float32)
+    pairs = np.maximum(n - np.arange(1, REACH + 1), 1)[:, None]
+    return np.concatenate([mean, deviation, (cross / pairs).reshape(-1)]).astype(np.float32)
 
 
 class Network:
@@ -227,17 +259,16 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_train: in
     shared = spark.sparkContext.broadcast(vectors)
 
     def run(batches):
-        words = _Words()
         for b in batches:
-            rows = [pool(token_buckets(t, words), shared.value) for t in texts(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(
-                [r.tolist() for r in rows], pa.list_(pa.float32()))], ["doc_id", "quality", "features"])
+            rows = pool_texts(b.column(2), shared.value).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))],
+                                             ["doc_id", "quality", "features"])
 
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     pooled = (joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features array<float>")
               .groupBy("doc_id").agg(F.min(F.struct("quality", "features")).alias("r"))
               .select("doc_id", "r.quality", "r.features").toPandas().sort_values("doc_id"))
-    features = np.array(pooled["features"].tolist(), np.float32).reshape(-1, 3 * DIMS)
+    features = np.array(pooled["features"].tolist(), np.float32).reshape(-1, FEATURES)
     return Network(features, pooled["quality"].to_numpy(np.int64))
 
 
@@ -246,10 +277,9 @@ def _scorer(docs: DataFrame, labels: DataFrame, max_train: int):
     net = train(docs, labels, vectors, max_train)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
-    def score(batch_texts: list[str], words: _Words) -> np.ndarray:
+    def score(column) -> np.ndarray:
         vectors, net = shared.value
-        return net.score(np.array([pool(token_buckets(t, words), vectors) for t in batch_texts],
-                                  np.float32).reshape(-1, 3 * DIMS))
+        return net.score(pool_texts(column, vectors))
 
     return score, net
 
@@ -266,9 +296,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
     score, _ = _scorer(docs, labels, max_train)
 
     def run(batches):
-        words = _Words()
         for b in batches:
-            s = score(texts(b.column(2)), words)
+            s = score(b.column(2))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
@@ -289,8 +318,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     at = docs.columns.index("text")
 
     def run(batches):
-        words = _Words()
         for b in batches:
-            yield b.filter(pa.array(score(texts(b.column(at)), words) >= threshold))
+            yield b.filter(pa.array(score(b.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
