@@ -129,9 +129,12 @@ def test_train_detector_drops_metadata_and_resolves_label(spark):
 
 def test_sweep_detectors(spark):
     raw = standins.training_rows(spark, sf_dir("0.001"))
-    table, best = flows.sweep_detectors(raw, candidates=("logistic_regression", "gradient_boosting"),
-                                        gbt_iterations=3)
+    table, best, model = flows.sweep_detectors(raw, candidates=("logistic_regression", "gradient_boosting"),
+                                               gbt_iterations=3)
     rows = {r.model: r for r in table.collect()}
     assert set(rows) == {"logistic_regression", "gradient_boosting"}
     b = best.first()
     assert b.f1 == max(r.f1 for r in rows.values())
+    # the winner itself comes back, ready to save
+    kinds = {"logistic_regression": "LogisticRegressionModel", "gradient_boosting": "GBTClassificationModel"}
+    assert type(model.stages[-1]).__name__ == kinds[b.model]

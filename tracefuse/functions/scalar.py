@@ -16,14 +16,19 @@ def nan_to_null(x) -> Column:
     return F.nanvl(_c(x), F.lit(None).cast("double"))
 
 
+def above(x, threshold: float) -> Column:
+    """Strict threshold test ``p > t``; NaN and NULL are False."""
+    return F.coalesce(nan_to_null(x) > F.lit(float(threshold)), F.lit(False))
+
+
 def at_least(x, threshold: float) -> Column:
     """Inclusive threshold test; NaN and NULL are False."""
     return F.coalesce(nan_to_null(x) >= F.lit(float(threshold)), F.lit(False))
 
 
-def predict(x, threshold: float = 0.5) -> Column:
-    """Score to class: ``int(p >= t)``."""
-    return at_least(x, threshold).cast("int")
+def predict(x, threshold: float = 0.5, strict: bool = False) -> Column:
+    """Score to class: ``int(p >= t)``, or ``int(p > t)`` when ``strict``."""
+    return (above if strict else at_least)(x, threshold).cast("int")
 
 
 def safe_div(num, den) -> Column:

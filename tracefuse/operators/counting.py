@@ -100,10 +100,11 @@ def count_features(events: DataFrame, key_cols: Sequence[str], contract: Sequenc
                    keys: DataFrame | None = None) -> DataFrame:
     """A1: events (key, feature) -> wide contract table, optionally over all declared keys
     (undeclared keys are dropped before counting, declared keys without events get 0s)."""
+    long = long_counts(events, key_cols, feature_col)
     if keys is not None:
-        events = restrict_to(events, keys, key_cols)
-    wide = widen(long_counts(events, key_cols, feature_col), key_cols, contract,
-                 feature_col, total=total)
+        # counted first: the allow-list meets one row per key and feature, however hot a key is
+        long = restrict_to(long, keys, key_cols)
+    wide = widen(long, key_cols, contract, feature_col, total=total)
     if keys is not None:
         wide = with_all_keys(wide, keys, key_cols, contract)
     return wide
@@ -111,7 +112,7 @@ def count_features(events: DataFrame, key_cols: Sequence[str], contract: Sequenc
 
 def attach_start(events: DataFrame, manifest: DataFrame, key_col: str,
                  start_col: str = "start_ts", manifest_max_rows: int | None = None,
-                 salt_buckets: int | None = None) -> DataFrame:
+                 salt_buckets: int | None = None, salt_cols: Sequence[str] | None = None) -> DataFrame:
     """Manifest lookup with default (J3): a key missing from the manifest starts at 0.
 
     Broadcast when ``manifest_max_rows`` bounds the manifest; otherwise a
@@ -122,7 +123,7 @@ def attach_start(events: DataFrame, manifest: DataFrame, key_col: str,
     m = manifest.select(key_col, start_col)
     small = manifest_max_rows is not None and has_at_most(m, manifest_max_rows)
     if salt_buckets and not small:
-        out = salted_join(events, m, key_col, how="left", buckets=salt_buckets)
+        out = salted_join(events, m, key_col, how="left", buckets=salt_buckets, salt_cols=salt_cols)
     else:
         out = join_dimension(events, m, key_col, how="left", bounded=small)
     return out.withColumn(start_col, F.coalesce(F.col(start_col), F.lit(0)).cast("bigint"))
@@ -169,10 +170,15 @@ def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col
     ``weight_col`` accepts events already rolled up per (key, second, name) with
     a count, which shrinks the join and the shuffle for high-rate captures.
     """
+    # rolled up per (key, second, name) before any join: a hot key reaches the
+    # allow-list and the manifest as one row per second and name
+    one = F.lit(1) if weight_col is None else F.col(weight_col).cast("bigint")
+    events = events.groupBy(key_col, ts_col, feature_col).agg(F.sum(one).alias("_n"))
+    weight_col = "_n"
     if keys is not None and restrict:
         events = restrict_to(events, keys, [key_col])
     ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows,
-                      salt_buckets=salt_buckets)
+                      salt_buckets=salt_buckets, salt_cols=[ts_col, feature_col])
     long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds,
                               weight_col=weight_col)
     wide = widen(long, ["window_tag", key_col], contract, feature_col, total=total)
@@ -261,6 +267,22 @@ def nonzero_features(long: DataFrame, key_cols: Sequence[str], count_col: str =
     return long.groupBy(*key_cols).agg(nz.cast("bigint").alias("nonzero_features"))
 
 
+def contract_report(df: DataFrame, contract: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Contract violations as a table (P18): per contract column whether it stands
+    in its place and how many values are NULL or NaN (all rows if it is absent)."""
+    cols = [c for c in df.columns if c not in keep]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(contract):
+        v = F.col(f"`{c}`").cast("double") if c in cols else F.lit(None).cast("double")
+        aggs.append(F.sum((v.isNull() | F.isnan(v)).cast("bigint")).alias(f"_bad{i}"))
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
+                              F.lit(int(i < len(cols) and cols[i] == c)).alias("in_place"),
+                              F.coalesce(F.col(f"_bad{i}"), F.lit(0)).cast("bigint").alias("n_missing"))
+                     for i, c in enumerate(contract)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def assert_contract(df: DataFrame, contract: Sequence[str], keep: Sequence[str] = (),
                     expected_rows: int | None = None) -> None:
     """Schema contract checks (P18): column order, no NULL/NaN, optional row count.

@@ -79,8 +79,14 @@ def packet_features(packets: DataFrame, key_col: str = "file", len_col: str = "f
     )
 
 
-def network_feature_table(packets: DataFrame, key_col: str = "file", **kw) -> DataFrame:
-    """Flow features aligned to the 23-column contract with a name-derived label."""
+def network_feature_table(packets: DataFrame, key_col: str = "file", keys: DataFrame | None = None,
+                          **kw) -> DataFrame:
+    """Flow features aligned to the 23-column contract with a name-derived label.
+
+    ``keys`` lists the captures: one without a packet gets a row of zeros.
+    """
     feats = packet_features(packets, key_col=key_col, **kw)
+    if keys is not None:
+        feats = keys.select(key_col).join(feats, key_col, "left")  # align() fills the zeros
     feats = feats.withColumn("label", label_from_name(key_col, "network"))
     return align(feats, NETWORK_CONTRACT, keep=[key_col, "label"])

@@ -128,11 +128,16 @@ def roc_auc(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -
     """
     g = _score_groups(df, y, score, group_cols)
     r = running_sums(g, group_cols, ["score"], ["neg"])
-    u2 = F.col("pos") * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg"))
+    # products of counts leave 64 bits at about 2e9 rows a class: exact 38-digit decimals
+    pos, neg, below = (F.col(c).cast("decimal(38,0)") for c in ("pos", "neg", "cum_neg"))
+    two = F.lit(2).cast("decimal(1,0)")
+    u2 = (pos * (two * (below - neg) + neg).cast("decimal(38,0)")).cast("decimal(38,0)")
     agg = r.groupBy(*group_cols).agg(F.sum(u2).alias("u2"), F.sum("pos").alias("n_pos"),
                                       F.sum("neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-                 F.col("u2") / (2 * F.col("n_pos") * F.col("n_neg")))
+                 F.col("u2").cast("double") / (two * (F.col("n_pos").cast("decimal(38,0)")
+                                                    * F.col("n_neg").cast("decimal(38,0)")).cast("decimal(38,0)"))
+               .cast("double"))
     return agg.select(*group_cols, auc.alias("roc_auc"), "n_pos", "n_neg")
 
 
@@ -211,7 +216,7 @@ def accuracy_summary(df: DataFrame, y: str, pred: str, group_cols: Sequence[str]
 
 def window_metrics(scored: DataFrame, y: str, pred: str, score: str,
                    tag_col: str = "window_tag", freeze: bool = True) -> DataFrame:
-    """Per-window metrics table: confusion, rates, ROC-AUC, separation.
+    """Per-window metrics table: confusion, rates, ROC-AUC, separation, unrounded.
 
     The scored table (one row per window and container: an aggregate, far
     smaller than the events) is frozen in the checkpoint folder once, so the
@@ -226,7 +231,7 @@ def window_metrics(scored: DataFrame, y: str, pred: str, score: str,
         _count(_is(y, 0) & _is(pred, 1)).alias("fp"),
         _count(_is(y, 1) & _is(pred, 0)).alias("fn"),
         _count(_is(y, 1) & _is(pred, 1)).alias("tp"),
-        F.round(F.avg(F.when(_is(y, 1), s)) - F.avg(F.when(_is(y, 0), s)), 6).alias("separation"))
+        (F.avg(F.when(_is(y, 1), s)) - F.avg(F.when(_is(y, 0), s))).alias("separation"))
     m = with_rates(m)
     auc = roc_auc(scored, y, score, [tag_col]).select(tag_col, "roc_auc")
     return _join_on(m, auc, [tag_col], "left").select(

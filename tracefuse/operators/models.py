@@ -28,13 +28,24 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> D
                                "_k": F.count(F.lit(1)).over(Window.partitionBy())})
     w = (F.col("_n") / (F.col("_k") * F.col("_n_c"))).alias(weight_col)
     # one row per class (bounded by the number of classes) -> broadcast
-    return df.join(F.broadcast(sizes.select(label, w)), label)
+    # NULL-safe: rows without a label are a class of their own, as in the split, not lost rows
+    sizes = sizes.select(F.col(label).alias("_label"), w)
+    return df.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def _assembler(feature_cols: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="keep")
 
 
+def standardise(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(x - mean) / population sd`` of every column, as the linear models see it (L1)."""
+    n = df.count()
+    stages = logistic_regression(cols, "", n_rows=n).getStages()[:-1]
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    v = vector_to_array(F.col("features"))
+    return out.select(*keep, *[v[i].alias(c) for i, c in enumerate(cols)])
+
+
 def logistic_regression(feature_cols: Sequence[str], label: str, weight_col: str | None = "weight",
                         n_rows: int | None = None, max_iter: int = 1000) -> Pipeline:
     """Standardise then L2 logistic regression (L1, L3).
@@ -60,10 +71,15 @@ def logistic_regression(feature_cols: Sequence[str], label: str, weight_col: str
 
 
 def random_forest(feature_cols: Sequence[str], label: str, weight_col: str | None = "weight",
-                  num_trees: int = 200, max_depth: int = 30, seed: int = 42) -> Pipeline:
-    """Random forest on raw features, sqrt(p) features per split (L4); depth 30 is MLlib's cap."""
+                  num_trees: int = 200, max_depth: int = 30, seed: int = 42, bootstrap: bool = True,
+                  subset: str = "sqrt") -> Pipeline:
+    """Random forest on raw features, sqrt(p) features per split (L4).
+
+    Depth 30 is MLlib's cap, and MLlib merges sibling leaves that predict the
+    same class, so a tree's probability there is that of the merged leaf.
+    """
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
+                                maxDepth=max_depth, featureSubsetStrategy=subset, seed=seed, bootstrap=bootstrap,
                                 **({"weightCol": weight_col} if weight_col else {}))
     return Pipeline(stages=[_assembler(feature_cols), rf])
 
@@ -76,24 +92,36 @@ def gradient_boosting(feature_cols: Sequence[str], label: str, max_iter: int = 1
     return Pipeline(stages=[_assembler(feature_cols), gbt])
 
 
-def linear_svm(feature_cols: Sequence[str], label: str, max_iter: int = 100) -> Pipeline:
-    """Linear SVM candidate on standardised inputs (L6; the RBF kernel has no MLlib form)."""
+def linear_svm(feature_cols: Sequence[str], label: str, max_iter: int = 100,
+               weight_col: str | None = "weight") -> Pipeline:
+    """Linear SVM candidate on standardised inputs with balanced weights (L6; the RBF kernel has no MLlib form)."""
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    svm = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter)
+    svm = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter,
+                    **({"weightCol": weight_col} if weight_col else {}))
     return Pipeline(stages=[_assembler(feature_cols, "raw_features"), scaler, svm])
 
 
+def fill_features(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Every input column of the model: added as 0 where absent, NULL and NaN to 0."""
+    present = set(df.columns)
+    fills = {}
+    for c in model.stages[0].getInputCols():
+        v = F.col(f"`{c}`").cast("double") if c in present else F.lit(None).cast("double")
+        fills[c] = F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
+    return df.withColumns(fills)
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], label: str,
-          threshold: float = 0.5, out: str = "p") -> DataFrame:
-    """Batch scoring: p = P(class 1) and the inclusive ``p >= t`` class.
+          threshold: float = 0.5, out: str = "p", strict: bool = False) -> DataFrame:
+    """Batch scoring: p = P(class 1) and its class (L8): ``p >= t``, or ``p > t`` when ``strict``.
 
-    Models without probabilities (linear SVM) expose the raw margin instead,
+    Missing feature columns and values count as 0.  Models without probabilities (linear SVM) expose the raw margin instead,
     which is rank-equivalent for ROC-AUC.
     """
-    scored = model.transform(df)
+    scored = model.transform(fill_features(model, df))
     if "probability" in scored.columns:
         p = vector_to_array(F.col("probability"))[1]
-        pred = predict(p, threshold)
+        pred = predict(p, threshold, strict=strict)
     else:
         p = vector_to_array(F.col("rawPrediction"))[1]
         pred = F.col("prediction").cast("int")
@@ -106,22 +134,27 @@ def evaluate(scored: DataFrame, model_name: str, p: str = "p") -> DataFrame:
 
     The narrow scored table is frozen once so the confusion counts and the AUC
     do not each re-run the model over the features."""
-    scored = cut_lineage(scored)
-    m = with_rates(confusion(scored.withColumn("model", F.lit(model_name)), "y", "pred", ["model"]))
-    auc = roc_auc(scored.withColumn("model", F.lit(model_name)), "y", p, ["model"]).select("model", "roc_auc")
+    # the name is frozen with it: a literal join key would be folded into a nested-loop join
+    scored = cut_lineage(scored.withColumn("model", F.lit(model_name)))
+    m = with_rates(confusion(scored, "y", "pred", ["model"]))
+    auc = roc_auc(scored, "y", p, ["model"]).select("model", "roc_auc")
     return m.join(auc, "model", "left")
 
 
 def candidate_sweep(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], label: str,
-                    candidates: dict[str, Pipeline], keep: Sequence[str] = ()) -> DataFrame:
+                    candidates: dict[str, Pipeline], keep: Sequence[str] = (),
+                    fitted: dict[str, PipelineModel] | None = None) -> DataFrame:
     """Fit every candidate (each fit distributed), score the test split and
-    return one metrics row per candidate with fit seconds and ordinal (L7, A17)."""
+    return one metrics row per candidate with fit seconds and ordinal (L7, A17).
+    ``fitted`` receives the fitted models by name."""
     spark = train.sparkSession
     rows = None
     for i, (name, pipe) in enumerate(candidates.items()):
         t0 = time.time()
         model = pipe.fit(train)
         fit_s = time.time() - t0
+        if fitted is not None:
+            fitted[name] = model
         m = evaluate(score(model, test, keep, label), name).withColumns(
             {"ordinal": F.lit(i), "fit_seconds": F.lit(round(fit_s, 3))})
         rows = m if rows is None else rows.unionByName(m)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefuse.functions.contracts import LABEL_CANDIDATES, METADATA_COLUMNS
-from tracefuse.session import cut_lineage
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -36,6 +35,18 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(subset))
 
 
+def labelled_concat(parts: Mapping[int, DataFrame], label: str = "label") -> DataFrame:
+    """One table from one table per class: the class becomes ``label``.
+
+    Columns bind by name; a column that one part lacks is NULL there.
+    """
+    out = None
+    for value, part in parts.items():
+        part = part.withColumn(label, F.lit(int(value)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def booleans_to_int(df: DataFrame) -> DataFrame:
     """bool -> int (P5)."""
     return df.select(*[F.col(f"`{f.name}`").cast("int").alias(f.name)
@@ -99,16 +110,28 @@ def prepare_training(df: DataFrame, label: str) -> PreparedTable:
                if isinstance(f.dataType, T.StringType) and f.name != label]
     x = drop_string_columns(booleans_to_int(df), keep=[label])
     x = x.withColumn(label, F.col(label).try_cast("int"))
-    # aggregate with map-side combine (hot duplicates collapse early); frozen
-    # once because the constant check, the output and the fits all read it
-    x = cut_lineage(x.dropDuplicates())
     feats = [c for c in x.columns if c != label]
+    # de-duplication changes no column's extremes: constants are found on the
+    # source in one pruned aggregate, and the de-duplicated table stays lazy
     const = constant_columns(x, feats)
     kept = [c for c in feats if c not in const]
+    x = x.dropDuplicates()
     x = to_numeric_or_zero(x.select(*[F.col(f"`{c}`") for c in kept], label), kept)
     return PreparedTable(x, label, kept, strings, const)
 
 
+def prepare_syscall(df: DataFrame, label: str) -> PreparedTable:
+    """The syscall recipe: features by prefix or name, every row and column kept, blanks to 0."""
+    feats = select_features(df)
+    x = booleans_to_int(df).withColumn(label, F.col(label).try_cast("int"))
+    x = to_numeric_or_zero(x.select(*[F.col(f"`{c}`") for c in feats], label), feats)
+    return PreparedTable(x, label, feats)
+
+
+#: training preparation by signal
+PREPARE = {"network": prepare_training, "syscall": prepare_syscall}
+
+
 def column_report(df: DataFrame, label: str) -> DataFrame:
     """Per numeric column after de-duplication: rows before/after, non-null
     count, min, max and the constant flag (A16 + P7 as a table)."""

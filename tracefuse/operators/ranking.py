@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,27 +80,10 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
                     k: int, rank_col: str = "rank", descending: bool = False) -> DataFrame:
     """First ``k`` rows per group by an explicit total order.
 
-    Each input partition keeps only its local first ``k`` per group (pandas
-    inside the task), so the window that assigns the final rank sees at most
-    ``k x partitions`` rows per group however hot the group is.
+    ``row_number() <= k`` lets Spark keep only the first ``k`` rows of a group
+    in every partition before the shuffle (its window group limit), so a hot
+    group is never gathered.  NULLs come first ascending and last descending;
+    NaN is the largest number.
     """
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    schema = df.schema
-
-    def local_top(batches):
-        kept = None
-        for b in batches:
-            if not len(b):
-                continue
-            cur = b if kept is None else pd.concat([kept, b], ignore_index=True)
-            # same NULL placement as the final Spark window (asc: first, desc: last)
-            cur = cur.sort_values(order_cols, ascending=not descending, kind="mergesort",
-                                  na_position="last" if descending else "first")
-            kept = cur.groupby(group_cols, dropna=False, sort=False).head(k)
-        if kept is not None:
-            yield kept
-
-    pre = df.mapInPandas(local_top, schema)
     w = Window.partitionBy(*group_cols).orderBy(*_order_exprs(order_cols, descending))
-    return (pre.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
-            .filter(F.col(rank_col) <= k))
+    return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).filter(F.col(rank_col) <= k)

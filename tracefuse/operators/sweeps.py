@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracefuse.functions.fusion import CURRENT_RULE, FusionRule
 from tracefuse.functions.scalar import clip01, nan_to_null, predict, safe_div
-from tracefuse.operators.metrics import detector_metrics
 from tracefuse.session import cut_lineage
 
 # FIXED VALUES: observation window (seconds) -> confidence scale of the shrink study.
@@ -23,32 +22,40 @@ def robustness_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: s
     with sd ``(1 - scale) * 0.1``), clip to [0, 1], and report F1 of the
     syscall, network and fused predictors per window (R1, P22).
 
-    Each row is expanded by the (fixed, 4-entry) grid with ``explode`` of a
-    literal array; metrics are one grouped aggregate.  ``noise=False`` is
-    exact; the noisy mode is seeded per row position and not bit-equal to
-    other RNGs.
+    One aggregate holds a (tp, fp, fn) triple of conditional sums per grid
+    point and predictor; only its single result row is expanded.
+    ``noise=False`` is exact; the noisy mode is seeded per row position and not
+    bit-equal to other RNGs.
     """
-    g = F.explode(F.array(*[F.struct(F.lit(int(n)).alias("n_window"),
-                                     F.lit(float(s)).alias("scale")) for n, s in grid]))
-    x = df.select(F.col(y).alias("y"), nan_to_null(p_sys).alias("_s"),
-                  nan_to_null(p_net).alias("_n"), g.alias("_g")).select("y", "_s", "_n", "_g.*")
-    sc = F.col("scale")
-
-    def shrink(c: str, salt: int) -> Column:
-        v = F.lit(0.5) + sc * (F.col(c) - F.lit(0.5))
+    names = ("syscall", "network", "hybrid")
+    x = df.select(F.col(y).cast("int").alias("_y"), nan_to_null(p_sys).alias("_s"), nan_to_null(p_net).alias("_n"))
+
+    def shrink(c: str, scale: float, salt: int) -> Column:
+        v = F.lit(0.5) + F.lit(float(scale)) * (F.col(c) - F.lit(0.5))
         if noise:
-            v = v + F.randn(seed + salt) * (F.lit(1.0) - sc) * F.lit(0.1)
+            v = v + F.randn(seed + salt) * (F.lit(1.0) - F.lit(float(scale))) * F.lit(0.1)
         return clip01(v)
 
-    x = x.withColumns({"ps": shrink("_s", 0), "pn": shrink("_n", 1)})
-    x = x.withColumns({"pred_syscall": predict("ps"), "pred_network": predict("pn"),
-                       "pred_hybrid": rule.decide("ps", "pn")})
-    m = detector_metrics(x, "y", {"syscall": "pred_syscall", "network": "pred_network",
-                                  "hybrid": "pred_hybrid"}, group_cols=["n_window", "scale"])
-    return (m.groupBy("n_window", "scale").pivot("model", ["syscall", "network", "hybrid"])
-            .agg(F.first("f1")).select(
-                "n_window", "scale", F.col("syscall").alias("f1_syscall"),
-                F.col("network").alias("f1_network"), F.col("hybrid").alias("f1_hybrid")))
+    for i, (_, scale) in enumerate(grid):
+        x = x.withColumns({f"_ps{i}": shrink("_s", scale, 2 * i), f"_pn{i}": shrink("_n", scale, 2 * i + 1)})
+        x = x.withColumns({f"_syscall{i}": predict(f"_ps{i}"), f"_network{i}": predict(f"_pn{i}"),
+                           f"_hybrid{i}": rule.decide(f"_ps{i}", f"_pn{i}")})
+    sums = []
+    for i in range(len(grid)):
+        for name in names:
+            for kind, true, pred in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0)):
+                hit = (F.col("_y") == true) & (F.col(f"_{name}{i}") == pred)
+                sums.append(F.coalesce(F.sum(hit.cast("bigint")), F.lit(0)).alias(f"{kind}_{name}{i}"))
+    one = x.filter(F.col("_y").isin(0, 1)).agg(F.count(F.lit(1)).alias("_rows"), *sums).filter(F.col("_rows") > 0)
+
+    def f1(name: str, i: int) -> Column:
+        tp, fp, fn = (F.col(f"{kind}_{name}{i}") for kind in ("tp", "fp", "fn"))
+        return safe_div(2 * tp, 2 * tp + fp + fn)
+
+    points = F.array(*[F.struct(F.lit(int(n)).alias("n_window"), F.lit(float(s)).alias("scale"),
+                                *[f1(name, i).alias(f"f1_{name}") for name in names])
+                       for i, (n, s) in enumerate(grid)])
+    return one.select(F.explode(points).alias("_g")).select("_g.*")
 
 
 def grid_cell(p: str, steps: int) -> Column:
@@ -87,8 +94,6 @@ def threshold_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: st
             .groupBy("cs", "cn")
             .agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("h1"),
                  F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("h0")))
-    # the only pass over the scores; frozen so the lookups below never rescan them
-    hist = cut_lineage(hist)
 
     def div(c, d):
         return F.floor(c / F.lit(d)).cast("int")
@@ -106,6 +111,8 @@ def threshold_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: st
     # this (steps+2)^2-row table so no extra join is needed to attach them
     everything = Window.partitionBy()
     c = c.withColumns({"n1": F.max("c1").over(everything), "n0": F.max("c0").over(everything)})
+    # frozen once: the three lookups below read these (steps+2)^2 rows, not the scores
+    c = cut_lineage(c)
     grid = spark.range(k * k * k).select(
         div(idx, k * k).alias("a"), (div(idx, k) % k).alias("bn"), (idx % k).cast("int").alias("f"))
 

@@ -56,10 +56,12 @@ def strace_features(spark: SparkSession, log_dir: str, contract: Sequence[str] =
                     validate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(aligned features, drift report) from archived strace logs (no aliasing;
     ``total_events`` counts every extracted call, including dropped ones)."""
-    calls = readers.require_rows(readers.read_strace_logs(spark, log_dir), log_dir)
+    files = readers.require_rows(readers.list_files(spark, log_dir, "*.log"), log_dir)
+    calls = readers.read_strace_logs(spark, log_dir)
     mapped = counting.map_syscalls(calls, "syscall", aliases=None)
     long = counting.long_counts(mapped, ["file"])
     wide = counting.widen(long, ["file"], contract, total="all")
+    wide = counting.with_all_keys(wide, files, ["file"], contract)  # a silent log is a row of zeros
     wide = wide.withColumn("label", label_from_name("file", "syscall"))
     wide = wide.select("file", "label", *[F.col(f"`{c}`") for c in contract])
     if validate:
@@ -68,8 +70,9 @@ def strace_features(spark: SparkSession, log_dir: str, contract: Sequence[str] =
 
 
 def network_features(spark: SparkSession, packet_dir: str) -> DataFrame:
-    packets = readers.require_rows(readers.read_packets(spark, packet_dir), packet_dir)
-    return flows.network_feature_table(packets, key_col="file")
+    """One row per capture file, an empty capture included (all zeros)."""
+    files = readers.require_rows(readers.list_files(spark, packet_dir, "*.tsv"), packet_dir)
+    return flows.network_feature_table(readers.read_packets(spark, packet_dir), key_col="file", keys=files)
 
 
 @dataclass
@@ -83,8 +86,9 @@ class TrainedDetector:
 
 def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_forest",
                    test_fraction: float = 0.2, num_trees: int = 200,
-                   max_depth: int = 30) -> TrainedDetector:
-    """Metadata drop (P1) and label resolution (P3) -> L10 preparation ->
+                   max_depth: int = 30, recipe: str = "network") -> TrainedDetector:
+    """``recipe`` names the preparation: ``network`` (de-duplicated, constant columns
+    dropped) or ``syscall`` (every row and every contract column kept).  Metadata drop (P1) and label resolution (P3) -> L10 preparation ->
     deterministic stratified split -> distributed fit -> metrics on the
     held-out split, importances, overfit gap."""
     spark = df.sparkSession
@@ -92,7 +96,7 @@ def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_
     label = label or prep.resolve_label(df.columns)
     if label is None:
         raise ValueError("no label column (label, label_bin, true_label or y)")
-    prepared = prep.prepare_training(df, label)
+    prepared = prep.PREPARE[recipe](df, label)
     # deterministic split key: a hash of the prepared row (rows are unique after dedup)
     keyed = prepared.data.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in prepared.features]))
     split = sampling.stratified_split(keyed, label, ["_h", *prepared.features], test_fraction)
@@ -113,14 +117,16 @@ def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_
 def sweep_detectors(df: DataFrame, label: str | None = None, test_fraction: float = 0.2,
                     candidates: Sequence[str] = ("logistic_regression", "random_forest",
                                                  "linear_svm", "gradient_boosting"),
-                    num_trees: int = 100, gbt_iterations: int = 100) -> tuple[DataFrame, DataFrame]:
+                    num_trees: int = 100, gbt_iterations: int = 100,
+                    recipe: str = "network") -> tuple[DataFrame, DataFrame, PipelineModel]:
     """Candidate sweep (L7): prepare once, split once, fit each candidate
     (every fit distributed), metrics side by side (A17) and the best by F1,
     first candidate winning ties (K5).  Linear models see standardised
-    inputs, trees raw ones.  Returns (metrics, best)."""
+    inputs, trees raw ones.  Returns (metrics, best row, the best fitted model),
+    so the winner can be saved without fitting it again."""
     df = prep.drop_metadata(df)
     label = label or prep.resolve_label(df.columns)
-    prepared = prep.prepare_training(df, label)
+    prepared = prep.PREPARE[recipe](df, label)
     feats = prepared.features
     keyed = prepared.data.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in feats]))
     split = sampling.stratified_split(keyed, label, ["_h", *feats], test_fraction)
@@ -133,8 +139,10 @@ def sweep_detectors(df: DataFrame, label: str | None = None, test_fraction: floa
         "linear_svm": lambda: models.linear_svm(feats, label),
         "gradient_boosting": lambda: models.gradient_boosting(feats, label, max_iter=gbt_iterations),
     }
-    table = models.candidate_sweep(train, test, feats, label, {c: build[c]() for c in candidates})
-    return table, metrics.best_model(table)
+    fitted: dict[str, PipelineModel] = {}
+    table = models.candidate_sweep(train, test, feats, label, {c: build[c]() for c in candidates}, fitted=fitted)
+    best = metrics.best_model(table)
+    return table, best, fitted[best.first()["model"]]
 
 
 def runtime_detection(sys_scores: DataFrame, net_scores: DataFrame, bridge: DataFrame,
@@ -143,6 +151,7 @@ def runtime_detection(sys_scores: DataFrame, net_scores: DataFrame, bridge: Data
     """(paired verdicts, per-model metrics, unmatched bridge rows)."""
     paired = pair_predictions(sys_scores, net_scores, bridge, sys_order=sys_order,
                               net_order=net_order, rule=rule)
+    readers.require_rows(paired, "paired syscall and network scores")
     return paired, metrics.detector_metrics(paired, "label", PREDS), \
         unmatched_pairs(sys_scores, net_scores, bridge)
 

@@ -431,3 +431,92 @@ ORACLE: dict[str, str] = {
          FROM embeddings)
   SELECT rk.y, rk.rank, rk.doc_id, er.vec_id FROM rk JOIN er ON er.y = rk.y AND er.rank = rk.rank""",
 }
+
+MODEL_ROWS = """mr AS (
+  SELECT doc_id, CAST(doc_id % 2 AS DOUBLE) AS x,
+         CASE WHEN doc_id % 2 = 0 THEN CAST(quality AS INTEGER) ELSE 1 - CAST(quality AS INTEGER) END AS y FROM labels)"""
+
+
+def _leaves(p: str) -> str:
+    """Scores per value of x, where p is an expression over the class rate r."""
+    return f"""WITH {MODEL_ROWS}, r AS (SELECT x, COUNT(*) AS n, SUM(y) AS n_pos, AVG(y) AS r FROM mr GROUP BY x)
+  SELECT x, ROUND({p}, 5) AS p, CAST(r >= 0.5 AS INTEGER) AS pred, n, CAST(n_pos AS BIGINT) AS n_pos FROM r"""
+
+
+_CALLS = ORACLE["log_call_counts"][:ORACLE["log_call_counts"].index("  SELECT file, CAST(COUNT(*)")]
+
+ORACLE |= {
+    "packet_line_parse": """WITH p AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN 'short' ELSE 'ok' END AS status, l_linenumber = 7 AS cut,
+         CASE WHEN l_returnflag = 'R' THEN '6' WHEN l_returnflag = 'A' THEN '17' ELSE '6,17' END AS ip_proto,
+         CASE WHEN l_discount > 0 THEN l_quantity END AS frame_len, l_linestatus = 'O' AS open, l_tax > 0 AS taxed,
+         l_shipdate FROM lineitem)
+  SELECT status, ip_proto, COUNT(*) AS n, COUNT(frame_len) AS n_len, SUM(frame_len) AS sum_len,
+         COUNT(*) FILTER (WHERE open) AS n_tcp, COUNT(*) FILTER (WHERE taxed AND NOT cut) AS n_udp,
+         COUNT(l_shipdate) FILTER (WHERE NOT cut) AS n_t
+  FROM p GROUP BY status, ip_proto""",
+    "manifest_parse": """WITH ev AS (SELECT user_id AS container, epoch_us(ts) // 1000000 AS ts_s, event_type FROM events)
+  SELECT 'u' || CAST(container AS VARCHAR) AS container, CAST(container % 3 = 0 AS INTEGER) AS label,
+         MIN(ts_s) AS start_ts, MIN(ts_s) + 86400 AS end_ts FROM ev WHERE event_type = 'signup' GROUP BY container""",
+    "counts_with_silent_files": _CALLS + """,
+  k AS (SELECT CASE WHEN i % 20 >= 15 THEN 'mal_' ELSE 'benign_' END || 'site' || CAST(i AS VARCHAR) || '.log' AS file
+        FROM range(24) t(i)),
+  c AS (SELECT file, COUNT(*) AS n, COUNT(*) FILTER (WHERE feature = 'evt_track') AS a,
+               COUNT(*) FILTER (WHERE feature = 'evt_open') AS b, COUNT(*) FILTER (WHERE feature = 'evt_read') AS d
+        FROM cl GROUP BY file)
+  SELECT k.file, CAST(COALESCE(n, 0) AS DOUBLE) AS total_events, CAST(COALESCE(a, 0) AS DOUBLE) AS evt_track,
+         CAST(COALESCE(b, 0) AS DOUBLE) AS evt_open, CAST(COALESCE(d, 0) AS DOUBLE) AS evt_read,
+         CAST(contains(k.file, 'mal_') AS INTEGER) AS label
+  FROM k LEFT JOIN c USING (file)""",
+    "flows_with_empty_captures": f"""WITH {PACKETS.replace("FROM lineitem)", "FROM lineitem WHERE l_suppkey % 5 <> 0)")},
+  k AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'mal_' ELSE '' END || 'cap' || CAST(s_suppkey AS VARCHAR)
+               || '_network.pcap' AS file FROM supplier)
+  SELECT k.file, CAST(contains(k.file, 'mal_') AS INTEGER) AS label, COALESCE(dport, 0.0::DOUBLE) AS dport,
+         COALESCE(pkts, 0.0::DOUBLE) AS pkts, COALESCE(bytes, 0.0::DOUBLE) AS bytes, COALESCE(dur, 0.0::DOUBLE) AS dur,
+         COALESCE(a_min, 0.0::DOUBLE) AS "min", COALESCE(a_max, 0.0::DOUBLE) AS "max",
+         CAST(COALESCE(tcp, 0) AS DOUBLE) AS proto_tcp, CAST(COALESCE(udp, 0) AS DOUBLE) AS proto_udp
+  FROM k LEFT JOIN feat USING (file)""",
+    "prepared_columns": """SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, COUNT(*) AS n, SUM(l_quantity) AS sum_quantity,
+         CAST(SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_open,
+         'l_quantity,l_discount,l_tax,l_linenumber,is_open' AS features FROM lineitem GROUP BY 1""",
+    "complete_packets": """SELECT CASE WHEN l_returnflag = 'R' THEN '6' WHEN l_returnflag = 'A' THEN '17' ELSE '6,17' END AS ip_proto,
+         COUNT(*) AS n, SUM(l_quantity) AS sum_len FROM lineitem
+  WHERE l_discount > 0 AND l_quantity IS NOT NULL AND l_linenumber <> 7 AND l_shipdate IS NOT NULL GROUP BY 1""",
+    "contract_report": f"""WITH {PACKETS}, n AS (SELECT COUNT(*) AS a, COUNT(frame_len) AS f, COUNT(tcp_dstport) AS t,
+         COUNT(udp_dstport) AS u, COUNT(t) AS w FROM p)
+  SELECT 'frame_len' AS "column", 0 AS position, 1 AS in_place, a - f AS n_missing FROM n
+  UNION ALL SELECT 'tcp_dstport', 1, 0, a - t FROM n UNION ALL SELECT 'udp_dstport', 2, 0, a - u FROM n
+  UNION ALL SELECT 't', 3, 1, a - w FROM n UNION ALL SELECT 'absent', 4, 0, a FROM n""",
+    "presented_metrics": f"WITH {FUSED}, cm AS (SELECT model, {CONF} FROM u GROUP BY model), "
+                         f"m AS (SELECT model, tn, fp, fn, tp, {RATES} FROM cm) "
+                         "SELECT model, tn, fp, fn, tp, " + ", ".join(
+                             f"ROUND({c}, 4) AS {c}" for c in ("accuracy", "precision", "recall", "f1", "fpr", "fnr"))
+                         + " FROM m",
+    "reference_delta": f"""WITH {FUSED}, a AS (SELECT model, {CONF} FROM u GROUP BY model),
+  b AS (SELECT model, {CONF} FROM u WHERE scenario = 0 GROUP BY model),
+  ra AS (SELECT model, {RATES} FROM a), rb AS (SELECT model, {RATES} FROM b)
+  SELECT model, rb.f1 AS reference_f1, ra.f1 AS current_f1, rb.f1 - ra.f1 AS delta FROM ra JOIN rb USING (model)""",
+    "labelled_concat": """SELECT s_suppkey AS key, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment, 0 AS label FROM supplier
+  UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment, 1 FROM customer""",
+    "scaled_features": """WITH m AS (SELECT AVG(c_acctbal) AS a, STDDEV_POP(c_acctbal) AS s, AVG(c_nationkey) AS b,
+         STDDEV_POP(c_nationkey) AS t FROM customer)
+  SELECT c_custkey, ROUND((c_acctbal - a) / s, 4) AS balance, ROUND((c_nationkey - b) / t, 4) AS nation FROM customer, m""",
+    "class_weights": """WITH c AS (SELECT CAST(quality AS INTEGER) AS quality, COUNT(*) AS n FROM labels GROUP BY 1)
+  SELECT quality, CAST(SUM(n) OVER () AS DOUBLE) / (COUNT(*) OVER () * n) AS weight, n FROM c""",
+    "binary_rate_scores": _leaves("r"),
+    "boosted_stage_scores": _leaves("1 / (1 + exp(-2 * (2 * r - 1)))"),
+    "tree_leaf_scores": _leaves("r"),
+    "tree_importance": """SELECT 'x' AS feature, 1.0::DOUBLE AS value, 'importance' AS kind, CAST(1 AS BIGINT) AS rank
+  UNION ALL SELECT 'z', 0.0::DOUBLE, 'importance', 2""",
+    "best_candidate": f"""WITH {MODEL_ROWS}, rates AS (SELECT x, AVG(y) AS score FROM mr GROUP BY x),
+  st AS (SELECT 'logistic_regression' AS model, y, score, CAST(score >= 0.5 AS INTEGER) AS pred FROM mr JOIN rates USING (x)),
+  {AUC_FROM.format(keys="model", src="st")},
+  cm AS (SELECT model, {CONF} FROM st GROUP BY model), m AS (SELECT model, tn, fp, fn, tp, {RATES} FROM cm)
+  SELECT model, 0 AS ordinal, tn, fp, fn, tp, accuracy, f1, roc_auc FROM m JOIN auc USING (model)""",
+    "candidate_overfit": f"""WITH {MODEL_ROWS},
+  r AS (SELECT x, CAST(AVG(y) >= 0.5 AS INTEGER) AS pred FROM mr WHERE doc_id % 5 <> 0 GROUP BY x),
+  h AS (SELECT CAST(COUNT(*) FILTER (WHERE y = pred AND doc_id % 5 <> 0) AS DOUBLE) / COUNT(*) FILTER (WHERE doc_id % 5 <> 0) AS a,
+               CAST(COUNT(*) FILTER (WHERE y = pred AND doc_id % 5 = 0) AS DOUBLE) / COUNT(*) FILTER (WHERE doc_id % 5 = 0) AS b
+        FROM mr JOIN r USING (x))
+  SELECT 'one_tree' AS model, a AS train_accuracy, b AS test_accuracy, a - b AS gap, CAST(a - b > 0.05 AS INTEGER) AS overfit FROM h""",
+}

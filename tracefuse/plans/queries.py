@@ -5,6 +5,7 @@ Column names match the DuckDB oracle in :mod:`tracefuse.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, fuse, probabil
 from tracefuse.functions.scalar import base_name, label_from_name, safe_div
 from tracefuse.operators import counting, flows, metrics, models, pairing, prep, sampling, sweeps
 from tracefuse.plans import standins as S
-from tracefuse.session import fixed_table
-from tracefuse.sources.readers import parse_sysdig
+from tracefuse.session import ensure_checkpoint_dir, fixed_table
+from tracefuse.sources.readers import parse_packets, parse_sysdig, read_manifest
 
 PREDS = {"syscall": "pred_syscall", "network": "pred_network", "hybrid": "pred_hybrid"}
 
@@ -168,7 +169,8 @@ def prefix_window_features(spark, sf):
     mapped = counting.map_syscalls(ev, "syscall", S.EVENT_ALIASES, S.EVENT_CONTRACT)
     # keys are every user seen in the events: no allow-list to apply
     return counting.window_features(mapped, manifest, "container", "ts_s", S.EVENT_CONTRACT,
-                                    S.WINDOW_DAYS, keys=keys, unit_seconds=S.DAY, restrict=False)
+                                    S.WINDOW_DAYS, keys=keys, unit_seconds=S.DAY, restrict=False,
+                                    salt_buckets=16)
 
 
 def _window_scores(spark, sf):
@@ -179,7 +181,8 @@ def _window_scores(spark, sf):
 
 
 def window_metrics(spark, sf):
-    return metrics.window_metrics(_window_scores(spark, sf), "y", "pred", "p")
+    out = metrics.window_metrics(_window_scores(spark, sf), "y", "pred", "p")
+    return out.withColumn("separation", F.round("separation", 6))
 
 
 def recommended_window(spark, sf):
@@ -208,14 +211,18 @@ def schema_drift_report(spark, sf):
     return counting.drift_report(_strace_long(spark, sf), S.STRACE_CONTRACT, key_col="container")
 
 
-def log_call_counts(spark, sf):
+def _page_calls(spark, sf):
     pg = S.table(spark, sf, "pages")
     site = F.col("page_id") % 20
     file = F.concat(F.when(site >= 15, "mal_").otherwise("benign_"), F.lit("site"),
                     site.cast("string"), F.lit(".log"))
     lines = pg.select(file.alias("file"), F.explode(F.split("html", "\n")).alias("line"))
     calls = counting.extract_calls(lines, "line", "syscall")
-    mapped = counting.map_syscalls(calls, "syscall", aliases=None)
+    return counting.map_syscalls(calls, "syscall", aliases=None)
+
+
+def log_call_counts(spark, sf):
+    mapped = _page_calls(spark, sf)
     wide = counting.widen(counting.long_counts(mapped, ["file"]), ["file"], S.PAGE_CONTRACT, total="all")
     return wide.withColumn("label", label_from_name("file", "syscall"))
 
@@ -320,7 +327,7 @@ def pair_within_label(spark, sf):
     return out.select("y", "rank", "doc_id", "vec_id")
 
 
-# ---- MLlib (no SQL oracle: model fits are not SQL) -------------------------------------
+# ---- wide MLlib fits (not SQL; the small fits below are) ---------------------------------
 
 def _ml_split(spark, sf):
     df, cols = S.embedding_rows(spark, sf)
@@ -367,6 +374,149 @@ def overfit_gap(spark, sf):
     return metrics.overfit_gap(tr, te)
 
 
+# ---- complete rows for silent inputs, and the parsers ----------------------------------
+
+def packet_line_parse(spark, sf):
+    p = parse_packets(S.packet_lines(spark, sf))
+    return p.groupBy("status", "ip_proto").agg(
+        F.count(F.lit(1)).alias("n"), F.count("frame_len").alias("n_len"), F.sum("frame_len").alias("sum_len"),
+        F.count("tcp_dstport").alias("n_tcp"), F.count("udp_dstport").alias("n_udp"), F.count("t").alias("n_t"))
+
+
+def manifest_parse(spark, sf):
+    """Manifest lines rendered from events with the columns in another order, bound by name."""
+    _, manifest, keys = S.window_events(spark, sf)
+    rows = manifest.join(keys, "container").select(
+        F.concat(F.lit("u"), F.col("container").cast("string")).alias("container"), "start_ts",
+        (F.col("start_ts") + S.DAY).alias("end_ts"), "label")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    return read_manifest(spark, path)
+
+
+def counts_with_silent_files(spark, sf):
+    """As log_call_counts, over 24 declared logs of which four never made a call."""
+    files = fixed_table(spark, [(f"{'mal_' if i % 20 >= 15 else 'benign_'}site{i}.log",) for i in range(24)], "file string")
+    calls = _page_calls(spark, sf)
+    wide = counting.widen(counting.long_counts(calls, ["file"]), ["file"], S.PAGE_CONTRACT, total="all")
+    return counting.with_all_keys(wide, files, ["file"], S.PAGE_CONTRACT).withColumn(
+        "label", label_from_name("file", "syscall"))
+
+
+def flows_with_empty_captures(spark, sf):
+    """Flow features of every supplier's capture; those of every fifth supplier hold no packet."""
+    packets = S.packets(spark, sf).filter(F.col("capture") % 5 != 0).withColumn(
+        "file", S.capture_file_name("capture"))
+    files = S.table(spark, sf, "supplier").select(S.capture_file_name("s_suppkey").alias("file"))
+    feats = flows.network_feature_table(packets, key_col="file", keys=files, order_cols=S.PACKET_ORDER)
+    return feats.select("file", "label", "dport", "pkts", "bytes", "dur", "min", "max", "proto_tcp", "proto_udp")
+
+
+# ---- preparation and reports as tables ---------------------------------------------------
+
+def prepared_columns(spark, sf):
+    """Metadata dropped, features by prefix, label resolved (P1-P3), summed per label."""
+    raw = S.training_rows(spark, sf).withColumns({"id": F.lit(1), "folder": F.lit("x")})
+    df = prep.drop_metadata(raw)
+    feats, label = prep.select_features(df, "l_", ("is_open",)), prep.resolve_label(df.columns)
+    used = prep.booleans_to_int(prep.drop_string_columns(df.select(*feats, label)))
+    names = F.lit(",".join(c for c in used.columns if c != label))
+    return used.groupBy(F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("sum_quantity"),
+        F.sum("is_open").alias("n_open")).withColumn("features", names)
+
+
+def complete_packets(spark, sf):
+    p = prep.drop_incomplete(S.packets(spark, sf), ["frame_len", "t"])
+    return p.groupBy("ip_proto").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_len").alias("sum_len"))
+
+
+def contract_report(spark, sf):
+    p = S.packets(spark, sf).select("capture", "frame_len", "udp_dstport", "tcp_dstport", "t")
+    return counting.contract_report(p, ["frame_len", "tcp_dstport", "udp_dstport", "t", "absent"], keep=["capture"])
+
+
+def presented_metrics(spark, sf):
+    return metrics.present(detector_metrics(spark, sf))
+
+
+def reference_delta(spark, sf):
+    reference = metrics.detector_metrics(_fused(spark, sf).filter("scenario = 0"), "y", PREDS)
+    return metrics.reference_delta(reference, detector_metrics(spark, sf))
+
+
+def labelled_concat(spark, sf):
+    benign = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
+    bad = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"),
+                                                F.col("c_mktsegment").alias("segment"))
+    return prep.labelled_concat({0: benign, 1: bad})
+
+
+# ---- models that SQL can reproduce -------------------------------------------------------
+
+def scaled_features(spark, sf):
+    c = S.table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"),
+                                              F.col("c_nationkey").cast("double").alias("nation"))
+    out = models.standardise(c, ["balance", "nation"], keep=["c_custkey"])
+    return out.withColumns({"balance": F.round("balance", 4), "nation": F.round("nation", 4)})
+
+
+def class_weights(spark, sf):
+    w = models.balanced_weights(S.table(spark, sf, "labels"), "quality")
+    return w.groupBy(F.col("quality").cast("int").alias("quality"), "weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rates(model, df):
+    scored = models.score(model, df, ["doc_id", "x"], "y")
+    return (scored.groupBy("x", F.round("p", 5).alias("p"), "pred")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos")))
+
+
+def binary_rate_scores(spark, sf):
+    """Unpenalised logistic regression on one binary feature: p is the class rate per value."""
+    df = S.model_rows(spark, sf)
+    return _rates(models.logistic_regression(["x"], "y", weight_col=None).fit(df), df)
+
+
+def boosted_stage_scores(spark, sf):
+    """One boosting stage: p = 1 / (1 + exp(-2 mean(2y - 1))) per leaf."""
+    df = S.model_rows(spark, sf)
+    return _rates(models.gradient_boosting(["x"], "y", max_iter=1, max_depth=1).fit(df), df)
+
+
+def tree_leaf_scores(spark, sf):
+    """One tree without bootstrap: p is the class rate of the leaf."""
+    df = S.model_rows(spark, sf)
+    return _rates(_one_tree(["x"]).fit(df), df)
+
+
+def _one_tree(cols):
+    return models.random_forest(cols, "y", weight_col=None, num_trees=1, max_depth=1, bootstrap=False, subset="all")
+
+
+def tree_importance(spark, sf):
+    df = S.model_rows(spark, sf)
+    out = models.feature_importance(spark, _one_tree(["x", "z"]).fit(df), ["x", "z"])
+    return out.select("feature", "value", "kind", "rank")
+
+
+def best_candidate(spark, sf):
+    df = S.model_rows(spark, sf)
+    table = models.candidate_sweep(df, df, ["x"], "y", {
+        "logistic_regression": models.logistic_regression(["x"], "y", weight_col=None),
+        "gradient_boosting": models.gradient_boosting(["x"], "y", max_iter=1, max_depth=1),
+        "one_tree": _one_tree(["x"])})
+    return metrics.best_model(table).select("model", "ordinal", "tn", "fp", "fn", "tp", "accuracy", "f1", "roc_auc")
+
+
+def candidate_overfit(spark, sf):
+    df = S.model_rows(spark, sf)
+    train, test = df.filter("doc_id % 5 != 0"), df.filter("doc_id % 5 = 0")
+    model = _one_tree(["x"]).fit(train)
+    parts = [models.evaluate(models.score(model, d, [], "y"), "one_tree") for d in (train, test)]
+    return metrics.overfit_gap(*parts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detector_metrics": detector_metrics,
     "confusion_by_model": confusion_by_model,
@@ -413,4 +563,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_sweep": model_sweep,
     "feature_importance": feature_importance,
     "overfit_gap": overfit_gap,
+    "packet_line_parse": packet_line_parse,
+    "manifest_parse": manifest_parse,
+    "counts_with_silent_files": counts_with_silent_files,
+    "flows_with_empty_captures": flows_with_empty_captures,
+    "prepared_columns": prepared_columns,
+    "complete_packets": complete_packets,
+    "contract_report": contract_report,
+    "presented_metrics": presented_metrics,
+    "reference_delta": reference_delta,
+    "labelled_concat": labelled_concat,
+    "scaled_features": scaled_features,
+    "class_weights": class_weights,
+    "binary_rate_scores": binary_rate_scores,
+    "boosted_stage_scores": boosted_stage_scores,
+    "tree_leaf_scores": tree_leaf_scores,
+    "tree_importance": tree_importance,
+    "best_candidate": best_candidate,
+    "candidate_overfit": candidate_overfit,
 }

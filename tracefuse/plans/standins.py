@@ -7,6 +7,8 @@ with the data.  Every stand-in reads whole tables.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,10 +77,15 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).alias("tcp_dstport"),
         F.when(F.col("l_tax") > 0, F.col("l_partkey") + 100000).alias("udp_dstport"),
         F.when(F.col("l_linenumber") != 7, epoch_seconds("l_shipdate").cast("double")).alias("t"),
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+        # packet order (second, order, line, part) packed into one primitive: the
+        # "first port" aggregate then stays hash-based
+        (epoch_seconds("l_shipdate").cast("decimal(11,0)") * F.lit(Decimal(10 ** 26))
+         + F.col("l_orderkey").cast("decimal(13,0)") * F.lit(Decimal(10 ** 13))
+         + F.col("l_linenumber").cast("decimal(2,0)") * F.lit(Decimal(10 ** 11))
+         + F.col("l_partkey").cast("decimal(11,0)")).cast("decimal(38,0)").alias("ordinal"))
 
 
-PACKET_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+PACKET_ORDER = ["ordinal"]
 
 
 def capture_file_name(capture_col: str = "capture") -> F.Column:
@@ -135,3 +142,25 @@ def sysdig_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                             F.col("event_type"), F.lit("\t")))
             .otherwise(F.concat_ws(" ", who, ts, F.col("event_type"))))
     return ev.select(line.alias("value"))
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels as a training table whose models SQL can reproduce: y mostly agrees
+    with quality where x = 0 and mostly disagrees where x = 1."""
+    lab = table(spark, sf_dir, "labels")
+    x, q = (F.col("doc_id") % 2).cast("double"), F.col("quality").cast("int")
+    return lab.select("doc_id", x.alias("x"), (F.col("doc_id") % 3).cast("double").alias("z"),
+                      F.when(x == 0, q).otherwise(1 - q).alias("y"))
+
+
+def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as tab-separated packet lines; every seventh line item is cut to three fields."""
+    li = table(spark, sf_dir, "lineitem")
+    blank = F.lit("")
+    full = [F.when(F.col("l_discount") > 0, F.col("l_quantity").cast("string")).otherwise(blank),
+            F.when(F.col("l_returnflag") == "R", "6").when(F.col("l_returnflag") == "A", "17").otherwise("6,17"),
+            F.when(F.col("l_linestatus") == "O", F.col("l_partkey").cast("string")).otherwise(blank),
+            F.when(F.col("l_tax") > 0, F.col("l_partkey").cast("string")).otherwise("port?"),
+            epoch_seconds("l_shipdate").cast("string")]
+    return li.select(F.when(F.col("l_linenumber") == 7, F.concat_ws("\t", *full[:3]))
+                     .otherwise(F.concat_ws("\t", *full)).alias("value"))

@@ -58,6 +58,11 @@ def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,
     }
 
 
+def _default_scheme(spark: SparkSession) -> str:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return (conf.get("fs.defaultFS") or "file:///").split(":")[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -67,12 +72,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = current or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-        return configured
+        # local-cluster masters run on one machine, where a file: folder is shared
+        if not sc.master.startswith("local") and ("file:" in configured.split("/")[0] or ":" not in configured.split("/")[0]
+                                                  and _default_scheme(spark) == "file"):
+            raise RuntimeError(f"spark.checkpoint.dir must be on a shared file system, not {configured}")
+        if not current:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir() or configured
+        return current
     if sc.master.startswith("local"):
         path = tempfile.mkdtemp(prefix="tracefuse-ckpt-")
         sc.setCheckpointDir(path)
@@ -108,7 +117,7 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                buckets: int = 16) -> DataFrame:
+                buckets: int = 16, salt_cols=None) -> DataFrame:
     """Shuffle join that spreads a hot key over ``buckets`` tasks.
 
     For a dimension too large to broadcast while one key may hold a large
@@ -116,9 +125,12 @@ def salted_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
     modulo buckets: stable under task retry, and it separates identical
     rows), the dimension is replicated once per salt, and the salt joins too.
     Every fact row still meets each matching dimension row exactly once.
+    ``salt_cols`` takes the salt from their hash instead: use it when the fact
+    rows come from a shuffle, whose row order a repeated task need not keep.
     """
     on = [on] if isinstance(on, str) else list(on)
-    f = fact.withColumn("_salt", (F.monotonically_increasing_id() % buckets).cast("int"))
+    salt = F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)) if salt_cols else F.monotonically_increasing_id() % buckets
+    f = fact.withColumn("_salt", salt.cast("int"))
     d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return f.join(d, [*on, "_salt"], how).drop("_salt")
 

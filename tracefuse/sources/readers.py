@@ -6,8 +6,11 @@ return lazy DataFrames; file names come from the ``_metadata`` column.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefuse.functions.contracts import SYSDIG_SENTINEL
 from tracefuse.operators.counting import extract_calls
@@ -18,8 +21,35 @@ PACKET_SCHEMA = ("frame_len double, ip_proto string, tcp_dstport int, udp_dstpor
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Headered CSV with an explicit schema."""
-    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
+    """Headered CSV with an explicit schema (S1), bound by column name.
+
+    Column order in the file does not matter and columns outside ``schema`` are
+    ignored; a missing column is an error, and so is a file whose header
+    differs from the first one's.  Values that do not parse are NULL.  Without
+    a header the schema binds by position.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    if not header:
+        return spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    names = spark.read.option("header", True).csv(path).columns  # reads one line
+    missing = [f.name for f in fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in {names}")
+    # text columns in file order; enforceSchema=False compares every file's header with them
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.select(*[F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name)
+                         if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in fields])
+
+
+def list_files(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    """One row (``file``) per file of a directory, empty ones included; contents are not read.
+
+    The names come from Spark's own file listing: scans skip files of length zero.
+    """
+    paths = spark.read.option("pathGlobFilter", glob).text(directory).inputFiles()
+    names = sorted(unquote(p.rstrip("/").rpartition("/")[2]) for p in paths)
+    return spark.createDataFrame([(n,) for n in names], "file string")
 
 
 def parse_sysdig(lines: DataFrame, value_col: str = "value") -> DataFrame:
@@ -52,32 +82,57 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_strace_logs(spark: SparkSession, directory: str, glob: str = "*.log") -> DataFrame:
     """One key per ``*.log`` file; each line's first call-like name (S3, P10).
-    Malformed bytes decode to replacement characters instead of failing."""
+    A file without a call has no row here; ``list_files`` names it.  Malformed bytes decode to replacement characters instead of failing."""
     lines = (spark.read.option("pathGlobFilter", glob).text(directory)
              .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")))
     return extract_calls(lines, "line", "syscall").select("file", "syscall")
 
 
-def read_packets(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFrame:
-    """Decoded packet rows, tab-separated, one file per capture.
+def parse_packets(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """Tab-separated packet rows (S4) with a ``status``: ``ok`` or ``short`` (under five fields).
 
     Fields: frame length, IP protocol, TCP and UDP destination ports, epoch
-    time; any may be empty (NULL).  ``ordinal`` follows file order: splits of
-    one file are scheduled in offset order, so the id is increasing per file.
+    time; any may be empty or unparseable (NULL).  Further fields are ignored.
+    """
+    part = F.split(F.regexp_replace(F.col(value_col), r"[\r\n]+$", ""), "\t")
+    other = [F.col(c) for c in lines.columns if c != value_col]
+    cols = []
+    for i, field in enumerate(T.StructType.fromDDL(PACKET_SCHEMA).fields):
+        raw = F.nullif(F.trim(F.get(part, i)), F.lit(""))
+        cols.append((raw if isinstance(field.dataType, T.StringType) else raw.try_cast(field.dataType)).alias(field.name))
+    return lines.select(*other, *cols, F.when(F.size(part) < 5, "short").otherwise("ok").alias("status"))
+
+
+def read_packets(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFrame:
+    """Decoded packet rows, one file per capture (S4); rows with under five fields are rejected.
+
+    ``ordinal`` is the packet's place in its file: the byte offset of its split,
+    then the row's number in the task that reads the split.
     """
-    df = (spark.read.schema(PACKET_SCHEMA).option("sep", "\t").option("header", False)
-          .option("pathGlobFilter", glob).csv(path))
-    return df.select(F.col("_metadata.file_name").alias("file"),
-                     F.monotonically_increasing_id().alias("ordinal"), *df.columns)
+    row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(38,0)")
+    place = F.col("_metadata.file_block_start").cast("decimal(27,0)") * F.lit(1 << 33).cast("decimal(10,0)") + row_in_task
+    lines = (spark.read.option("pathGlobFilter", glob).text(path)
+             .select(F.col("_metadata.file_name").alias("file"), place.cast("decimal(38,0)").alias("ordinal"), "value"))
+    return parse_packets(lines).filter(F.col("status") == "ok").drop("status")
 
 
 def read_tagged_tables(spark: SparkSession, directory: str, schema: str,
-                       pattern: str = r"features_([A-Za-z0-9]+)\.csv") -> DataFrame:
+                       pattern: str = r"^features_([A-Za-z0-9]+)\.csv$", glob: str = "features_*.csv") -> DataFrame:
     """Per-window feature files as one table with a ``window_tag`` column.
-    An absent tag simply has no rows."""
-    df = spark.read.schema(schema).option("header", True).csv(directory)
-    tag = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
-    return df.withColumn("window_tag", tag)
+
+    Only files whose whole name matches count; columns bind by name.  An
+    absent tag simply has no rows.
+    """
+    tables = list_files(spark, directory, glob).filter(F.col("file").rlike(pattern))
+    out = None
+    # one small plan per window file (a handful); each file's own header names its columns
+    for name in sorted(r.file for r in tables.collect()):
+        one = read_csv(spark, f"{directory.rstrip('/')}/{name}", schema)
+        one = one.withColumn("window_tag", F.regexp_extract(F.lit(name), pattern, 1))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], schema).withColumn("window_tag", F.lit(""))
+    return out
 
 
 def with_capture_mode(df: DataFrame, mode: str) -> DataFrame:
