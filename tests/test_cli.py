@@ -71,3 +71,23 @@ def test_feature_train_and_score_commands(spark):
           "--label", "label_bin", "--out", f"{d}/scores"], spark=spark)
     sc = spark.read.parquet(f"{d}/scores")
     assert sc.count() == feats_in.count() and sc.filter("p < 0 or p > 1").count() == 0
+
+
+def test_sweep_and_window_evaluate_commands(spark):
+    import os
+    d = tempfile.mkdtemp(prefix="tf-cli-")
+    os.makedirs(f"{d}/w")
+    for tag, shift in (("N3", 0), ("full", 3)):
+        with open(f"{d}/w/features_{tag}.csv", "w") as f:
+            f.write("container,evt_read,label,evt_open,total_events\n")
+            for i in range(40):
+                f.write(f"c{i},{(i % 2) * 5 + i % 3 + shift},{i % 2},{i % 4},{i}\n")
+    main(["sweep", "--table", f"{d}/w/features_full.csv", "--recipe", "syscall", "--model-out", f"{d}/m",
+          "--candidates", "logistic_regression,linear_svm", "--out", f"{d}/s"], spark=spark)
+    table = spark.read.parquet(f"{d}/s/metrics")
+    assert {r.model for r in table.collect()} == {"logistic_regression", "linear_svm"}
+    assert spark.read.parquet(f"{d}/s/best").count() == 1
+    main(["window-evaluate", "--model", f"{d}/m", "--windows", f"{d}/w", "--key", "container", "--label", "label",
+          "--out", f"{d}/e"], spark=spark)
+    assert {r.window_tag for r in spark.read.parquet(f"{d}/e/metrics").collect()} == {"N3", "full"}
+    assert spark.read.parquet(f"{d}/e/breakdown").count() == 40
