@@ -41,3 +41,23 @@ def test_stages_on_planted_documents(lspark, tmp_path):
     out = corpus_pipeline.run(lspark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == good
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_on_edge_rows_and_empty_tables(lspark, tmp_path):
+    """Every stage: NULLs, blank and long texts, repeated rows, clashing columns, an empty table."""
+    from llm.conftest import edge_rows
+
+    lspark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lspark.createDataFrame([(1, None), (2, ""), (3, "the quick brown fox and the lazy dog")],
+                           "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = edge_rows()
+    for docs in (frame(lspark, rows, clash=True), frame(lspark, rows, clash=True).limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(lspark, docs, str(tmp_path))
+            if name != "tokenise":
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            kept = out.count()
+            # without labels the classifier keeps all; no row holds a benchmark passage; all are tokenised
+            assert kept <= n if name in ("quality_rules", "near_dedup") else kept == n, name
+            assert bool(kept) == bool(n)
