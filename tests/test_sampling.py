@@ -90,3 +90,31 @@ def test_null_label_rows_are_kept(spark):
     out = stratified_split(df, "y", ["h", "id"], 0.2)
     assert out.count() == 100
     assert out.filter("y is null and split = 'test'").count() == 4  # round(0.2 * 20)
+
+
+def test_split_by_key_matches_the_ranked_split_and_keeps_copies_together(spark):
+    from tracefuse.operators.sampling import split_by_key, stratified_split
+    df = spark.createDataFrame([(i, (i * 7919) % 10007, None if i % 11 == 0 else i % 3) for i in range(500)],
+                               "id int, h int, y int").repartition(5)
+    want = {r.id: r.split for r in stratified_split(df, "y", ["h"], 0.2).collect()}
+    assert {r.id: r.split for r in split_by_key(df, "y", "h", 0.2).collect()} == want
+    copies = df.withColumn("h", F.when(F.col("y") == 1, F.col("id") % 4).otherwise(F.col("h")))
+    got = split_by_key(copies, "y", "h", 0.2).collect()
+    assert len(got) == 500
+    sides = {}
+    for r in got:
+        sides.setdefault((r.y, r.h), set()).add(r.split)
+    assert all(len(s) == 1 for s in sides.values())
+    assert {r.split for r in split_by_key(df, "y", "h", 0.0).collect()} == {"train"}
+
+
+def test_running_sums_next_and_totals(spark):
+    from tracefuse.operators.ranking import running_sums
+    rows = [(g, float(i), i) for g in ("a", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, o double, v int").repartition(3)
+    for descending in (False, True):
+        got = running_sums(df, ["g"], ["o"], ["v"], descending=descending, n_blocks=7, next_cols=["v"], totals_prefix="n_")
+        for r in got.collect():
+            nxt = r.v - 1 if descending else r.v + 1
+            assert r.next_v == (nxt if 0 <= nxt < 50 else None) and r.n_v == 1225
+            assert r.cum_v == (sum(range(r.v, 50)) if descending else sum(range(r.v + 1)))

@@ -149,30 +149,23 @@ def roc_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()
     With ``drop_intermediate`` a point is omitted when the next lower score
     group adds exactly the same (positives, negatives) as this one (equal
     steps: the point lies on the segment between its neighbours); the first
-    and last points are always kept.  The "next group" is found with an
-    equi-join on (group, rank + 1): ranks are unique, so the join cannot skew.
+    and last points are always kept.  The next group, the running counts and
+    the totals come from one frozen copy of the distinct scores.
     """
     keys = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
     g = _score_groups(src, y, score, keys).withColumn("_one", F.lit(1))
-    # read three times below (totals, next-group lookup, points): frozen once
-    r = cut_lineage(running_sums(g, keys, ["score"], ["pos", "neg", "_one"], descending=True))
-    # group totals = the last running sums; taken from the frozen blocks, so the
-    # source is not scanned a second time
-    totals = r.groupBy(*keys).agg(F.max("cum_pos").alias("n_pos"), F.max("cum_neg").alias("n_neg"))
+    r = running_sums(g, keys, ["score"], ["pos", "neg", "_one"], descending=True,
+                     next_cols=["pos", "neg"], totals_prefix="n_")
+    origin = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
+    point = F.struct(safe_div("cum_neg", "n_neg").alias("fpr"), safe_div("cum_pos", "n_pos").alias("tpr"),
+                     F.col("score").alias("threshold"))
     if drop_intermediate:
-        nxt = r.select(*keys, (F.col("cum__one") - 1).alias("cum__one"),
-                       F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-        r = _join_on(r, nxt, [*keys, "cum__one"], "left")
-        keep = ((F.col("cum__one") == 1) | F.col("_npos").isNull()
-                | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
-        r = r.filter(keep)
-    pts = _join_on(r, totals, keys, "inner")
-    pts = pts.select(*group_cols, safe_div("cum_neg", "n_neg").alias("fpr"),
-                     safe_div("cum_pos", "n_pos").alias("tpr"), F.col("score").alias("threshold"))
-    origin = totals.select(*group_cols, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
-                           F.lit(None).cast("double").alias("threshold"))
-    return origin.unionByName(pts)
+        r = r.filter((F.col("cum__one") == 1) | F.col("next_pos").isNull()
+                     | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+    # the group's first row also carries the origin
+    rows = F.when(F.col("cum__one") == 1, F.array(origin, point)).otherwise(F.array(point))
+    return r.select(*group_cols, F.explode(rows).alias("_p")).select(*group_cols, "_p.*")
 
 
 def separation_gap(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),

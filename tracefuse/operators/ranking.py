@@ -28,6 +28,16 @@ def _order_exprs(order_cols: Sequence, descending: bool) -> list[Column]:
     return out
 
 
+def _sort_keys(order_cols: Sequence[str], descending: bool) -> list[Column]:
+    """Numeric order columns as ascending struct fields in the same order as ``_order_exprs``."""
+    out = []
+    for i, c in enumerate(order_cols):
+        v = F.col(c)
+        out += [(v.isNull() == F.lit(descending)).cast("int").alias(f"_null{i}"),
+                (-v if descending else v).alias(f"_key{i}")]
+    return out
+
+
 def _blocks(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
             n_blocks: int | None, descending: bool) -> DataFrame:
     exprs = [*[F.col(c).asc() for c in part_cols], *_order_exprs(order_cols, descending)]
@@ -39,22 +49,39 @@ def _blocks(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
 
 def running_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
                  sum_cols: Sequence[str], descending: bool = False,
-                 n_blocks: int | None = None, prefix: str = "cum_") -> DataFrame:
+                 n_blocks: int | None = None, prefix: str = "cum_", next_cols: Sequence[str] = (),
+                 totals_prefix: str | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` within ``part_cols`` along ``order_cols``.
 
     ``order_cols`` must be a total order within a group (no ties).
+    ``next_cols`` adds ``next_<c>``: the column's value in the group's next row
+    (NULL in the last one).  ``totals_prefix`` adds the groups' totals.  Both
+    come from the blocks' one frozen copy, without another pass or checkpoint.
     """
     part_cols = list(part_cols)
     blk = _blocks(df, part_cols, order_cols, n_blocks, descending)
     totals = blk.groupBy(_BLK, *part_cols).agg(*[F.sum(c).alias(c) for c in sum_cols])
     before = Window.partitionBy(*part_cols).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*part_cols)
+    extra = [F.sum(c).over(group).alias(f"_tot_{c}") for c in sum_cols] if totals_prefix else []
+    if next_cols:
+        # the first row of each block and group: what follows the last row of the block before
+        first = F.min(F.struct(*_sort_keys(order_cols, descending), *next_cols))
+        heads = blk.groupBy(_BLK, *part_cols).agg(first.alias("_head"))
+        keyed = heads.select(F.col(_BLK).alias("_hblk"), *[F.col(c).alias(f"_h_{c}") for c in part_cols], "_head")
+        same = F.col(_BLK) == F.col("_hblk")
+        for c in part_cols:
+            same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+        totals = totals.join(keyed, same).drop("_hblk", *[f"_h_{c}" for c in part_cols])
+        after = Window.partitionBy(*part_cols).orderBy(_BLK)
+        extra += [F.lead(F.col("_head")[c]).over(after).alias(f"_after_{c}") for c in next_cols]
     offsets = totals.select(_BLK, *part_cols, *[
-        F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
+        F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols], *extra)
     # offsets has at most #blocks + #groups rows (groups are contiguous in the
     # range order).  Without groups that is bounded by the block count ->
     # broadcast; with groups (possibly many) AQE checks the size at run time.
     offsets = offsets.select(F.col(_BLK).alias("_oblk"), *[F.col(c).alias(f"_o_{c}") for c in part_cols],
-                             *[F.col(f"_off_{c}") for c in sum_cols])
+                             *[c for c in offsets.columns if c.startswith(("_off_", "_tot_", "_after_"))])
     offsets = offsets if part_cols else F.broadcast(offsets)
     # NULL-safe on the group columns: a NULL group is a group, not lost rows
     cond = F.col(_BLK) == F.col("_oblk")
@@ -63,8 +90,13 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,
     joined = blk.join(offsets, cond, "inner").drop("_oblk", *[f"_o_{c}" for c in part_cols])
     within = (Window.partitionBy(_BLK, *part_cols).orderBy(*_order_exprs(order_cols, descending))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = Window.partitionBy(_BLK, *part_cols).orderBy(*_order_exprs(order_cols, descending))
+    more = [F.when(F.lead(F.lit(1)).over(ahead).isNull(), F.col(f"_after_{c}")).otherwise(F.lead(c).over(ahead))
+            .alias(f"next_{c}") for c in next_cols]
+    if totals_prefix:
+        more += [F.col(f"_tot_{c}").alias(f"{totals_prefix}{c}") for c in sum_cols]
     return joined.select(*[c for c in df.columns], *[
-        (F.sum(c).over(within) + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+        (F.sum(c).over(within) + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols], *more)
 
 
 def global_rank(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefuse.operators.ranking import global_rank, top_k_per_group
+from tracefuse.operators.ranking import global_rank, running_sums, top_k_per_group
 
 
 def _ranked_sizes(ranked: DataFrame, label: str) -> DataFrame:
@@ -40,6 +40,26 @@ def stratified_split(df: DataFrame, label: str, order_cols: Sequence[str],
     return sized.withColumn("split", split).drop("class_n")
 
 
+def split_by_key(df: DataFrame, label: str, key: str, test_fraction: float = 0.2) -> DataFrame:
+    """Adds ``split`` like :func:`stratified_split`, ranking (label, key) alone (M1).
+
+    Each class gets one cut key, the one that brings its test share closest to
+    round(f * n_class), and the rows themselves are only filtered, never
+    ranked or frozen.  Rows with one key (copies, where ``key`` is a hash of
+    the row) stay on one side, so a copy is never both learned and tested.
+    """
+    counts = df.groupBy(label, key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(counts, [label], [key], ["_n"], totals_prefix="_class")
+    wanted = F.round(F.col("_class_n") * F.lit(float(test_fraction)))
+    best = F.min(F.struct(F.abs(F.col("cum__n") - wanted).alias("off"), F.col("cum__n"), F.col(key).alias("cut"),
+                          wanted.alias("wanted"))).alias("best")
+    # one row per class -> broadcast
+    cuts = ranked.groupBy(label).agg(best).select(F.col(label).alias("_cut_label"), "best.cut", "best.wanted")
+    out = df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_cut_label")))
+    test = (F.col(key) <= F.col("cut")) & (F.col("wanted") > 0)
+    return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("_cut_label", "cut", "wanted")
+
+
 def sample_per_class(df: DataFrame, label: str, order_cols: Sequence[str], k: int = 15) -> DataFrame:
     """The first ``k`` rows of each class, without replacement (M2)."""
     return top_k_per_group(df, [label], order_cols, k)

@@ -99,7 +99,7 @@ def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_
     prepared = prep.PREPARE[recipe](df, label)
     # deterministic split key: a hash of the prepared row (rows are unique after dedup)
     keyed = prepared.data.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in prepared.features]))
-    split = sampling.stratified_split(keyed, label, ["_h", *prepared.features], test_fraction)
+    split = sampling.split_by_key(keyed, label, "_h", test_fraction)
     train = models.balanced_weights(split.filter(F.col("split") == "train"), label)
     test = split.filter(F.col("split") == "test")
     feats = prepared.features
@@ -129,7 +129,7 @@ def sweep_detectors(df: DataFrame, label: str | None = None, test_fraction: floa
     prepared = prep.PREPARE[recipe](df, label)
     feats = prepared.features
     keyed = prepared.data.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in feats]))
-    split = sampling.stratified_split(keyed, label, ["_h", *feats], test_fraction)
+    split = sampling.split_by_key(keyed, label, "_h", test_fraction)
     train = models.balanced_weights(split.filter(F.col("split") == "train"), label)
     test = split.filter(F.col("split") == "test")
     n = train.count()
