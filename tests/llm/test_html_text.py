@@ -27,6 +27,15 @@ def test_pages_without_article_use_density_and_neighbours():
     assert html_text.main_text(page) == f"{(PROSE * 2).strip()}\nShort one.\n{(PROSE * 2).strip()}"
 
 
+def test_article_blocks_that_name_themselves_or_carry_links():
+    page = f"""<article><h2 class="header"><a href="#s">Section</a></h2><p>{PROSE}</p><p class="advert">Buy the best of it</p>
+    <p>See <a href="/x">this</a>, a note on the matter.</p><figure><img src="i"><figcaption>A view of it</figcaption></figure>
+    <p id="newsletter">{PROSE}</p><p>{PROSE}</p><ul><li class="share">Share</li><li>One</li></ul></article>
+    <p><a href="/y">more</a> of it</p>"""
+    assert html_text.main_text(page) == "\n".join(
+        ["Section", PROSE.strip(), "See this, a note on the matter.", "A view of it", PROSE.strip(), "One"])
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "<!-- open", "<script>never closed <p>x</p>", '<a title="open>text</a>', "</div></p>", "&#0;&#x110000;",
                  "<p>" * 5000, "<div>" * 5000 + "x", "a" * 100000, "<![CDATA[x]]>", "<p class='ad\">x", "\x00퟿"):

@@ -30,12 +30,12 @@ el los las del una y en que con por para su al lo como más pero sus se es
 # Elements by role.
 RAW_TEXT = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "button", "select",
-           "menu", "dialog", "object", "canvas", "audio", "video", "math", "map", "figcaption", "fieldset", "label"}
+           "menu", "dialog", "object", "canvas", "audio", "video", "map", "fieldset", "label"}
 MAIN = {"article", "main"}
 CONTAINERS = {"html", "body", "div", "section", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "center",
               "figure", "details", "blockquote"} | DROPPED | MAIN
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "address", "hr", "summary",
-          "caption", "legend", "option"} | CONTAINERS
+          "caption", "figcaption", "legend", "option"} | CONTAINERS
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 # Words of class, id and role attributes that name boilerplate.
@@ -65,6 +65,11 @@ MAX_LINK_DENSITY = 0.4
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 
 
+def names_boilerplate(attrs: str) -> bool:
+    """Whether a class, id or role says that an element is not main text."""
+    return bool(attrs) and any(BAD_HINTS.search(a.strip("\"'")) for a in HINT_ATTRIBUTES.findall(attrs))
+
+
 class Block:
     __slots__ = ("text", "link_chars", "dropped", "region", "heading")
 
@@ -79,7 +84,7 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # container, dropped, region (0: none)
     parts: list[str] = []
     links: list[str] = []
-    regions, in_link, heading = 0, False, False
+    regions, in_link, heading, named = 0, False, False, False  # named: the block itself names boilerplate
 
     def flush():
         nonlocal parts, links
@@ -88,7 +93,7 @@ def blocks_of(html: str) -> list[Block]:
             if text:
                 linked = len(SPACE.sub(" ", unescape("".join(links))).strip()) if links else 0
                 _, dropped, region = stack[-1]
-                out.append(Block(text, linked, dropped, region, heading))
+                out.append(Block(text, linked, dropped or named, region, heading))
             parts, links = [], []
 
     at, size = 0, len(html)
@@ -122,6 +127,9 @@ def blocks_of(html: str) -> list[Block]:
             flush()
             in_link = False
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1] in "123456"
+            attrs = m["attrs"] or ""
+            named = not closing and name not in CONTAINERS and (
+                bool(HIDDEN.search(attrs)) or not heading and names_boilerplate(attrs))
             if name in CONTAINERS:
                 if closing:
                     for k in range(len(stack) - 1, 0, -1):
@@ -130,11 +138,9 @@ def blocks_of(html: str) -> list[Block]:
                             break
                 else:
                     _, dropped, region = stack[-1]
-                    attrs = m["attrs"] or ""
                     if not dropped and name not in ("html", "body"):
                         dropped = (name in DROPPED and not (name == "header" and region) or bool(HIDDEN.search(attrs))
-                                   or name not in MAIN and any(BAD_HINTS.search(a.strip("\"'"))
-                                                               for a in HINT_ATTRIBUTES.findall(attrs)))
+                                   or name not in MAIN and names_boilerplate(attrs))
                     if name in MAIN and not dropped:
                         regions += 1
                         region = regions
@@ -147,14 +153,18 @@ def blocks_of(html: str) -> list[Block]:
 def decide(block: Block) -> str:
     """Pass one: good, bad, or undecided (short or near)."""
     size = len(block.text)
-    if block.dropped or block.link_chars > MAX_LINK_DENSITY * size:
+    if block.dropped:
+        return BAD
+    if block.region and block.heading:  # headings of an article often link to themselves
+        return SHORT
+    if block.link_chars > MAX_LINK_DENSITY * size:
         return BAD
     if block.text.startswith(("©", "&copy")) and not block.region:
         return BAD
     words = block.text.lower().split()
     density = sum(w.strip(WORD_EDGE) in STOP_WORDS for w in words) / len(words)
     if size < LENGTH_LOW:
-        return BAD if block.link_chars else SHORT
+        return BAD if block.link_chars and not block.region else SHORT
     if density >= STOP_HIGH:
         return GOOD if size > LENGTH_HIGH or block.region else NEAR
     if density >= STOP_LOW:
