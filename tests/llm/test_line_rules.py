@@ -64,6 +64,15 @@ def test_frequent_lines_reject_depleted_documents_only(lspark):
             assert r.removed_words == (0 if 300 <= i < 500 else 24 if 200 <= i < 300 else 8), (i, r.removed_words)
 
 
+def test_lines_that_come_together_are_all_frequent(lspark):
+    rnd = random.Random(11)
+    same = [sentence(rnd, 6) for _ in range(5)]
+    rows = [(i, "\n".join([*same[:3], sentence(rnd, 120), *same[3:]]), "en", "site", 1) for i in range(120)]
+    rows += [(500 + i, "\n".join([*same, sentence(rnd, 4)]), "en", "site", 1) for i in range(4)]
+    got = {r.doc_id: r for r in line_rules.judge(frame(lspark, rows)).collect()}
+    assert all(r.removed_words == 30 and r.kept == (i < 500) for i, r in got.items())
+
+
 def test_strip_and_keep(lspark):
     rows, common = corpus()
     df = frame(lspark, rows, clash=True)

@@ -7,14 +7,17 @@ are counted; lines above the limit are removed, and a document that loses too
 much of itself is rejected.
 
 Copies of one document are not many documents.  Each line of a document also
-carries the document's family mark: the smallest hash among its *other* lines,
-which copies and near copies share.  With n_f documents of family f holding a
-line, the line's number of distinct documents is the effective number
+carries the document's family mark: one of its *other* lines, drawn by a hash
+weighted with the line's words, so documents that share most of their words
+(copies and near copies) draw the same line, and documents that share only a
+header and a footer draw lines of their own.  With n_f documents of family f
+holding a line, the line's number of distinct documents is the effective number
 (sum n_f)^2 / sum n_f^2: n for n unrelated documents, about 1 for copies of one.
+Two independent draws are made and the greater number counts.
 
 Texts are read once; the narrow per-document rows (counts and 8-byte line
 hashes) are written to the checkpoint folder and everything else derives from
-them.  Counting is (host, line, family) first, so a line in a third of all
+them.  Counting is (host, line, draw, family) first, so a line in a third of all
 documents is pre-aggregated before it is brought together.
 """
 
@@ -78,8 +81,18 @@ def line_key(line_words: list[bytes]) -> int:
     return int.from_bytes(hashlib.md5(norm).digest()[:8], "big")
 
 
+def family_marks(counts: dict[int, int], low: int) -> list[int]:
+    """For every line key the key of the other line drawn; ``low`` is the lowest of the key's 32 bits in use.
+
+    The line with the smallest (hash / words) is drawn; a text's only line marks itself.
+    """
+    first = sorted((((k >> low) & 0xFFFFFFFF) / words, k) for k, words in counts.items())[:2]
+    drawn = [k for _, k in first]
+    return [drawn[-1] if k == drawn[0] else drawn[0] for k in counts]
+
+
 def measure(text: bytes) -> tuple:
-    """Counts of one text and its distinct lines: key, word count over all occurrences, family mark."""
+    """Counts of one text and its distinct lines: key, word count over all occurrences, two family marks."""
     words = text.split()
     word_chars = len(b"".join(words).decode("utf-8", "replace"))
     n_dup, seen, counts = 0, set(), {}
@@ -92,13 +105,12 @@ def measure(text: bytes) -> tuple:
         seen.add(line)
         k = line_key(lw)
         counts[k] = counts.get(k, 0) + len(lw)
-    low = sorted(counts)[:2]
-    lines = [(k, c, low[0] if k != low[0] else (low[1] if len(low) > 1 else k)) for k, c in counts.items()]
+    lines = list(zip(counts, counts.values(), family_marks(counts, 32), family_marks(counts, 0)))
     return len(words), word_chars, len(SYMBOLS.findall(text)), n_dup, repeat_words(words), lines
 
 
 _SCHEMA = ("doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, "
-           "n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<long>, families array<long>")
+           "n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<long>, draw0 array<long>, draw1 array<long>")
 
 
 def _signed(values: list[int]) -> list[int]:
@@ -110,7 +122,7 @@ def _measure_batches(batches):
         rows = [measure(t) for t in blobs(b.column(3))]
         arrays = [b.column(0), b.column(1), b.column(2)]
         arrays += [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        for i in range(3):
+        for i in range(4):
             arrays.append(pa.array([_signed([x[i] for x in r[5]]) for r in rows], pa.list_(pa.int64())))
         yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _SCHEMA.split(", ")])
 
@@ -130,13 +142,15 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
                                     F.xxhash64(text).alias("text_key"), text.alias("text"))
                         .mapInArrow(_measure_batches, _SCHEMA)
                         .withColumn("row_no", F.monotonically_increasing_id()))
-    lines = facts.select("row_no", "host", F.explode(F.arrays_zip("keys", "sizes", "families")).alias("l")).select(
+    lines = facts.select("row_no", "host", F.explode(F.arrays_zip("keys", "sizes", "draw0", "draw1")).alias("l")).select(
         "row_no", "host", F.col("l.keys").alias("line"), F.col("l.sizes").alias("words"),
-        F.col("l.families").alias("family"))
+        F.array("l.draw0", "l.draw1").alias("families"))
     # distinct documents per (host, line): a document has each line once here
-    by_family = lines.groupBy("host", "line", "family").agg(F.count("*").cast("double").alias("n"))
-    spread = (by_family.groupBy("host", "line").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-              .filter(F.col("n") > LINE_MIN_DOCS))
+    by_family = (lines.select("host", "line", F.posexplode("families").alias("draw", "family"))
+                 .groupBy("host", "line", "draw", "family").agg(F.count("*").cast("double").alias("n")))
+    spread = (by_family.groupBy("host", "line", "draw").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+              .filter(F.col("n") > LINE_MIN_DOCS)
+              .groupBy("host", "line").agg(F.max("n").alias("n"), F.min("nn").alias("nn")))
     hosts = facts.groupBy("host").agg(F.count("*").alias("docs")).select(F.col("host").alias("h"), "docs")
     limit = F.greatest(F.lit(float(LINE_MIN_DOCS)), F.col("docs") * F.lit(LINE_PER_MILLE) / F.lit(1000.0))
     frequent = cut_lineage(spread.join(hosts, F.col("host").eqNullSafe(F.col("h")))
@@ -148,7 +162,7 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
                .groupBy("row_no").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_keys")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = (facts.drop("keys", "sizes", "families").join(removed, "row_no", "left")
+    out = (facts.drop("keys", "sizes", "draw0", "draw1").join(removed, "row_no", "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
            .withColumn("base_failed", base_failed))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < MIN_LEFT_PERCENT * F.col("n_words")

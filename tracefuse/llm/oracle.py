@@ -26,19 +26,23 @@ real AS (SELECT doc_id, source, line, len(regexp_extract_all(line, {WORDS})) AS
                 substr(md5({norm}), 1, 16) AS k
          FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM real GROUP BY doc_id),
-keys AS (SELECT doc_id, source, k, sum(n) AS n,
-                row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place
-         FROM real GROUP BY doc_id, source, k),
-low AS (SELECT doc_id, min(k) FILTER (place = 1) AS k1, min(k) FILTER (place = 2) AS k2 FROM keys GROUP BY doc_id),
-fam AS (SELECT keys.*, CASE WHEN k <> k1 THEN k1 ELSE coalesce(k2, k) END AS f FROM keys JOIN low USING (doc_id)),
-byfam AS (SELECT source, k, f, count(*)::DOUBLE AS n FROM fam GROUP BY source, k, f),
-spread AS (SELECT source, k, sum(n) AS n, sum(n * n) AS nn FROM byfam GROUP BY source, k),
+keys AS (SELECT doc_id, source, k, sum(n) AS n FROM real GROUP BY doc_id, source, k),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, draw
+                                       ORDER BY ('0x' || substr(k, 1 + 8 * draw, 8))::BIGINT::DOUBLE / n::DOUBLE, k) AS place
+          FROM (SELECT *, unnest([0, 1]) AS draw FROM keys)),
+low AS (SELECT doc_id, draw, min(k) FILTER (place = 1) AS k1, min(k) FILTER (place = 2) AS k2
+        FROM drawn GROUP BY doc_id, draw),
+fam AS (SELECT source, k, draw, CASE WHEN k <> k1 THEN k1 ELSE coalesce(k2, k) END AS f
+        FROM keys JOIN low USING (doc_id)),
+byfam AS (SELECT source, k, draw, f, count(*)::DOUBLE AS n FROM fam GROUP BY source, k, draw, f),
+bydraw AS (SELECT source, k, draw, sum(n) AS n, sum(n * n) AS nn FROM byfam GROUP BY source, k, draw),
+spread AS (SELECT source, k, max(n) AS n, min(nn) AS nn FROM bydraw GROUP BY source, k),
 hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
 often AS (SELECT spread.source, k FROM spread JOIN hosts ON spread.source IS NOT DISTINCT FROM hosts.source
           WHERE n > {line_rules.LINE_MIN_DOCS}
             AND n * n > greatest({line_rules.LINE_MIN_DOCS}::DOUBLE, docs * {line_rules.LINE_PER_MILLE} / 1000.0::DOUBLE) * nn),
-gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM fam
-         WHERE EXISTS (SELECT 1 FROM often WHERE often.k = fam.k AND often.source IS NOT DISTINCT FROM fam.source)
+gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM keys
+         WHERE EXISTS (SELECT 1 FROM often WHERE often.k = keys.k AND often.source IS NOT DISTINCT FROM keys.source)
          GROUP BY doc_id),
 starts AS (SELECT doc_id, unnest(range(1, len(words) - {w - 2})) AS i FROM d WHERE len(words) >= {w}),
 wins AS (SELECT starts.doc_id, i, array_to_string(words[i:i + {w - 1}], ' ') AS win FROM starts JOIN d USING (doc_id)),
