@@ -1,8 +1,9 @@
 """Main-text extraction from HTML by two-pass block rules.
 
 Markup is cut into blocks.  Pass one decides each block from its stop-word
-density, length and link density (and from containers that name themselves:
-menus, footers, sidebars, notices, adverts, forms, comments).  Pass two lets
+density, length and link density (and from elements that name themselves:
+menus, footers, sidebars, notices, adverts, forms, comments); inside an article
+headings and short blocks are not decided by the links they hold.  Pass two lets
 every undecided block inherit the label of its nearest decided neighbours in
 the same container region: both sides agree, or the nearer one, or the good one
 at equal distance inside an article.
