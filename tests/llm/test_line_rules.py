@@ -88,3 +88,27 @@ def test_strip_and_keep(lspark):
 def test_empty_table(lspark):
     df = frame(lspark, []).limit(0)
     assert line_rules.judge(df).count() == 0 and line_rules.keep_good(df).count() == 0
+
+
+def test_copy_group_does_not_hide_a_line(lspark):
+    """A footer in many unrelated documents and one large group of copies."""
+    rnd = random.Random(21)
+    footer = "all about us and where to find our offices"
+    copy = sentence(rnd, 60) + "\n" + footer
+    rows = [(i, sentence(rnd, 60) + "\n" + footer, "en", "big", 1) for i in range(40)]
+    rows += [(1000 + i, copy, "en", "big", 1) for i in range(600)]
+    got = {r.doc_id: r for r in line_rules.judge(frame(lspark, rows)).collect()}
+    assert all(r.removed_words == 9 and r.kept for r in got.values())
+
+
+def test_large_group_of_near_copies_is_one_document(lspark):
+    rnd = random.Random(23)
+    first, second = sentence(rnd, 75).split(), sentence(rnd, 75).split()
+    rows = []
+    for i in range(400):
+        a, b = list(first), list(second)
+        for _ in range(i % 4):
+            rnd.choice((a, b))[rnd.randrange(75)] = f"new{rnd.randrange(10**9):x}"
+        rows.append((i, " ".join(a) + "\n" + " ".join(b), "en", "hot", 1))
+    got = line_rules.judge(frame(lspark, rows)).collect()
+    assert not any(r.removed_words for r in got)

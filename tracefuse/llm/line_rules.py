@@ -6,32 +6,32 @@ hashed; for each host (``source``) and line the distinct documents that have it
 are counted; lines above the limit are removed, and a document that loses too
 much of itself is rejected.
 
-Copies of one document are not many documents.  Each line of a document also
-carries the document's family mark: one of its *other* lines, drawn by a hash
-weighted with the line's words, so documents that share most of their words
-(copies and near copies) draw the same line, and documents that share only a
-header and a footer draw lines of their own.  With n_f documents of family f
-holding a line, the line's number of distinct documents is the effective number
-(sum n_f)^2 / sum n_f^2: n for n unrelated documents, about 1 for copies of one.
-Two independent draws are made and the greater number counts.
+Copies of one document are not many documents.  A document has ``DRAWS``
+sketches; a sketch is made of one four-word shingle of every line, the one with
+the smallest hash.  Copies agree in all sketches, near copies (a few words
+changed) in some of them, and pages that share header and footer but have a line
+of their own in none.  Documents of a host with an equal sketch are one group; a
+document counts 1 / (its largest group), so n unrelated documents count n and a
+group of copies counts one beside them, whatever its size.
 
 Texts are read once; the narrow per-document rows (counts and 8-byte line
 hashes) are written to the checkpoint folder and everything else derives from
-them.  Counting is (host, line, draw, family) first, so a line in a third of all
-documents is pre-aggregated before it is brought together.
+them.  Counts per sketch and per line are pre-aggregated, so a line in a third of
+all documents is never brought together row by row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefuse.llm.common import as_bytes, blobs
+from tracefuse.llm.common import as_bytes, blobs, splitmix64
 from tracefuse.session import cut_lineage
 
 MIN_WORDS = 20
@@ -43,6 +43,11 @@ LINE_MIN_DOCS = 10
 LINE_PER_MILLE = 5
 #: a document is depleted when fewer than this percentage of its words is left
 MIN_LEFT_PERCENT = 20
+#: sketches of a document, and words of the shingles they are made of
+DRAWS = 8
+SHINGLE_WORDS = 4
+#: a document's count is a whole number of these parts, so sums have no rounding
+PARTS = 10**9
 #: frequent (host, line) rows are broadcast up to this count (about 40 bytes each)
 BROADCAST_ROWS = 200_000
 
@@ -81,21 +86,32 @@ def line_key(line_words: list[bytes]) -> int:
     return int.from_bytes(hashlib.md5(norm).digest()[:8], "big")
 
 
-def family_marks(counts: dict[int, int], low: int) -> list[int]:
-    """For every line key the key of the other line drawn; ``low`` is the lowest of the key's 32 bits in use.
-
-    The line with the smallest (hash / words) is drawn; a text's only line marks itself.
-    """
-    first = sorted((((k >> low) & 0xFFFFFFFF) / words, k) for k, words in counts.items())[:2]
-    drawn = [k for _, k in first]
-    return [drawn[-1] if k == drawn[0] else drawn[0] for k in counts]
+def sketches(lines: list[list[bytes]]) -> list[int]:
+    """``DRAWS`` order-free hashes of a text: each adds up the smallest shingle hash of every line."""
+    if not lines:
+        return [0] * DRAWS
+    words = b" ".join([b" ".join(lw) for lw in lines]).lower().translate(_DIGITS).split()
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.cumsum(sizes) - sizes
+    n = len(words)
+    hashed = np.zeros(n + SHINGLE_WORDS - 1, np.uint64)
+    hashed[:n] = np.fromiter(map(zlib.crc32, words), np.uint64, n) + np.uint64(1)
+    left = np.repeat(first + sizes, sizes) - np.arange(n)  # words from here to the end of the line
+    shingle = np.zeros(n, np.uint64)
+    for i in range(SHINGLE_WORDS):
+        shingle = splitmix64(shingle + np.where(left > i, hashed[i:i + n], np.uint64(0)))
+    drawn = splitmix64(shingle + np.arange(1, DRAWS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+    # shingles stay inside a line; a line of fewer words is one shingle
+    inside = (left >= SHINGLE_WORDS) | (left == np.repeat(sizes, sizes))
+    lowest = np.minimum.reduceat(np.where(inside, drawn, np.uint64(2**64 - 1)), first, axis=1)
+    return splitmix64(lowest).sum(axis=1, dtype=np.uint64).tolist()
 
 
 def measure(text: bytes) -> tuple:
-    """Counts of one text and its distinct lines: key, word count over all occurrences, two family marks."""
+    """Counts of one text, its distinct lines' keys and word counts over all occurrences, its sketches."""
     words = text.split()
     word_chars = len(b"".join(words).decode("utf-8", "replace"))
-    n_dup, seen, counts = 0, set(), {}
+    n_dup, seen, counts, cut = 0, set(), {}, []
     for line in text.split(b"\n"):
         lw = line.split()
         if not lw:
@@ -103,14 +119,15 @@ def measure(text: bytes) -> tuple:
         if line in seen:
             n_dup += 1
         seen.add(line)
+        cut.append(lw)
         k = line_key(lw)
         counts[k] = counts.get(k, 0) + len(lw)
-    lines = list(zip(counts, counts.values(), family_marks(counts, 32), family_marks(counts, 0)))
-    return len(words), word_chars, len(SYMBOLS.findall(text)), n_dup, repeat_words(words), lines
+    return (len(words), word_chars, len(SYMBOLS.findall(text)), n_dup, repeat_words(words),
+            list(counts), list(counts.values()), sketches(cut))
 
 
 _SCHEMA = ("doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, "
-           "n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<long>, draw0 array<long>, draw1 array<long>")
+           "n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<long>, sketches array<long>")
 
 
 def _signed(values: list[int]) -> list[int]:
@@ -122,8 +139,7 @@ def _measure_batches(batches):
         rows = [measure(t) for t in blobs(b.column(3))]
         arrays = [b.column(0), b.column(1), b.column(2)]
         arrays += [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        for i in range(4):
-            arrays.append(pa.array([_signed([x[i] for x in r[5]]) for r in rows], pa.list_(pa.int64())))
+        arrays += [pa.array([_signed(r[i]) for r in rows], pa.list_(pa.int64())) for i in range(5, 8)]
         yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _SCHEMA.split(", ")])
 
 
@@ -133,8 +149,8 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     ``removed_keys`` are the hashes of the document's own lines above the limit.
 
     Edge cases: NULL and blank texts have no words and fail the base rule; a
-    NULL source is a host of its own; a one-line document is its own family, so
-    its copies count once; repeated rows each get the same verdict; an empty
+    NULL source is a host of its own; copies of a one-line
+    document count once; repeated rows each get the same verdict; an empty
     table gives an empty result; only doc_id, text and source are read.
     """
     text = as_bytes("text")
@@ -142,19 +158,24 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
                                     F.xxhash64(text).alias("text_key"), text.alias("text"))
                         .mapInArrow(_measure_batches, _SCHEMA)
                         .withColumn("row_no", F.monotonically_increasing_id()))
-    lines = facts.select("row_no", "host", F.explode(F.arrays_zip("keys", "sizes", "draw0", "draw1")).alias("l")).select(
-        "row_no", "host", F.col("l.keys").alias("line"), F.col("l.sizes").alias("words"),
-        F.array("l.draw0", "l.draw1").alias("families"))
+    # copies: rows of a host that agree in a sketch; only groups of two and more are joined back
+    drawn = facts.select("row_no", "host", F.posexplode("sketches").alias("draw", "sketch"))
+    groups = (drawn.groupBy("host", "draw", "sketch").agg(F.count("*").alias("members")).filter("members > 1")
+              .select(F.col("host").alias("g_host"), F.col("draw").alias("g_draw"), F.col("sketch").alias("g_sketch"), "members"))
+    same = (F.col("host").eqNullSafe(F.col("g_host")) & (F.col("draw") == F.col("g_draw"))
+            & (F.col("sketch") == F.col("g_sketch")))
+    copies = drawn.join(groups, same).groupBy("row_no").agg(F.max("members").alias("members"))
+    parts = F.floor(F.lit(PARTS) / F.coalesce("members", F.lit(1)))
+    lines = facts.select("row_no", "host", F.explode(F.arrays_zip("keys", "sizes")).alias("l")).select(
+        "row_no", "host", F.col("l.keys").alias("line"), F.col("l.sizes").alias("words"))
     # distinct documents per (host, line): a document has each line once here
-    by_family = (lines.select("host", "line", F.posexplode("families").alias("draw", "family"))
-                 .groupBy("host", "line", "draw", "family").agg(F.count("*").cast("double").alias("n")))
-    spread = (by_family.groupBy("host", "line", "draw").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-              .filter(F.col("n") > LINE_MIN_DOCS)
-              .groupBy("host", "line").agg(F.max("n").alias("n"), F.min("nn").alias("nn")))
+    spread = (facts.select("row_no", "host", "keys").join(copies, "row_no", "left")
+              .select("host", parts.alias("parts"), F.explode("keys").alias("line"))
+              .groupBy("host", "line").agg(F.sum("parts").alias("parts")))
     hosts = facts.groupBy("host").agg(F.count("*").alias("docs")).select(F.col("host").alias("h"), "docs")
     limit = F.greatest(F.lit(float(LINE_MIN_DOCS)), F.col("docs") * F.lit(LINE_PER_MILLE) / F.lit(1000.0))
     frequent = cut_lineage(spread.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-                           .filter(F.col("n") * F.col("n") > limit * F.col("nn"))
+                           .filter(F.col("parts") > limit * F.lit(PARTS))
                            .select(F.col("host").alias("f_host"), F.col("line").alias("f_line")))
     bounded = frequent.limit(broadcast_rows + 1).count() <= broadcast_rows
     side = F.broadcast(frequent) if bounded else frequent
@@ -162,7 +183,7 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
                .groupBy("row_no").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_keys")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = (facts.drop("keys", "sizes", "draw0", "draw1").join(removed, "row_no", "left")
+    out = (facts.drop("keys", "sizes", "sketches").join(removed, "row_no", "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
            .withColumn("base_failed", base_failed))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < MIN_LEFT_PERCENT * F.col("n_words")
