@@ -101,6 +101,16 @@ def test_copy_group_does_not_hide_a_line(lspark):
     assert all(r.removed_words == 9 and r.kept for r in got.values())
 
 
+def test_template_pages_are_depleted(lspark):
+    """Pages of two shared lines and a short line of their own are distinct documents."""
+    rnd = random.Random(22)
+    for pages in (30, 400):
+        shared = [sentence(rnd, 45), sentence(rnd, 45)]
+        rows = [(i, "\n".join([shared[0], sentence(rnd, 10), shared[1]]), "en", "site", 1) for i in range(pages)]
+        got = line_rules.judge(frame(lspark, rows)).collect()
+        assert all(r.removed_words == 90 and not r.kept for r in got)
+
+
 def test_large_group_of_near_copies_is_one_document(lspark):
     rnd = random.Random(23)
     first, second = sentence(rnd, 75).split(), sentence(rnd, 75).split()
