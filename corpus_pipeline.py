@@ -18,9 +18,9 @@ from tracefuse.session import ensure_checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and cross-document line rules keep."""
+    """Documents that the base and cross-document line rules keep, without their lines above the limit."""
     ship_package(spark)
-    return line_rules.keep_good(docs)
+    return line_rules.strip_lines(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

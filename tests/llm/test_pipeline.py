@@ -61,3 +61,22 @@ def test_stages_on_edge_rows_and_empty_tables(lspark, tmp_path):
             # without labels the classifier keeps all; no row holds a benchmark passage; all are tokenised
             assert kept <= n if name in ("quality_rules", "near_dedup") else kept == n, name
             assert bool(kept) == bool(n)
+
+
+def test_repeated_passage_is_gone_from_the_output(lspark, tmp_path):
+    """Lines above the limit leave the kept documents and never reach the tokens."""
+    rnd = random.Random(31)
+    passage = sentence(rnd, 20)
+    texts = [sentence(rnd, 60) for _ in range(40)]
+    rows = [(i, t + "\n" + passage, "en", "s0", len(t) + 1 + len(passage)) for i, t in enumerate(texts)]
+    rows.append((100, "NULL source and no passage " + sentence(rnd, 60), "en", None, 7))
+    for name, data in (("with", rows), ("without", [(r[0], r[1].split("\n")[0], *r[2:]) for r in rows])):
+        frame(lspark, data).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        lspark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        lspark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs = lspark.read.parquet(f"{tmp_path}/with/documents.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.quality_rules(lspark, docs, f"{tmp_path}/with").collect()}
+    assert {i: out[i].text for i in range(40)} == dict(enumerate(texts))
+    assert all(out[i].n_chars == len(texts[i]) for i in range(40)) and out[100].n_chars == 7
+    tokens = [corpus_pipeline.run(lspark, f"{tmp_path}/{name}") for name in ("with", "without")]
+    assert tokens[0].exceptAll(tokens[1]).isEmpty() and tokens[0].count() == 41

@@ -201,26 +201,34 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def strip_lines(docs: DataFrame) -> DataFrame:
-    """Kept rows of ``docs`` without their lines above the limit (blank lines stay); same columns."""
-    good = (judge(docs).filter("kept")
-            .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"),
-                    F.array_sort("removed_keys").alias("_keys")).distinct())
+    """Kept rows of ``docs`` without their lines above the limit (blank lines stay); same columns.
+
+    Where a text loses lines, a long or int column ``n_chars`` gets its new length.
+    """
+    good = cut_lineage(judge(docs).filter("kept")
+                       .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"),
+                               F.array_sort("removed_keys").alias("_keys")).distinct())
     on = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host"))
           & (F.xxhash64(as_bytes("text")) == F.col("_key")))
     names = docs.columns
     joined = docs.join(good, on, "inner").select(*names, F.coalesce("_keys", F.array().cast("array<long>")).alias("_keys"))
     at = names.index("text")
+    sized = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else None
 
     def run(batches):
         for b in batches:
-            out = []
-            for text, keys in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            out, sizes = [], b.column(sized).to_pylist() if sized is not None else []
+            for i, (text, keys) in enumerate(zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
                 if text and keys:
                     gone = set(keys)
                     text = "\n".join(x for x in text.split("\n") if not (w := x.encode().split())
                                      or _signed([line_key(w)])[0] not in gone)
+                    sizes[i:i + 1] = [len(text)] * len(sizes[i:i + 1])
                 out.append(text)
-            columns = [*b.columns[:at], pa.array(out, b.column(at).type), *b.columns[at + 1:-1]]
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(out, b.column(at).type)
+            if sized is not None:
+                columns[sized] = pa.array(sizes, b.column(sized).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)
