@@ -122,3 +122,13 @@ def test_large_group_of_near_copies_is_one_document(lspark):
         rows.append((i, " ".join(a) + "\n" + " ".join(b), "en", "hot", 1))
     got = line_rules.judge(frame(lspark, rows)).collect()
     assert not any(r.removed_words for r in got)
+
+
+def test_limit_does_not_grow_with_the_host(lspark):
+    rnd = random.Random(24)
+    footer = "printed by the same house as all the others"
+    for size in (60, 3000):
+        rows = [(i, sentence(rnd, 30) + ("\n" + footer if i < 13 else ""), "en", "large", 1) for i in range(size)]
+        got = line_rules.judge(frame(lspark, rows)).collect()
+        assert {r.doc_id for r in got if r.removed_words == 9} == set(range(13))
+        assert {r.removed_words for r in got} == {0, 9}

@@ -37,9 +37,9 @@ from tracefuse.session import cut_lineage
 MIN_WORDS = 20
 WINDOW_WORDS = 8
 MAX_REPEAT_PERCENT = 30
-#: a line is frequent above this many distinct documents of its host ...
+#: a line is frequent above this many distinct documents of its host, however large the host
 LINE_MIN_DOCS = 10
-#: ... and above this share (per mille) of the host's documents
+#: share of a host's documents (per mille) in the SQL only; above the limit from 2,000 documents a host on
 LINE_PER_MILLE = 5
 #: a document is depleted when fewer than this percentage of its words is left
 MIN_LEFT_PERCENT = 20
@@ -172,10 +172,7 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     spread = (facts.select("row_no", "host", "keys").join(copies, "row_no", "left")
               .select("host", parts.alias("parts"), F.explode("keys").alias("line"))
               .groupBy("host", "line").agg(F.sum("parts").alias("parts")))
-    hosts = facts.groupBy("host").agg(F.count("*").alias("docs")).select(F.col("host").alias("h"), "docs")
-    limit = F.greatest(F.lit(float(LINE_MIN_DOCS)), F.col("docs") * F.lit(LINE_PER_MILLE) / F.lit(1000.0))
-    frequent = cut_lineage(spread.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-                           .filter(F.col("parts") > limit * F.lit(PARTS))
+    frequent = cut_lineage(spread.filter(F.col("parts") > LINE_MIN_DOCS * PARTS)
                            .select(F.col("host").alias("f_host"), F.col("line").alias("f_line")))
     bounded = frequent.limit(broadcast_rows + 1).count() <= broadcast_rows
     side = F.broadcast(frequent) if bounded else frequent
