@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 def test_names():
     names = entry.queries()
     found = {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))}
-    assert found == set(range(1, 11)) and "pipeline" in names
-    assert {"op3_line_rules", "op4_warc", "op7_licenses", "op10_sharding"} <= set(entry.oracle_sql())
+    assert found == set(range(1, 14)) and "pipeline" in names
+    assert {"op3_line_rules", "op4_warc", "op7_licenses", "op10_sharding", "op11_line_dedup", "op12_spelling", "op13_conversations"} <= set(entry.oracle_sql())
 
 
 def test_nothing_else_imports_the_subpackage():

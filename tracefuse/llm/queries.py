@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracefuse.llm import (bpe, decontam, html_text, kneser_ney, licenses, line_rules, quality_net, sharding, simhash,
-                           warc)
+from tracefuse.llm import (bpe, conversation, decontam, html_text, kneser_ney, licenses, line_dedup, line_rules, quality_net,
+                           sharding, simhash, spelling, warc)
 from tracefuse.llm.common import table
 
 SHARDS = 16
@@ -60,6 +61,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_html_text, op3_line_rules, op4_warc, op5_decontamination, op6_quality_net, op7_licenses, op8_simhash,
-    op9_kneser_ney, op10_sharding)}
+    op9_kneser_ney, op10_sharding, op11_line_dedup, op12_spelling, op13_conversations)}
