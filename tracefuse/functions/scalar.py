@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,24 @@ def clip01(x) -> Column:
     return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
+#: hexadecimal digits of an MD5 that make one uniform number (52 bits)
+HASH_DIGITS = 13
+
+
+def hash_uniform(key: Column, part: int = 0) -> Column:
+    """Number in (0, 1) from the MD5 of a text column; ``part`` 0 and 1 are independent."""
+    digits = F.substring(F.md5(key.cast("binary")), 1 + part * HASH_DIGITS, HASH_DIGITS)
+    return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(16 ** HASH_DIGITS))
+
+
+def hash_normal(key: Column) -> Column:
+    """Standard normal number that depends on a text column alone (Box-Muller over its MD5).
+
+    The same key gives the same number under any partitioning, retry or engine.
+    """
+    return F.sqrt(F.lit(-2.0) * F.log(hash_uniform(key, 0))) * F.cos(F.lit(2.0 * math.pi) * hash_uniform(key, 1))
+
+
 def to_int_or_zero(x) -> Column:
     """Lossy coercion: unparseable -> NULL -> 0 (P5); never raises under ANSI."""
     return F.coalesce(F.expr(f"try_cast({x} as bigint)") if isinstance(x, str)

@@ -94,7 +94,7 @@ def gradient_boosting(feature_cols: Sequence[str], label: str, max_iter: int = 1
 
 def linear_svm(feature_cols: Sequence[str], label: str, max_iter: int = 100,
                weight_col: str | None = "weight") -> Pipeline:
-    """Linear SVM candidate on standardised inputs with balanced weights (L6; the RBF kernel has no MLlib form)."""
+    """Linear SVM candidate on standardised inputs with balanced weights (L6; ``kernel.kernel_svm`` has the RBF kernel)."""
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     svm = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter,
                     **({"weightCol": weight_col} if weight_col else {}))

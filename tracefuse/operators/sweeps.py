@@ -8,54 +8,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefuse.functions.fusion import CURRENT_RULE, FusionRule
-from tracefuse.functions.scalar import clip01, nan_to_null, predict, safe_div
+from tracefuse.functions.scalar import clip01, hash_normal, nan_to_null, predict, safe_div
 from tracefuse.session import cut_lineage
 
 # FIXED VALUES: observation window (seconds) -> confidence scale of the shrink study.
 SHRINK_GRID: tuple[tuple[int, float], ...] = ((5, 0.25), (10, 0.50), (15, 0.75), (30, 1.00))
 
 
+#: grid points whose verdicts fit one integer (three bits a point)
+_POINTS = 20
+_NAMES = ("syscall", "network", "hybrid")
+
+
+def noise_key(seed: int, row: Column, point: int, signal: str) -> Column:
+    """Text that names one noise draw: seed, row key, grid point and signal."""
+    return F.concat_ws(":", F.lit(str(seed)), F.coalesce(row.cast("string"), F.lit("")), F.lit(str(point)), F.lit(signal))
+
+
 def robustness_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: str = "p_net",
                      grid: Sequence[tuple[int, float]] = SHRINK_GRID, noise: bool = False,
-                     seed: int = 42, rule: FusionRule = CURRENT_RULE) -> DataFrame:
+                     seed: int = 42, rule: FusionRule = CURRENT_RULE, key: str | None = None) -> DataFrame:
     """Shrink both scores toward 0.5 by ``scale`` (plus optional Gaussian noise
     with sd ``(1 - scale) * 0.1``), clip to [0, 1], and report F1 of the
     syscall, network and fused predictors per window (R1, P22).
 
-    One aggregate holds a (tp, fp, fn) triple of conditional sums per grid
-    point and predictor; only its single result row is expanded.
-    ``noise=False`` is exact; the noisy mode is seeded per row position and not
-    bit-equal to other RNGs.
+    A row's verdicts (three per grid point) are the bits of one integer; rows
+    are counted by (class, integer), and only those few counts are expanded.
+    ``noise=True`` draws from a hash of (seed, ``key``, grid point, signal), so
+    the result does not depend on partitions or retries; rows with one key
+    share their draws.  Without ``key`` a row is its class and two scores.
     """
-    names = ("syscall", "network", "hybrid")
-    x = df.select(F.col(y).cast("int").alias("_y"), nan_to_null(p_sys).alias("_s"), nan_to_null(p_net).alias("_n"))
-
-    def shrink(c: str, scale: float, salt: int) -> Column:
+    grid = list(grid)
+    if len(grid) > _POINTS:
+        head = robustness_sweep(df, y, p_sys, p_net, grid[:_POINTS], noise, seed, rule, key)
+        return head.unionByName(robustness_sweep(df, y, p_sys, p_net, grid[_POINTS:], noise, seed, rule, key))
+    row = F.col(key) if key else F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in (y, p_sys, p_net)])
+    x = df.select(F.col(y).cast("int").alias("_y"), nan_to_null(p_sys).alias("_s"), nan_to_null(p_net).alias("_n"),
+                  *([row.alias("_row")] if noise else [])).filter(F.col("_y").isin(0, 1))
+
+    def shrink(c: str, i: int, scale: float) -> Column:
         v = F.lit(0.5) + F.lit(float(scale)) * (F.col(c) - F.lit(0.5))
-        if noise:
-            v = v + F.randn(seed + salt) * (F.lit(1.0) - F.lit(float(scale))) * F.lit(0.1)
+        if noise and scale != 1.0:
+            v = v + hash_normal(noise_key(seed, F.col("_row"), i, c[1:])) * F.lit((1.0 - float(scale)) * 0.1)
         return clip01(v)
 
-    for i, (_, scale) in enumerate(grid):
-        x = x.withColumns({f"_ps{i}": shrink("_s", scale, 2 * i), f"_pn{i}": shrink("_n", scale, 2 * i + 1)})
-        x = x.withColumns({f"_syscall{i}": predict(f"_ps{i}"), f"_network{i}": predict(f"_pn{i}"),
-                           f"_hybrid{i}": rule.decide(f"_ps{i}", f"_pn{i}")})
-    sums = []
+    x = x.withColumns({f"_p{c}{i}": shrink(c, i, scale) for i, (_, scale) in enumerate(grid) for c in ("_s", "_n")})
+    bits = F.lit(0).cast("bigint")
     for i in range(len(grid)):
-        for name in names:
-            for kind, true, pred in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0)):
-                hit = (F.col("_y") == true) & (F.col(f"_{name}{i}") == pred)
-                sums.append(F.coalesce(F.sum(hit.cast("bigint")), F.lit(0)).alias(f"{kind}_{name}{i}"))
-    one = x.filter(F.col("_y").isin(0, 1)).agg(F.count(F.lit(1)).alias("_rows"), *sums).filter(F.col("_rows") > 0)
-
-    def f1(name: str, i: int) -> Column:
-        tp, fp, fn = (F.col(f"{kind}_{name}{i}") for kind in ("tp", "fp", "fn"))
-        return safe_div(2 * tp, 2 * tp + fp + fn)
-
-    points = F.array(*[F.struct(F.lit(int(n)).alias("n_window"), F.lit(float(s)).alias("scale"),
-                                *[f1(name, i).alias(f"f1_{name}") for name in names])
+        s, n = f"_p_s{i}", f"_p_n{i}"
+        for j, verdict in enumerate((predict(s), predict(n), rule.decide(s, n))):
+            bits = bits + verdict.cast("bigint") * F.lit(1 << (3 * i + j))
+    counts = x.groupBy("_y", bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_rows"))
+
+    def bit(i: int, j: int) -> Column:
+        return F.col("_bits").bitwiseAND(F.lit(1 << (3 * i + j))) != 0
+
+    points = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(int(n)).alias("n_window"), F.lit(float(s)).alias("scale"),
+                                *[bit(i, j).alias(name) for j, name in enumerate(_NAMES)])
                        for i, (n, s) in enumerate(grid)])
-    return one.select(F.explode(points).alias("_g")).select("_g.*")
+    each = counts.select("_y", "_rows", F.inline(points))
+
+    def total(true: int, name: str, pred: bool) -> Column:
+        hit = (F.col("_y") == true) & (F.col(name) if pred else ~F.col(name))
+        return F.sum(F.when(hit, F.col("_rows")).otherwise(0))
+
+    sums = each.groupBy("_i", "n_window", "scale").agg(*[
+        total(true, name, pred).alias(f"{kind}_{name}")
+        for name in _NAMES for kind, true, pred in (("tp", 1, True), ("fp", 0, True), ("fn", 1, False))])
+    return sums.select("n_window", "scale", *[
+        safe_div(2 * F.col(f"tp_{n}"), 2 * F.col(f"tp_{n}") + F.col(f"fp_{n}") + F.col(f"fn_{n}")).alias(f"f1_{n}")
+        for n in _NAMES])
 
 
 def grid_cell(p: str, steps: int) -> Column:
