@@ -56,9 +56,8 @@ def _write(df: DataFrame, path: str, fmt: str, partition_by=()) -> None:
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     out, fmt = args.out, args.format
     if args.cmd == "sysdig-features":
-        feats, status = flows.syscall_window_features(
-            spark, args.raw, args.manifest, _read(spark, args.containers, CONTAINERS))
-        _write(feats, f"{out}/features", fmt, partition_by=["window_tag"])
+        status = flows.write_syscall_features(
+            spark, args.raw, args.manifest, _read(spark, args.containers, CONTAINERS), f"{out}/features", fmt)
         _write(status, f"{out}/line_status", fmt)
     elif args.cmd == "strace-features":
         feats, drift = flows.strace_features(spark, args.logs)
@@ -124,7 +123,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--kind", default="random_forest", choices=["random_forest", "logistic_regression"])
     s = cmd("sweep", "table", "model-out")
     s.add_argument("--label", default=None)
-    s.add_argument("--candidates", default="logistic_regression,random_forest,linear_svm,gradient_boosting")
+    s.add_argument("--candidates", default="logistic_regression,random_forest,linear_svm,kernel_svm,gradient_boosting")
     for c in (t, s):
         c.add_argument("--recipe", default="network", choices=["network", "syscall"])
     cmd("window-evaluate", "model", "windows", "key", "label")

@@ -1,6 +1,7 @@
 """End-to-end flows: the reference's script chains as lazy Spark jobs.
 
 * :func:`syscall_window_features` - sysdig text + manifest -> per-window feature tables
+* :func:`write_syscall_features` - the same, written and checked in one pass
 * :func:`strace_features` - directory of ``*.log`` traces -> aligned feature table
 * :func:`network_features` - decoded packet rows -> aligned flow table
 * :func:`train_detector` - prepare, split, fit, evaluate, importances
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from tracefuse.functions.contracts import SYSCALL_CONTRACT, WINDOWS
 from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, FusionRule, fuse
 from tracefuse.functions.scalar import base_name, label_from_name
-from tracefuse.operators import counting, flows, metrics, models, prep, sampling, sweeps
+from tracefuse.operators import counting, flows, kernel, metrics, models, prep, sampling, sweeps
 from tracefuse.operators.pairing import pair_predictions, unmatched_pairs
-from tracefuse.sources import readers
+from tracefuse.sources import readers, sinks
 
 PREDS = {"syscall": "pred_syscall", "network": "pred_network", "hybrid": "pred_hybrid"}
 
@@ -75,6 +76,35 @@ def network_features(spark: SparkSession, packet_dir: str) -> DataFrame:
     return flows.network_feature_table(readers.read_packets(spark, packet_dir), key_col="file", keys=files)
 
 
+def write_syscall_features(spark: SparkSession, raw_path: str, manifest_path: str, containers: DataFrame, out: str,
+                           fmt: str = "parquet", contract: Sequence[str] = SYSCALL_CONTRACT,
+                           windows: Mapping[str, int | None] = WINDOWS) -> DataFrame:
+    """Writes :func:`syscall_window_features` and checks it in the same pass; returns the line counts by status.
+
+    One pass over the raw capture counts its lines by status, the features'
+    rows and their NULL or NaN values; the table replaces the old one only when
+    there was an event, no value is missing and every declared container has
+    its row in each window (S11, P9, P18).
+    """
+    w = sinks.CheckedWrite()
+    parsed = w.observe(readers.read_sysdig(spark, raw_path), "lines",
+                       **{s: F.count_if(F.col("status") == s) for s in readers.SYSDIG_STATUSES})
+    mapped = counting.map_syscalls(parsed.filter(F.col("status") == "ok"), "syscall", contract=contract)
+    keys = w.observe(containers, "keys", rows=F.count(F.lit(1)))
+    feats = counting.window_features(mapped, readers.read_manifest(spark, manifest_path), "container", "ts_s", contract,
+                                     windows, keys=keys, manifest_max_rows=1_000_000)
+    feats = readers.with_capture_mode(feats, "sysdig")
+    if [c for c in feats.columns if c not in ("window_tag", "container", "label", "capture_mode")] != list(contract):
+        raise AssertionError("column order does not match the contract")
+    feats = w.observe(feats, "features", **sinks.contract_counts(contract))
+    w.require(lambda n: None if n["lines"]["ok"] else f"no rows found for {raw_path}")
+    w.require(lambda n: f"{n['features']['bad']} NULL/NaN values after alignment" if n["features"]["bad"] else None, AssertionError)
+    w.require(lambda n: None if n["features"]["rows"] == len(windows) * n["keys"]["rows"] else
+              f"row count {n['features']['rows']} != {len(windows) * n['keys']['rows']}", AssertionError)
+    lines = w.write(feats, out, fmt, ["window_tag"])["lines"]
+    return spark.createDataFrame([(s, int(lines[s])) for s in readers.SYSDIG_STATUSES if lines[s]], "status string, n bigint")
+
+
 @dataclass
 class TrainedDetector:
     model: PipelineModel
@@ -116,7 +146,7 @@ def train_detector(df: DataFrame, label: str | None = None, kind: str = "random_
 
 def sweep_detectors(df: DataFrame, label: str | None = None, test_fraction: float = 0.2,
                     candidates: Sequence[str] = ("logistic_regression", "random_forest",
-                                                 "linear_svm", "gradient_boosting"),
+                                                 "linear_svm", "kernel_svm", "gradient_boosting"),
                     num_trees: int = 100, gbt_iterations: int = 100,
                     recipe: str = "network") -> tuple[DataFrame, DataFrame, PipelineModel]:
     """Candidate sweep (L7): prepare once, split once, fit each candidate
@@ -137,6 +167,7 @@ def sweep_detectors(df: DataFrame, label: str | None = None, test_fraction: floa
         "logistic_regression": lambda: models.logistic_regression(feats, label, n_rows=n),
         "random_forest": lambda: models.random_forest(feats, label, num_trees=num_trees),
         "linear_svm": lambda: models.linear_svm(feats, label),
+        "kernel_svm": lambda: kernel.kernel_svm(feats, label),
         "gradient_boosting": lambda: models.gradient_boosting(feats, label, max_iter=gbt_iterations),
     }
     fitted: dict[str, PipelineModel] = {}

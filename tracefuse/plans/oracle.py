@@ -222,6 +222,48 @@ ru AS (SELECT label AS y, 'syscall' AS model, pred_syscall AS pred FROM rf UNION
        SELECT label, 'network', pred_network FROM rf UNION ALL
        SELECT label, 'hybrid', pred_hybrid FROM rf)"""
 
+def _uniform(key: str, part: int) -> str:
+    """Uniform number of a text's MD5, as the library draws it."""
+    return f"((('0x' || substr(md5({key}), {1 + 13 * part}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def _normal(key: str) -> str:
+    return f"(sqrt(-2::DOUBLE * ln({_uniform(key, 0)})) * cos(2 * pi() * {_uniform(key, 1)}))"
+
+
+def _shrink(p: str, signal: str) -> str:
+    draw = _normal(f"'42:' || s.doc_id || ':' || gr.i || ':{signal}'")
+    return (f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + gr.scale * ({p} - 0.5::DOUBLE) "
+            f"+ {draw} * ((1.0::DOUBLE - gr.scale) * 0.1::DOUBLE)))")
+
+
+NOISY_SWEEP = f"""WITH {SCORES},
+  gr(i, n_window, scale) AS (VALUES (0, 5, 0.25::DOUBLE), (1, 10, 0.5::DOUBLE), (2, 15, 0.75::DOUBLE), (3, 30, 1.0::DOUBLE)),
+  x AS (SELECT gr.n_window, gr.scale, s.y, {_shrink('s.p_sys', 's')} AS ps, {_shrink('s.p_net', 'n')} AS pn
+        FROM s CROSS JOIN gr),
+  pr AS (SELECT n_window, scale, y, ps >= 0.5 AS a, pn >= 0.5 AS b, ps >= 0.6 OR (pn >= 0.5 AND ps >= 0.1) AS h FROM x),
+  m AS (SELECT n_window, scale, y, model, pred FROM pr UNPIVOT (pred FOR model IN (a, b, h))),
+  c AS (SELECT n_window, scale, model, count(*) FILTER (y = 1 AND pred) AS tp, count(*) FILTER (y = 0 AND pred) AS fp,
+               count(*) FILTER (y = 1 AND NOT pred) AS fn FROM m GROUP BY ALL),
+  f AS (SELECT n_window, scale, model, {_div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM c)
+SELECT CAST(n_window AS INTEGER) AS n_window, scale, max(f1) FILTER (model = 'a') AS f1_syscall,
+       max(f1) FILTER (model = 'b') AS f1_network, max(f1) FILTER (model = 'h') AS f1_hybrid FROM f GROUP BY ALL"""
+
+FOURIER = f"""WITH w AS (SELECT j, i, {_normal("'7:' || j || ':' || i")} * sqrt(2::DOUBLE / 64) AS w
+                FROM range(8) a(j), range(64) b(i)),
+  b AS (SELECT j, 2 * pi() * {_uniform("'7:' || j || ':phase'", 0)} AS b FROM range(8) a(j)),
+  x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  z AS (SELECT vec_id, w.j, round(0.5::DOUBLE * cos(sum(x * w ORDER BY w.i) + any_value(b)), 9) AS z
+        FROM x JOIN w ON w.i = x.i JOIN b ON b.j = w.j GROUP BY vec_id, w.j)
+SELECT vec_id, {", ".join(f"max(z) FILTER (j = {j}) AS z{j}" for j in range(8))} FROM z GROUP BY vec_id"""
+
+PLATT = """WITH m AS (SELECT doc_id, 2.0::DOUBLE * (doc_id % 2) - 1 AS margin,
+                  CASE WHEN doc_id % 2 = 0 THEN CAST(quality AS INTEGER) ELSE 1 - CAST(quality AS INTEGER) END AS y FROM labels),
+  n AS (SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM m),
+  r AS (SELECT margin, avg(CASE WHEN y = 1 THEN (n1 + 1)::DOUBLE / (n1 + 2) ELSE 1::DOUBLE / (n0 + 2) END) AS p
+        FROM m, n GROUP BY margin)
+SELECT doc_id, m.margin, round(p, 6) AS p FROM m JOIN r ON r.margin = m.margin"""
+
 ORACLE: dict[str, str] = {
     "detector_metrics": f"WITH {FUSED}, cm AS (SELECT model, {CONF} FROM u GROUP BY model) "
                         f"SELECT model, tn, fp, fn, tp, {RATES} FROM cm",
@@ -520,3 +562,24 @@ ORACLE |= {
         FROM mr JOIN r USING (x))
   SELECT 'one_tree' AS model, a AS train_accuracy, b AS test_accuracy, a - b AS gap, CAST(a - b > 0.05 AS INTEGER) AS overfit FROM h""",
 }
+
+ORACLE |= {"robustness_sweep_noisy": NOISY_SWEEP, "fourier_features": FOURIER, "platt_probabilities": PLATT}
+
+LOGS = """lg AS (SELECT page_id // 8 AS site, page_id % 5 AS k, 'call' || page_id % 5 || '(' || url || ')' || chr(10) AS line FROM pages),
+  fl AS (SELECT CASE WHEN site % 4 = 0 THEN 'mal_' ELSE 'site_' END || site || '.log' AS file, site % 3 = 0 AS silent,
+                sum(octet_length(encode(line)))::BIGINT AS bytes, count(*) AS n, count(DISTINCT k) AS names FROM lg GROUP BY site)"""
+
+ORACLE |= {
+    "log_inventory": f"""WITH {LOGS}
+  SELECT row_number() OVER (ORDER BY file) AS place, file, CASE WHEN silent THEN 0 ELSE bytes END AS bytes,
+         CASE WHEN silent THEN 0 ELSE n END AS n_calls, CASE WHEN silent THEN 0 ELSE names END AS n_names,
+         CAST(starts_with(file, 'mal_') AS INTEGER) AS label FROM fl""",
+    "log_preview": f"""WITH {LOGS}
+  SELECT file, CASE WHEN silent THEN 0 ELSE bytes END AS bytes FROM fl ORDER BY file LIMIT 10""",
+    "checked_window_features": f"""WITH {WINDOW_FEATURES},
+  seen AS (SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events),
+  put AS (SELECT count(*) AS written FROM wf)
+  SELECT window_tag, count(*) AS n_rows, {", ".join(f"CAST(sum({c}) AS BIGINT) AS sum_{c}" for c in EVENT_COLS)},
+         any_value(events) AS events, any_value(errors) AS errors, any_value(written) AS written
+  FROM wf, seen, put GROUP BY window_tag""",
+}

@@ -5,19 +5,21 @@ Column names match the DuckDB oracle in :mod:`tracefuse.plans.oracle`.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefuse.functions.contracts import NETWORK_CONTRACT
 from tracefuse.functions.fusion import CURRENT_RULE, LEGACY_RULE, fuse, probability_band
 from tracefuse.functions.scalar import base_name, label_from_name, safe_div
-from tracefuse.operators import counting, flows, metrics, models, pairing, prep, sampling, sweeps
+from tracefuse.operators import counting, flows, kernel, metrics, models, pairing, prep, sampling, sweeps
 from tracefuse.plans import standins as S
-from tracefuse.session import ensure_checkpoint_dir, fixed_table
-from tracefuse.sources.readers import parse_packets, parse_sysdig, read_manifest
+from tracefuse.session import cut_lineage, fixed_table, scratch_folder
+from tracefuse.sources.readers import (file_inventory, in_order, parse_packets, parse_sysdig, preview, read_manifest,
+                                       read_strace_logs)
+from tracefuse.sources.sinks import CheckedWrite, contract_counts
 
 PREDS = {"syscall": "pred_syscall", "network": "pred_network", "hybrid": "pred_hybrid"}
 
@@ -99,6 +101,11 @@ def robustness_sweep(spark, sf):
     return sweeps.robustness_sweep(S.scores(spark, sf))
 
 
+def robustness_sweep_noisy(spark, sf):
+    """With the Gaussian noise of the shrink study, drawn by document."""
+    return sweeps.robustness_sweep(S.scores(spark, sf), noise=True, key="doc_id")
+
+
 def threshold_sweep(spark, sf):
     return sweeps.threshold_sweep(S.scores(spark, sf))
 
@@ -356,10 +363,33 @@ def model_sweep(spark, sf):
     cands = {"logistic_regression": models.logistic_regression(cols, "y", n_rows=n),
              "random_forest": models.random_forest(cols, "y", num_trees=100, max_depth=30),
              "gradient_boosting": models.gradient_boosting(cols, "y"),
-             "linear_svm": models.linear_svm(cols, "y")}
+             "linear_svm": models.linear_svm(cols, "y"),
+             "kernel_svm": kernel.kernel_svm(cols, "y")}
     return models.candidate_sweep(train, test, cols, "y", cands, keep=["vec_id"])
 
 
+def kernel_svm_scores(spark, sf):
+    """RBF-kernel SVM by random Fourier features, with Platt probabilities."""
+    train, test, cols = _ml_split(spark, sf)
+    return models.score(kernel.kernel_svm(cols, "y").fit(train), test, ["vec_id"], "y")
+
+
+def fourier_features(spark, sf):
+    """Random Fourier features of every embedding."""
+    df, cols = S.embedding_rows(spark, sf)
+    size = 8
+    v = df.select("vec_id", array_to_vector(F.array(*cols)).alias("x"))
+    z = kernel.RandomFourierFeatures(inputCol="x", outputCol="z", size=size, gamma=1.0 / 64, seed=7).transform(v)
+    return z.select("vec_id", *[F.round(vector_to_array(F.col("z"))[j], 9).alias(f"z{j}") for j in range(size)])
+
+
+def platt_probabilities(spark, sf):
+    """Platt's curve over margins of two values, where it reproduces the smoothed rates."""
+    rows = S.model_rows(spark, sf).select("doc_id", "y", (F.lit(2.0) * F.col("x") - 1).alias("margin"))
+    curve = kernel.fit_platt(rows, "margin", "y")
+    return rows.select("doc_id", "margin", F.round(curve.probability(F.col("margin")), 6).alias("p"))
+
+
 def feature_importance(spark, sf):
     train, _, cols = _ml_split(spark, sf)
     m = models.random_forest(cols, "y", num_trees=200).fit(train)
@@ -389,9 +419,46 @@ def manifest_parse(spark, sf):
     rows = manifest.join(keys, "container").select(
         F.concat(F.lit("u"), F.col("container").cast("string")).alias("container"), "start_ts",
         (F.col("start_ts") + S.DAY).alias("end_ts"), "label")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
-    rows.write.option("header", True).csv(path)
-    return read_manifest(spark, path)
+    with scratch_folder(spark, "manifest") as path:
+        rows.write.option("header", True).csv(path)
+        return cut_lineage(read_manifest(spark, path))
+
+
+def log_inventory(spark, sf):
+    """Log files in the order of their names (K1): bytes, calls and label of each, empty files included."""
+    with scratch_folder(spark, "logs") as path:
+        S.write_page_logs(spark, sf, path)
+        files = in_order(file_inventory(spark, path, "*.log"), ["file"])
+        calls = read_strace_logs(spark, path).groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("syscall").alias("names"))
+        return cut_lineage(files.join(calls, "file", "left").select(
+            "place", "file", "bytes", F.coalesce("n", F.lit(0)).alias("n_calls"), F.coalesce("names", F.lit(0)).alias("n_names"),
+            label_from_name("file", "syscall").alias("label")))
+
+
+def log_preview(spark, sf):
+    """The first ten log files by name (K7)."""
+    with scratch_folder(spark, "logs") as path:
+        S.write_page_logs(spark, sf, path)
+        return cut_lineage(preview(file_inventory(spark, path, "*.log"), ["file"], 10))
+
+
+def checked_window_features(spark, sf):
+    """Features written beside, checked by the writing job's own counts and swapped in; read back with those counts."""
+    ev, manifest, keys = S.window_events(spark, sf)
+    w = CheckedWrite()
+    ev = w.observe(ev, "events", rows=F.count(F.lit(1)), errors=F.count_if(F.col("syscall") == "error"))
+    mapped = counting.map_syscalls(ev, "syscall", S.EVENT_ALIASES, S.EVENT_CONTRACT)
+    feats = counting.window_features(mapped, manifest, "container", "ts_s", S.EVENT_CONTRACT, S.WINDOW_DAYS, keys=keys,
+                                     unit_seconds=S.DAY, restrict=False)
+    feats = w.observe(feats, "features", **contract_counts(S.EVENT_CONTRACT))
+    w.require(lambda n: "missing values" if n["features"]["bad"] else None, AssertionError)
+    with scratch_folder(spark, "features") as path:
+        counts = w.write(feats, f"{path}/table")
+        rows = spark.read.parquet(f"{path}/table").groupBy("window_tag").agg(
+            F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).cast("bigint").alias(f"sum_{c}") for c in S.EVENT_CONTRACT])
+        return cut_lineage(rows.withColumns({
+            "events": F.lit(counts["events"]["rows"]).cast("bigint"), "errors": F.lit(counts["events"]["errors"]).cast("bigint"),
+            "written": F.lit(counts["features"]["rows"]).cast("bigint")}))
 
 
 def counts_with_silent_files(spark, sf):
@@ -532,6 +599,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accuracy_summary": accuracy_summary,
     "rule_agreement": rule_agreement,
     "robustness_sweep": robustness_sweep,
+    "robustness_sweep_noisy": robustness_sweep_noisy,
     "threshold_sweep": threshold_sweep,
     "threshold_choice": threshold_choice,
     "pair_predictions": pair_predictions,
@@ -561,10 +629,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lr_scores": lr_scores,
     "rf_scores": rf_scores,
     "model_sweep": model_sweep,
+    "kernel_svm_scores": kernel_svm_scores,
+    "fourier_features": fourier_features,
+    "platt_probabilities": platt_probabilities,
     "feature_importance": feature_importance,
     "overfit_gap": overfit_gap,
     "packet_line_parse": packet_line_parse,
     "manifest_parse": manifest_parse,
+    "log_inventory": log_inventory,
+    "log_preview": log_preview,
+    "checked_window_features": checked_window_features,
     "counts_with_silent_files": counts_with_silent_files,
     "flows_with_empty_captures": flows_with_empty_captures,
     "prepared_columns": prepared_columns,

@@ -6,15 +6,22 @@ return lazy DataFrames; file names come from the ``_metadata`` column.
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import fnmatch
+import re
+from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefuse.functions.contracts import SYSDIG_SENTINEL
 from tracefuse.operators.counting import extract_calls
+from tracefuse.operators.ranking import global_rank
+from tracefuse.session import hadoop_path
 
+SYSDIG_STATUSES = ("ok", "blank", "sentinel", "short", "bad_time")
 MANIFEST_SCHEMA = "container string, label int, start_ts bigint, end_ts bigint"
 PACKET_SCHEMA = ("frame_len double, ip_proto string, tcp_dstport int, udp_dstport int, "
                  "t double")
@@ -42,14 +49,43 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -
                          if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in fields])
 
 
-def list_files(spark: SparkSession, directory: str, glob: str) -> DataFrame:
-    """One row (``file``) per file of a directory, empty ones included; contents are not read.
+def file_inventory(spark: SparkSession, directory: str | Sequence[str], glob: str) -> DataFrame:
+    """(file, bytes) per file of a folder or of several, empty ones included (K1's input, S3, S4, S10).
 
-    The names come from Spark's own file listing: scans skip files of length zero.
+    Each folder is listed by a task, from metadata alone: nothing is opened and
+    no name passes the driver.  (Spark's own scans leave out files of length
+    zero.)  Hidden files are skipped, as Spark skips them.
     """
-    paths = spark.read.option("pathGlobFilter", glob).text(directory).inputFiles()
-    names = sorted(unquote(p.rstrip("/").rpartition("/")[2]) for p in paths)
-    return spark.createDataFrame([(n,) for n in names], "file string")
+    folders = []
+    for d in [directory] if isinstance(directory, str) else directory:
+        fs, at = hadoop_path(spark, d)
+        folders.append((fs.makeQualified(at).toString(),))
+
+    def listed(batches):
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                store, base = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
+                found = [(f.base_name, f.size) for f in store.get_file_info(pafs.FileSelector(base))
+                         if f.is_file and f.base_name[:1] not in "._" and fnmatch.fnmatchcase(f.base_name, glob)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()),
+                                                  pa.array([n for _, n in found], pa.int64())], ["file", "bytes"])
+
+    return spark.createDataFrame(folders, "folder string").repartition(len(folders)).mapInArrow(listed, "file string, bytes bigint")
+
+
+def list_files(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    """One row (``file``) per file of a directory, empty ones included; contents are not read."""
+    return file_inventory(spark, directory, glob).select("file")
+
+
+def in_order(df: DataFrame, order_cols: Sequence[str], place: str = "place") -> DataFrame:
+    """K1: rows with their place (from 1) in an order, ranked in range blocks; order the result by ``place`` to print it."""
+    return global_rank(df, [], order_cols, rank_col=place)
+
+
+def preview(df: DataFrame, order_cols: Sequence[str], n: int = 5) -> DataFrame:
+    """K7: the first ``n`` rows in an order; each task keeps its first ``n`` only."""
+    return df.orderBy(*order_cols).limit(n)
 
 
 def parse_sysdig(lines: DataFrame, value_col: str = "value") -> DataFrame:
