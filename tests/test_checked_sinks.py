@@ -87,13 +87,13 @@ def test_checks_raise_and_keep_the_old_table(spark, tmp_path):
 
 
 def test_inventory_order_and_preview(spark, tmp_path):
-    for name, body in (("b.log", "x(1)\n"), ("a b%20.log", ""), ("c d%20é.log", "open(1)\n"), ("Z.log", "read(2)\nopen(1)\n"), ("skip.txt", "no")):
+    for name, body in (("b.log", "x(1)\n"), ("a b%20.log", ""), ("c d+%20é.log", "open(1)\n"), ("Z.log", "read(2)\nopen(1)\n"), ("skip.txt", "no")):
         (tmp_path / name).write_text(body)
     files = readers.file_inventory(spark, str(tmp_path), "*.log")
     got = [(r.place, r.file, r.bytes) for r in readers.in_order(files, ["file"]).orderBy("place").collect()]
-    assert got == [(1, "Z.log", 16), (2, "a b%20.log", 0), (3, "b.log", 5), (4, "c d%20é.log", 8)]
+    assert got == [(1, "Z.log", 16), (2, "a b%20.log", 0), (3, "b.log", 5), (4, "c d+%20é.log", 8)]
     assert [r.file for r in readers.preview(files, ["file"], 2).collect()] == ["Z.log", "a b%20.log"]
-    assert {r.file for r in readers.read_strace_logs(spark, str(tmp_path)).collect()} == {"Z.log", "b.log", "c d%20é.log"}
+    assert {r.file for r in readers.read_strace_logs(spark, str(tmp_path)).collect()} == {"Z.log", "b.log", "c d+%20é.log"}
     assert readers.file_inventory(spark, str(tmp_path), "*.none").count() == 0
 
 

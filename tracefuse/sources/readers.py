@@ -49,6 +49,11 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -
                          if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in fields])
 
 
+def _file_name() -> F.Column:
+    """Name of the file a row came from; Spark's metadata column has it percent-encoded (and '+' as it is)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def file_inventory(spark: SparkSession, directory: str | Sequence[str], glob: str) -> DataFrame:
     """(file, bytes) per file of a folder or of several, empty ones included (K1's input, S3, S4, S10).
 
@@ -120,7 +125,7 @@ def read_strace_logs(spark: SparkSession, directory: str, glob: str = "*.log") -
     """One key per ``*.log`` file; each line's first call-like name (S3, P10).
     A file without a call has no row here; ``list_files`` names it.  Malformed bytes decode to replacement characters instead of failing."""
     lines = (spark.read.option("pathGlobFilter", glob).text(directory)
-             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")))
+             .select(_file_name().alias("file"), F.col("value").alias("line")))
     return extract_calls(lines, "line", "syscall").select("file", "syscall")
 
 
@@ -148,7 +153,7 @@ def read_packets(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFra
     row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(38,0)")
     place = F.col("_metadata.file_block_start").cast("decimal(27,0)") * F.lit(1 << 33).cast("decimal(10,0)") + row_in_task
     lines = (spark.read.option("pathGlobFilter", glob).text(path)
-             .select(F.col("_metadata.file_name").alias("file"), place.cast("decimal(38,0)").alias("ordinal"), "value"))
+             .select(_file_name().alias("file"), place.cast("decimal(38,0)").alias("ordinal"), "value"))
     return parse_packets(lines).filter(F.col("status") == "ok").drop("status")
 
 
