@@ -85,7 +85,7 @@ def test_noise_does_not_follow_partitions(spark):
     assert other != noisy
 
 
-def test_wide_grid_is_cut_into_integers(spark):
+def test_wide_grid(spark):
     df = spark.range(500).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 500).alias("p_sys"), ((500 - F.col("id")) / 500).alias("p_net"))
     grid = [(i, 0.25 + i / 100) for i in range(27)]
     got = {r.n_window: r for r in robustness_sweep(df, grid=grid).collect()}

@@ -126,3 +126,23 @@ def test_null_group_in_roc_and_window_metrics(spark):
     assert pts.filter("window_tag is null").count() == 1 + 3
     wm = {r.window_tag: r for r in M.window_metrics(df, "y", "pred", "p").collect()}
     assert wm[None].roc_auc == 1.0 and wm["w"].roc_auc == 1.0
+
+
+def test_auc_by_digits_equals_pair_count(spark):
+    """Negative, tiny, huge, infinite and signed-zero scores; NULL groups; many ties."""
+    import itertools
+    import random
+    from tracefuse.operators.metrics import roc_auc
+    rnd = random.Random(12)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 0.1, 0.1 + 2**-56, 0.5, 1.0, -1.0]
+    rows = [(rnd.choice(["a", None]), rnd.randint(0, 1), rnd.choice(odd) if rnd.random() < 0.5 else rnd.gauss(0, 1)) for _ in range(500)]
+    rows += [("one", 1, 0.3), ("a", 1, None), ("a", 0, float("nan")), ("a", None, 0.2)]
+    got = {r.g: r for r in roc_auc(spark.createDataFrame(rows, "g string, y int, s double"), "y", "s", ["g"]).collect()}
+    for g in ("a", None):
+        pos = [s for k, y, s in rows if k == g and y == 1 and s is not None and s == s]
+        neg = [s for k, y, s in rows if k == g and y == 0 and s is not None and s == s]
+        u2 = sum(2 * (p > n) + (p == n) for p, n in itertools.product(pos, neg))
+        assert (got[g].n_pos, got[g].n_neg) == (len(pos), len(neg)) and got[g].roc_auc == u2 / (2 * len(pos) * len(neg))
+    assert got["one"].roc_auc is None
+    plan = roc_auc(spark.range(9).selectExpr("cast(id % 2 as int) y", "id / 9 as s"), "y", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan

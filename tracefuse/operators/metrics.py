@@ -118,27 +118,53 @@ def _score_groups(df: DataFrame, y: str, score: str, group_cols: Sequence[str])
             .agg(_count(_is("_y", 1)).alias("pos"), _count(_is("_y", 0)).alias("neg")))
 
 
+#: a score's order is read in this many digits of 16 bits
+_DIGITS = 4
+
+
+def _order_digits(score: str) -> list[Column]:
+    """The 64-bit order of a double as digits of 16 bits, the highest first.
+
+    IEEE bits order like the numbers once the others are flipped for negative ones.
+    """
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(score)).cast("bigint")
+    signed = F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+    digits = []
+    for d in range(_DIGITS):
+        digit = F.shiftright(signed, 48 - 16 * d)
+        # the highest digit keeps its sign, the others are 0 to 65535
+        digits.append(digit if d == 0 else digit.bitwiseAND(F.lit(0xFFFF)))
+    return digits
+
+
 def roc_auc(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact ROC-AUC with ties counted 1/2 (A13); NULL when a class is absent.
 
     Scores are first reduced to one row per distinct score (map-side
-    combined); the count of negatives below each score is an exact running
-    sum over range blocks (no single-task window).  2U is an integer, so the
+    combined).  Twice the number of ordered pairs is then summed up digit by
+    digit, the lowest first: among the rows that agree in all higher digits, a
+    row's negatives below are those of the smaller digits, and the rows roll up
+    to one per higher prefix.  A window thus never holds more than 65,536 rows,
+    and nothing is sorted as a whole or written.  2U is an integer, so the
     result is one IEEE division.
     """
-    g = _score_groups(df, y, score, group_cols)
-    r = running_sums(g, group_cols, ["score"], ["neg"])
+    keys = list(group_cols)
+    names = [f"_d{d}" for d in range(_DIGITS)]
     # products of counts leave 64 bits at about 2e9 rows a class: exact 38-digit decimals
-    pos, neg, below = (F.col(c).cast("decimal(38,0)") for c in ("pos", "neg", "cum_neg"))
-    two = F.lit(2).cast("decimal(1,0)")
-    u2 = (pos * (two * (below - neg) + neg).cast("decimal(38,0)")).cast("decimal(38,0)")
-    agg = r.groupBy(*group_cols).agg(F.sum(u2).alias("u2"), F.sum("pos").alias("n_pos"),
-                                      F.sum("neg").alias("n_neg"))
-    auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-                 F.col("u2").cast("double") / (two * (F.col("n_pos").cast("decimal(38,0)")
-                                                    * F.col("n_neg").cast("decimal(38,0)")).cast("decimal(38,0)"))
-               .cast("double"))
-    return agg.select(*group_cols, auc.alias("roc_auc"), "n_pos", "n_neg")
+    wide, two = "decimal(38,0)", F.lit(2).cast("decimal(1,0)")
+    g = _score_groups(df, y, score, group_cols)
+    # rows of one score are ties: half of their pairs count
+    u2 = (F.col("pos").cast(wide) * F.col("neg").cast(wide)).cast(wide)
+    r = g.select(*keys, "pos", "neg", *[c.alias(n) for n, c in zip(names, _order_digits("score"))], u2.alias("u2"))
+    for d in reversed(range(_DIGITS)):
+        prefix = [*keys, *names[:d]]
+        below = F.sum("neg").over(Window.partitionBy(*prefix).orderBy(names[d]).rowsBetween(Window.unboundedPreceding, -1))
+        pairs = (F.col("pos").cast(wide) * (two * F.coalesce(below, F.lit(0)).cast(wide)).cast(wide)).cast(wide)
+        r = (r.withColumn("u2", (F.col("u2") + pairs).cast(wide)).groupBy(*prefix)
+             .agg(F.sum("u2").cast(wide).alias("u2"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0),
+                 F.col("u2").cast("double") / (two * (F.col("pos").cast(wide) * F.col("neg").cast(wide)).cast(wide)).cast("double"))
+    return r.select(*keys, auc.alias("roc_auc"), F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"))
 
 
 def roc_points(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),

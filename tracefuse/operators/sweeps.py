@@ -15,14 +15,12 @@ from tracefuse.session import cut_lineage
 SHRINK_GRID: tuple[tuple[int, float], ...] = ((5, 0.25), (10, 0.50), (15, 0.75), (30, 1.00))
 
 
-#: grid points whose verdicts fit one integer (three bits a point)
-_POINTS = 20
 _NAMES = ("syscall", "network", "hybrid")
 
 
-def noise_key(seed: int, row: Column, point: int, signal: str) -> Column:
+def noise_key(seed: int, row: Column, point: Column, signal: str) -> Column:
     """Text that names one noise draw: seed, row key, grid point and signal."""
-    return F.concat_ws(":", F.lit(str(seed)), F.coalesce(row.cast("string"), F.lit("")), F.lit(str(point)), F.lit(signal))
+    return F.concat_ws(":", F.lit(str(seed)), F.coalesce(row.cast("string"), F.lit("")), point.cast("string"), F.lit(signal))
 
 
 def robustness_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: str = "p_net",
@@ -32,49 +30,38 @@ def robustness_sweep(df: DataFrame, y: str = "y", p_sys: str = "p_sys", p_net: s
     with sd ``(1 - scale) * 0.1``), clip to [0, 1], and report F1 of the
     syscall, network and fused predictors per window (R1, P22).
 
-    A row's verdicts (three per grid point) are the bits of one integer; rows
-    are counted by (class, integer), and only those few counts are expanded.
-    ``noise=True`` draws from a hash of (seed, ``key``, grid point, signal), so
-    the result does not depend on partitions or retries; rows with one key
-    share their draws.  Without ``key`` a row is its class and two scores.
+    Every row meets every grid point inside its task, its three verdicts become
+    one small integer, and the counts by (point, class, integer) - at most 16 a
+    point - are all that is shuffled.  ``noise=True`` draws from a hash of (seed,
+    ``key``, grid point, signal), so the result does not depend on partitions or
+    retries; rows with one key share their draws.  Without ``key`` a row is its
+    class and two scores.
     """
-    grid = list(grid)
-    if len(grid) > _POINTS:
-        head = robustness_sweep(df, y, p_sys, p_net, grid[:_POINTS], noise, seed, rule, key)
-        return head.unionByName(robustness_sweep(df, y, p_sys, p_net, grid[_POINTS:], noise, seed, rule, key))
     row = F.col(key) if key else F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in (y, p_sys, p_net)])
+    points = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(int(n)).alias("n_window"), F.lit(float(s)).alias("scale"))
+                       for i, (n, s) in enumerate(grid)])
     x = df.select(F.col(y).cast("int").alias("_y"), nan_to_null(p_sys).alias("_s"), nan_to_null(p_net).alias("_n"),
-                  *([row.alias("_row")] if noise else [])).filter(F.col("_y").isin(0, 1))
+                  *([row.alias("_row")] if noise else [])).filter(F.col("_y").isin(0, 1)).select("*", F.inline(points))
 
-    def shrink(c: str, i: int, scale: float) -> Column:
-        v = F.lit(0.5) + F.lit(float(scale)) * (F.col(c) - F.lit(0.5))
-        if noise and scale != 1.0:
-            v = v + hash_normal(noise_key(seed, F.col("_row"), i, c[1:])) * F.lit((1.0 - float(scale)) * 0.1)
+    def shrink(c: str) -> Column:
+        v = F.lit(0.5) + F.col("scale") * (F.col(c) - F.lit(0.5))
+        if noise:
+            sd = (F.lit(1.0) - F.col("scale")) * F.lit(0.1)
+            v = v + hash_normal(noise_key(seed, F.col("_row"), F.col("_i"), c[1:])) * sd
         return clip01(v)
 
-    x = x.withColumns({f"_p{c}{i}": shrink(c, i, scale) for i, (_, scale) in enumerate(grid) for c in ("_s", "_n")})
-    bits = F.lit(0).cast("bigint")
-    for i in range(len(grid)):
-        s, n = f"_p_s{i}", f"_p_n{i}"
-        for j, verdict in enumerate((predict(s), predict(n), rule.decide(s, n))):
-            bits = bits + verdict.cast("bigint") * F.lit(1 << (3 * i + j))
-    counts = x.groupBy("_y", bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_rows"))
-
-    def bit(i: int, j: int) -> Column:
-        return F.col("_bits").bitwiseAND(F.lit(1 << (3 * i + j))) != 0
-
-    points = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(int(n)).alias("n_window"), F.lit(float(s)).alias("scale"),
-                                *[bit(i, j).alias(name) for j, name in enumerate(_NAMES)])
-                       for i, (n, s) in enumerate(grid)])
-    each = counts.select("_y", "_rows", F.inline(points))
+    x = x.withColumns({"_s": shrink("_s"), "_n": shrink("_n")})
+    verdicts = (predict("_s"), predict("_n"), rule.decide("_s", "_n"))
+    bits = sum((v * F.lit(1 << j) for j, v in enumerate(verdicts)), F.lit(0))
+    counts = x.groupBy("_i", "n_window", "scale", "_y", bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_rows"))
 
-    def total(true: int, name: str, pred: bool) -> Column:
-        hit = (F.col("_y") == true) & (F.col(name) if pred else ~F.col(name))
-        return F.sum(F.when(hit, F.col("_rows")).otherwise(0))
+    def total(true: int, j: int, pred: bool) -> Column:
+        said = F.col("_bits").bitwiseAND(F.lit(1 << j)) != 0
+        return F.sum(F.when((F.col("_y") == true) & (said if pred else ~said), F.col("_rows")).otherwise(0))
 
-    sums = each.groupBy("_i", "n_window", "scale").agg(*[
-        total(true, name, pred).alias(f"{kind}_{name}")
-        for name in _NAMES for kind, true, pred in (("tp", 1, True), ("fp", 0, True), ("fn", 1, False))])
+    sums = counts.groupBy("_i", "n_window", "scale").agg(*[
+        total(true, j, pred).alias(f"{kind}_{name}") for j, name in enumerate(_NAMES)
+        for kind, true, pred in (("tp", 1, True), ("fp", 0, True), ("fn", 1, False))])
     return sums.select("n_window", "scale", *[
         safe_div(2 * F.col(f"tp_{n}"), 2 * F.col(f"tp_{n}") + F.col(f"fp_{n}") + F.col(f"fn_{n}")).alias(f"f1_{n}")
         for n in _NAMES])
