@@ -46,21 +46,22 @@ def corpus():
               "en", "hot", 1) for i in range(5)]
     copy = "\n".join(sentence(rnd, 12) for _ in range(6))
     rows += [(300 + i, copy, "en", "hot", 1) for i in range(60)]
-    near = [copy.replace("\n", f"\n{sentence(rnd, 3)} ", 1) for _ in range(20)]
+    near = [copy.replace("\n", f"\n{sentence(rnd, 3)} ", 1) for _ in range(9)]  # with the copies ten texts: not above the limit
     rows += [(400 + i, t, "en", "hot", 1) for i, t in enumerate(near)]
     rows += [(500 + i, sentence(rnd, 40) + "\n" + common, "en", None, 1) for i in range(30)]
     return rows, common
 
 
-def test_frequent_lines_reject_depleted_documents_only(lspark):
+def test_frequent_lines_reject_depleted_documents_only(lspark, monkeypatch):
     rows, common = corpus()
     df = frame(lspark, rows)
-    for bound in (0, 1000):  # shuffle join and broadcast join
-        got = {r.doc_id: r for r in line_rules.judge(df, broadcast_rows=bound).collect()}
+    for bound in (1, 20, 10_000):  # no, some and all lines broadcast
+        monkeypatch.setattr(line_rules, "HOT_LINES", bound)
+        got = {r.doc_id: r for r in line_rules.judge(df).collect()}
         assert len(got) == len(rows)
         for i, r in got.items():
             assert r.kept == (not 200 <= i < 300), (i, r)
-            # copies and near copies of one text are one document: their lines stay
+            # copies are one document: with nine other texts their lines are at the limit and stay
             assert r.removed_words == (0 if 300 <= i < 500 else 24 if 200 <= i < 300 else 8), (i, r.removed_words)
 
 
@@ -82,7 +83,7 @@ def test_strip_and_keep(lspark):
     assert len(out) == len(rows) - 5
     assert not any(common in t for t in out.values())
     before = {r[0]: r[1] for r in rows}
-    assert all(out[i] == before[i] for i in [*range(300, 360), *range(400, 420)])
+    assert all(out[i] == before[i] for i in [*range(300, 360), *range(400, 409)])
 
 
 def test_empty_table(lspark):
@@ -111,17 +112,59 @@ def test_template_pages_are_depleted(lspark):
         assert all(r.removed_words == 90 and not r.kept for r in got)
 
 
-def test_large_group_of_near_copies_is_one_document(lspark):
+def test_template_pages_that_differ_in_a_word_or_a_figure(lspark):
+    """Different texts are different documents; equal ones count once however many there are."""
     rnd = random.Random(23)
-    first, second = sentence(rnd, 75).split(), sentence(rnd, 75).split()
-    rows = []
-    for i in range(400):
-        a, b = list(first), list(second)
-        for _ in range(i % 4):
-            rnd.choice((a, b))[rnd.randrange(75)] = f"new{rnd.randrange(10**9):x}"
-        rows.append((i, " ".join(a) + "\n" + " ".join(b), "en", "hot", 1))
+    shared = [sentence(rnd, 45), sentence(rnd, 45)]
+    for own in (lambda i: f"page number {i} of this house", lambda i: f"the word of the day is w{i:04x}x here"):
+        rows = [(i, "\n".join([shared[0], own(i), shared[1]]), "en", "site", 1) for i in range(40)]
+        got = line_rules.judge(frame(lspark, rows)).collect()
+        assert all(not r.kept and r.removed_words >= 90 for r in got)
+    copies = [(i, "\n".join([shared[0], "page number 1", shared[1]]), "en", "site", 1) for i in range(400)]
+    assert all(r.kept and not r.removed_words for r in line_rules.judge(frame(lspark, copies)).collect())
+
+
+def brute_verdicts(rows):
+    """Distinct texts per (host, normalised line), over all rows."""
+    import re as _re
+    def keys(text):
+        out = {}
+        for line in (text or "").split("\n"):
+            w = _re.findall(r"[^\x20\x09-\x0D]+", line)
+            if w:
+                k = _re.sub("[1-9]", "0", _re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(w)))
+                out[k] = out.get(k, 0) + len(w)
+        return out
+    holders = {}
+    for r in rows:
+        for k in keys(r[1]):
+            holders.setdefault((r[3], k), set()).add(r[1] or "")
+    out = []
+    for r in rows:
+        gone = sum(n for k, n in keys(r[1]).items() if len(holders[r[3], k]) > 10)
+        n, failed = brute(r[1])[0], brute(r[1])[5]
+        out.append((r[0], gone, not failed and not 100 * (n - gone) < 20 * n))
+    return sorted(out, key=str)
+
+
+def test_verdicts_against_brute_force(lspark):
+    rows = edge_rows() + corpus()[0]
+    rnd = random.Random(31)
+    pool = [sentence(rnd, 7) for _ in range(25)]
+    rows += [(2000 + i, "\n".join(rnd.choice(pool) for _ in range(6)), "en", rnd.choice(["s0", None, "hot"]), 1) for i in range(200)]
     got = line_rules.judge(frame(lspark, rows)).collect()
-    assert not any(r.removed_words for r in got)
+    assert sorted(((r.doc_id, r.removed_words, r.kept) for r in got), key=str) == brute_verdicts(rows)
+
+
+def test_clashing_names(lspark):
+    from pyspark.sql import functions as F
+    rows, _ = corpus()
+    names = ("_id", "_key", "_keys", "_host", "_bad_id", "_bad_key", "v_id", "v_key", "v_gone", "v_host", "c0", "c1", "c9", "f_host", "words")
+    df = frame(lspark, rows).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for run in (line_rules.keep_good, line_rules.strip_lines):
+        out = run(df)
+        assert out.columns == df.columns and out.count() == len(rows) - 5
+        assert out.select("v_gone", "c9", "_keys").distinct().collect() == [(8, 12, 2)]
 
 
 def test_limit_does_not_grow_with_the_host(lspark):

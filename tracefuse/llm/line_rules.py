@@ -6,32 +6,30 @@ hashed; for each host (``source``) and line the distinct documents that have it
 are counted; lines above the limit are removed, and a document that loses too
 much of itself is rejected.
 
-Copies of one document are not many documents.  A document has ``DRAWS``
-sketches; a sketch is made of one four-word shingle of every line, the one with
-the smallest hash.  Copies agree in all sketches, near copies (a few words
-changed) in some of them, and pages that share header and footer but have a line
-of their own in none.  Documents of a host with an equal sketch are one group; a
-document counts 1 / (its largest group), so n unrelated documents count n and a
-group of copies counts one beside them, whatever its size.
+Copies of one document are not many documents: rows of a host with equal texts
+count once, however many there are.  Texts that differ anywhere are different
+documents, so template pages with a word of their own count one by one.
 
 Texts are read once; the narrow per-document rows (counts and 8-byte line
 hashes) are written to the checkpoint folder and everything else derives from
-them.  Counts per sketch and per line are pre-aggregated, so a line in a third of
-all documents is never brought together row by row.
+them.  A line's rows are made distinct by (host, line, text) before they are
+counted, so a line in a third of all documents is one partial count a task.
+Where the verdict goes back to the rows, lines with more than 1/``HOT_LINES`` of
+all rows (at most ``HOT_LINES`` of them) are broadcast and the others, of which
+none is large, are joined by shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefuse.llm.common import as_bytes, blobs, splitmix64
+from tracefuse.llm.common import as_bytes, blobs
 from tracefuse.session import cut_lineage
 
 MIN_WORDS = 20
@@ -39,17 +37,10 @@ WINDOW_WORDS = 8
 MAX_REPEAT_PERCENT = 30
 #: a line is frequent above this many distinct documents of its host, however large the host
 LINE_MIN_DOCS = 10
-#: share of a host's documents (per mille) in the SQL only; above the limit from 2,000 documents a host on
-LINE_PER_MILLE = 5
 #: a document is depleted when fewer than this percentage of its words is left
 MIN_LEFT_PERCENT = 20
-#: sketches of a document, and words of the shingles they are made of
-DRAWS = 8
-SHINGLE_WORDS = 4
-#: a document's count is a whole number of these parts, so sums have no rounding
-PARTS = 10**9
-#: frequent (host, line) rows are broadcast up to this count (about 40 bytes each)
-BROADCAST_ROWS = 200_000
+#: a line is hot when it has more than this fraction (one in so many) of all rows
+HOT_LINES = 10_000
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -86,32 +77,11 @@ def line_key(line_words: list[bytes]) -> int:
     return int.from_bytes(hashlib.md5(norm).digest()[:8], "big")
 
 
-def sketches(lines: list[list[bytes]]) -> list[int]:
-    """``DRAWS`` order-free hashes of a text: each adds up the smallest shingle hash of every line."""
-    if not lines:
-        return [0] * DRAWS
-    words = b" ".join([b" ".join(lw) for lw in lines]).lower().translate(_DIGITS).split()
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    first = np.cumsum(sizes) - sizes
-    n = len(words)
-    hashed = np.zeros(n + SHINGLE_WORDS - 1, np.uint64)
-    hashed[:n] = np.fromiter(map(zlib.crc32, words), np.uint64, n) + np.uint64(1)
-    left = np.repeat(first + sizes, sizes) - np.arange(n)  # words from here to the end of the line
-    shingle = np.zeros(n, np.uint64)
-    for i in range(SHINGLE_WORDS):
-        shingle = splitmix64(shingle + np.where(left > i, hashed[i:i + n], np.uint64(0)))
-    drawn = splitmix64(shingle + np.arange(1, DRAWS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
-    # shingles stay inside a line; a line of fewer words is one shingle
-    inside = (left >= SHINGLE_WORDS) | (left == np.repeat(sizes, sizes))
-    lowest = np.minimum.reduceat(np.where(inside, drawn, np.uint64(2**64 - 1)), first, axis=1)
-    return splitmix64(lowest).sum(axis=1, dtype=np.uint64).tolist()
-
-
 def measure(text: bytes) -> tuple:
-    """Counts of one text, its distinct lines' keys and word counts over all occurrences, its sketches."""
+    """Counts of one text, its distinct lines' keys and their word counts over all occurrences."""
     words = text.split()
     word_chars = len(b"".join(words).decode("utf-8", "replace"))
-    n_dup, seen, counts, cut = 0, set(), {}, []
+    n_dup, seen, counts = 0, set(), {}
     for line in text.split(b"\n"):
         lw = line.split()
         if not lw:
@@ -119,15 +89,14 @@ def measure(text: bytes) -> tuple:
         if line in seen:
             n_dup += 1
         seen.add(line)
-        cut.append(lw)
         k = line_key(lw)
         counts[k] = counts.get(k, 0) + len(lw)
     return (len(words), word_chars, len(SYMBOLS.findall(text)), n_dup, repeat_words(words),
-            list(counts), list(counts.values()), sketches(cut))
+            list(counts), list(counts.values()))
 
 
 _SCHEMA = ("doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, "
-           "n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<long>, sketches array<long>")
+           "n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<long>")
 
 
 def _signed(values: list[int]) -> list[int]:
@@ -139,76 +108,88 @@ def _measure_batches(batches):
         rows = [measure(t) for t in blobs(b.column(3))]
         arrays = [b.column(0), b.column(1), b.column(2)]
         arrays += [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        arrays += [pa.array([_signed(r[i]) for r in rows], pa.list_(pa.int64())) for i in range(5, 8)]
+        arrays += [pa.array([_signed(r[i]) for r in rows], pa.list_(pa.int64())) for i in (5, 6)]
         yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _SCHEMA.split(", ")])
 
 
-def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def frequent_lines(facts: DataFrame, min_docs: int = LINE_MIN_DOCS) -> DataFrame:
+    """(host, line, docs): lines in more than ``min_docs`` distinct texts of a host."""
+    each = facts.select("host", "text_key", F.explode("keys").alias("line")).distinct()
+    return each.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
+
+
+def judge(docs: DataFrame) -> DataFrame:
     """Measures and verdict per row: doc_id, host, text_key, counts, removed_words, removed_keys, base_failed, kept.
 
     ``removed_keys`` are the hashes of the document's own lines above the limit.
 
     Edge cases: NULL and blank texts have no words and fail the base rule; a
-    NULL source is a host of its own; copies of a one-line
-    document count once; repeated rows each get the same verdict; an empty
-    table gives an empty result; only doc_id, text and source are read.
+    NULL source is a host of its own; equal texts of a host count once;
+    repeated rows each get the same verdict; an empty table gives an empty
+    result; only doc_id, text and source are read.
     """
     text = as_bytes("text")
     facts = cut_lineage(docs.select("doc_id", F.col("source").alias("host"),
                                     F.xxhash64(text).alias("text_key"), text.alias("text"))
                         .mapInArrow(_measure_batches, _SCHEMA)
                         .withColumn("row_no", F.monotonically_increasing_id()))
-    # copies: rows of a host that agree in a sketch; only groups of two and more are joined back
-    drawn = facts.select("row_no", "host", F.posexplode("sketches").alias("draw", "sketch"))
-    groups = (drawn.groupBy("host", "draw", "sketch").agg(F.count("*").alias("members")).filter("members > 1")
-              .select(F.col("host").alias("g_host"), F.col("draw").alias("g_draw"), F.col("sketch").alias("g_sketch"), "members"))
-    same = (F.col("host").eqNullSafe(F.col("g_host")) & (F.col("draw") == F.col("g_draw"))
-            & (F.col("sketch") == F.col("g_sketch")))
-    copies = drawn.join(groups, same).groupBy("row_no").agg(F.max("members").alias("members"))
-    parts = F.floor(F.lit(PARTS) / F.coalesce("members", F.lit(1)))
-    lines = facts.select("row_no", "host", F.explode(F.arrays_zip("keys", "sizes")).alias("l")).select(
-        "row_no", "host", F.col("l.keys").alias("line"), F.col("l.sizes").alias("words"))
-    # distinct documents per (host, line): a document has each line once here
-    spread = (facts.select("row_no", "host", "keys").join(copies, "row_no", "left")
-              .select("host", parts.alias("parts"), F.explode("keys").alias("line"))
-              .groupBy("host", "line").agg(F.sum("parts").alias("parts")))
-    frequent = cut_lineage(spread.filter(F.col("parts") > LINE_MIN_DOCS * PARTS)
-                           .select(F.col("host").alias("f_host"), F.col("line").alias("f_line")))
-    bounded = frequent.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(frequent) if bounded else frequent
-    removed = (lines.join(side, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "left_semi")
-               .groupBy("row_no").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_keys")))
+    frequent = cut_lineage(frequent_lines(facts).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "docs"))
+    lines = facts.select("row_no", "host", F.inline(F.arrays_zip("keys", "sizes"))).withColumnsRenamed(
+        {"keys": "line", "sizes": "words"})
+    total = facts.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    is_hot = F.col("docs") * HOT_LINES > total
+    same = F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))
+    hot = F.broadcast(frequent.filter(is_hot))  # at most HOT_LINES rows: their documents add up to no more than all rows
+    lost = lines.join(hot, same, "left_semi").unionByName(
+        lines.join(hot, same, "left_anti").join(frequent.filter(~is_hot), same, "left_semi"))
+    removed = lost.groupBy("row_no").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_keys"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = (facts.drop("keys", "sizes", "sketches").join(removed, "row_no", "left")
+    out = (facts.drop("keys", "sizes").join(removed, "row_no", "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
            .withColumn("base_failed", base_failed))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < MIN_LEFT_PERCENT * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row_no")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by position, so that no column clashes with the operator's own; the new names."""
+    names = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _same_row(at: dict[str, str]):
+    return (F.col(at["doc_id"]).eqNullSafe(F.col("v_id")) & F.col(at["source"]).eqNullSafe(F.col("v_host"))
+            & (F.xxhash64(as_bytes(at["text"])) == F.col("v_key")))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep; columns are those of ``docs``."""
-    bad = (judge(docs).filter(~F.col("kept"))
-           .select(F.col("doc_id").alias("_bad_id"), F.col("host").alias("_bad_host"), F.col("text_key").alias("_bad_key"))
-           .distinct())
-    on = (F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("source").eqNullSafe(F.col("_bad_host"))
-          & (F.xxhash64(as_bytes("text")) == F.col("_bad_key")))
-    return docs.join(bad, on, "left_anti")
+    """Rows of ``docs`` that the rules keep; columns are those of ``docs``, whatever their names.
+
+    Edge cases as in :func:`judge`; a rejected row's copies (same id, source and text) go with it.
+    """
+    bad = judge(docs).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("v_id"), F.col("host").alias("v_host"), F.col("text_key").alias("v_key")).distinct()
+    plain, at = _numbered(docs)
+    return plain.join(bad, _same_row(at), "left_anti").toDF(*docs.columns)
 
 
 def strip_lines(docs: DataFrame) -> DataFrame:
-    """Kept rows of ``docs`` without their lines above the limit (blank lines stay); same columns.
+    """Kept rows of ``docs`` without their lines above the limit (blank lines stay); same columns, whatever their names.
 
     Where a text loses lines, a long or int column ``n_chars`` gets its new length.
+
+    Edge cases as in :func:`judge`: NULL and blank texts are rejected, repeated
+    rows stay or go together, an empty table gives an empty result.
     """
-    good = cut_lineage(judge(docs).filter("kept")
-                       .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"),
-                               F.array_sort("removed_keys").alias("_keys")).distinct())
-    on = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host"))
-          & (F.xxhash64(as_bytes("text")) == F.col("_key")))
+    good = cut_lineage(judge(docs).filter("kept").select(
+        F.col("doc_id").alias("v_id"), F.col("host").alias("v_host"), F.col("text_key").alias("v_key"),
+        F.array_sort("removed_keys").alias("v_gone")).distinct())
     names = docs.columns
-    joined = docs.join(good, on, "inner").select(*names, F.coalesce("_keys", F.array().cast("array<long>")).alias("_keys"))
+    plain, at_name = _numbered(docs)
+    plain_names = plain.columns
+    joined = plain.join(good, _same_row(at_name), "inner").select(
+        *plain.columns, F.coalesce("v_gone", F.array().cast("array<long>")).alias("v_gone"))
     at = names.index("text")
     sized = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else None
 
@@ -226,6 +207,6 @@ def strip_lines(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(out, b.column(at).type)
             if sized is not None:
                 columns[sized] = pa.array(sizes, b.column(sized).type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, plain_names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, plain.schema).toDF(*names)

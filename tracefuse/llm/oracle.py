@@ -148,26 +148,13 @@ def line_rules_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), {WORDS}) AS words FROM documents),
-lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
-real AS (SELECT doc_id, source, line, len(regexp_extract_all(line, {WORDS})) AS n,
-                substr(md5({norm}), 1, 16) AS k
+lines AS (SELECT doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line FROM d),
+real AS (SELECT doc_id, source, whole, line, len(regexp_extract_all(line, {WORDS})) AS n,
+                md5({norm}) AS k
          FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM real GROUP BY doc_id),
 keys AS (SELECT doc_id, source, k, sum(n) AS n FROM real GROUP BY doc_id, source, k),
-drawn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, draw
-                                       ORDER BY ('0x' || substr(k, 1 + 8 * draw, 8))::BIGINT::DOUBLE / n::DOUBLE, k) AS place
-          FROM (SELECT *, unnest([0, 1]) AS draw FROM keys)),
-low AS (SELECT doc_id, draw, min(k) FILTER (place = 1) AS k1, min(k) FILTER (place = 2) AS k2
-        FROM drawn GROUP BY doc_id, draw),
-fam AS (SELECT source, k, draw, CASE WHEN k <> k1 THEN k1 ELSE coalesce(k2, k) END AS f
-        FROM keys JOIN low USING (doc_id)),
-byfam AS (SELECT source, k, draw, f, count(*)::DOUBLE AS n FROM fam GROUP BY source, k, draw, f),
-bydraw AS (SELECT source, k, draw, sum(n) AS n, sum(n * n) AS nn FROM byfam GROUP BY source, k, draw),
-spread AS (SELECT source, k, max(n) AS n, min(nn) AS nn FROM bydraw GROUP BY source, k),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-often AS (SELECT spread.source, k FROM spread JOIN hosts ON spread.source IS NOT DISTINCT FROM hosts.source
-          WHERE n > {line_rules.LINE_MIN_DOCS}
-            AND n * n > greatest({line_rules.LINE_MIN_DOCS}::DOUBLE, docs * {line_rules.LINE_PER_MILLE} / 1000.0::DOUBLE) * nn),
+often AS (SELECT source, k FROM real GROUP BY source, k HAVING count(DISTINCT whole) > {line_rules.LINE_MIN_DOCS}),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM keys
          WHERE EXISTS (SELECT 1 FROM often WHERE often.k = keys.k AND often.source IS NOT DISTINCT FROM keys.source)
          GROUP BY doc_id),
@@ -204,7 +191,18 @@ FROM f"""
 
 
 def licenses_sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in licenses.known_sentences().items())
+    low = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}')"
+    for old, new in licenses.PLAIN:
+        low = f"replace({low}, {quoted(old).replace(chr(13), chr(39) + ' || chr(13) || ' + chr(39))}, {quoted(new)})"
+    low = f"regexp_replace({low}, {quoted(licenses.COMMENT)}, '', 'g')"
+    norm = f"trim(regexp_replace(sentence, '{licenses.NOT_WORD}', ' ', 'g'))"
+    for pattern, name in licenses.WILDCARDS:
+        norm = f"regexp_replace({norm}, {quoted(pattern)}, {quoted(name)})"
+    companions = ", ".join(quoted(c) for c in sorted(licenses.COMPANIONS))
     steps, prev = [], "seq0"
     for n, (name, ids) in enumerate(licenses.RULES, 1):
         pattern = "".join(f"<{i}>" for i in ids)
@@ -217,12 +215,15 @@ def licenses_sql() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS place FROM (
-    SELECT doc_id, string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}'),
-                                      '\\n|[.;:!?][ \\t\\r\\n]') AS p FROM documents)),
-ids AS (SELECT doc_id, place, id FROM s
-        JOIN known ON known.sentence = trim(regexp_replace(s.sentence, '[^a-z0-9]+', ' ', 'g'))),
-seq AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY place) AS sentence_ids,
-               string_agg('<' || id || '>', '' ORDER BY place) AS rest0 FROM ids GROUP BY doc_id),
+    SELECT doc_id, string_split_regex({low}, {quoted(licenses.SENTENCE_END)}) AS p FROM documents)),
+whole AS (SELECT doc_id, place, 0 AS line, id FROM (SELECT doc_id, place, {norm} AS n FROM s) JOIN known ON known.sentence = n),
+parts AS (SELECT doc_id, place, unnest(l) AS sentence, unnest(range(len(l))) AS line
+          FROM (SELECT doc_id, place, string_split(sentence, chr(10)) AS l FROM s ANTI JOIN whole USING (doc_id, place))),
+ids AS (SELECT * FROM whole UNION ALL
+        SELECT doc_id, place, line, id FROM (SELECT doc_id, place, line, {norm} AS n FROM parts) JOIN known ON known.sentence = n),
+seq AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY place, line) AS sentence_ids,
+               coalesce(string_agg('<' || id || '>', '' ORDER BY place, line) FILTER (id NOT IN ({companions})), '') AS rest0
+        FROM ids GROUP BY doc_id),
 seq0 AS (SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids,
                 coalesce(rest0, '') AS rest0 FROM documents LEFT JOIN seq USING (doc_id)),
 {", ".join(steps)}
