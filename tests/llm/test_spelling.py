@@ -109,8 +109,8 @@ def test_counting_in_slices(lspark, monkeypatch):
     assert [list(spelling._runs(b"ab cd" * 30))] and sum(map(len, spelling._runs(b"ab cd " * 30))) == 60
     held = spelling._Counts()
     for r in rows:
-        for runs in spelling._runs(r[1].encode()):
-            held.add(str(r[0]), runs)
+        runs = list(spelling._runs(r[1].encode()))
+        held.add([str(r[0])] * len(runs), runs)
     got = held.rows(5).to_pydict()
     assert {w: n for w, n in zip(got["word"], got["n"]) if n >= 3} == want
 

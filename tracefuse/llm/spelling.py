@@ -26,7 +26,8 @@ the driver sends to the tasks.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ MODULUS = 97
 PREFIX = 3
 _FLUSH = 1_000_000
 _SLICE = 4_000_000
+#: runs counted at once
+_GROUP = 200_000
 
 # one byte per letter (Latin-1): a-z and U+00C0-U+00FF stay, A-Z are lower-cased, all else separates
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 0xC0 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -66,50 +69,67 @@ def _runs(text: bytes):
     yield flat[at:].split()
 
 
+def _crc_table() -> np.ndarray:
+    """What one more zero byte does to a CRC register, by its low byte."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+#: runs of up to this many UTF-8 bytes share a document's table of shifted CRCs
+_SHIFTS = 64
+
+
 class _Counts:
     """Counts of damaged runs.
 
-    crc32(id ':' run) is taken apart: crc(A+B) = crc(A+zeros) ^ crc(zeros) ^ crc(B),
-    so a run's part is computed once a distinct run, and a document's part once a
-    length.
+    crc32(id ':' run) is taken apart: crc(A+B) is crc(A) moved by B's length in
+    zero bytes, xor crc(B).  A run's part is computed once a distinct run, a
+    document's part once a length, and the rest is array arithmetic.
     """
 
     def __init__(self):
-        self.ids: dict[bytes, int] = {}
-        self.crcs, self.sizes = [], []  # of the runs in UTF-8
-        self.counts = np.zeros(0, np.int64)
+        self.ids: dict[bytes, int] = defaultdict(count().__next__)  # the next number for a new run
+        self.crcs, self.sizes, self.counts = (np.zeros(0, k) for k in (np.uint32, np.int64, np.int64))
         self.damaged: Counter = Counter()
 
-    def add(self, doc: str, runs: list[bytes]) -> None:
-        for r in set(runs).difference(self.ids):
-            self.ids[r] = len(self.ids)
-            u = r if r.isascii() else r.decode("latin-1").encode()
-            self.crcs.append(zlib.crc32(u))
-            self.sizes.append(len(u))
-        if not runs:
-            return
-        found, times = np.unique(np.fromiter(map(self.ids.__getitem__, runs), np.int64, len(runs)), return_counts=True)
-        at = found.tolist()
-        sizes = [self.sizes[i] for i in at]
-        start = zlib.crc32(f"{doc}:".encode())
-        shift = {n: zlib.crc32(bytes(n), start) ^ zlib.crc32(bytes(n)) for n in set(sizes)}
-        h = np.array([self.crcs[i] ^ shift[n] for i, n in zip(at, sizes)], np.int64)
-        hit = h % MODULUS == 0
-        if len(self.counts) < len(self.ids):
-            self.counts = np.concatenate([self.counts, np.zeros(2 * len(self.ids) + 1024 - len(self.counts), np.int64)])
-        self.counts[found[~hit]] += times[~hit]
-        if hit.any():
-            names = {i: r for r, i in ((r, self.ids[r]) for r in set(runs)) if i in set(found[hit].tolist())}
-            for i, code, n in zip(found[hit].tolist(), h[hit].tolist(), times[hit].tolist()):
-                r = names[i]
-                k = code % len(r)
-                self.damaged[r[:k] + r[k + 1:]] += n
+    def _describe(self, new: list[bytes]) -> None:
+        """Makes room for new runs: CRC and length of each in UTF-8."""
+        coded = [r if r.isascii() else r.decode("latin-1").encode() for r in new]
+        self.crcs = np.concatenate([self.crcs, np.fromiter(map(zlib.crc32, coded), np.uint32, len(new))])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(new))])
+        self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+
+    def add(self, docs: list[str], runs: list[list[bytes]]) -> None:
+        """Counts the runs of some documents."""
+        known, flat = len(self.ids), list(chain.from_iterable(runs))
+        at = np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
+        if len(self.ids) > known:
+            self._describe(list(islice(self.ids, known, None)))
+        starts = np.fromiter((zlib.crc32(f"{d}:".encode()) for d in docs), np.uint32, len(docs))
+        moved = np.empty((_SHIFTS + 1, len(docs)), np.uint32)
+        moved[0] = starts
+        for n in range(_SHIFTS):
+            moved[n + 1] = (moved[n] >> 8) ^ _CRC[moved[n] & 255]
+        doc = np.repeat(np.arange(len(docs)), np.fromiter(map(len, runs), np.int64, len(runs)))
+        sizes = self.sizes[at]
+        h = self.crcs[at] ^ moved[np.minimum(sizes, _SHIFTS), doc]
+        for i in np.flatnonzero(sizes > _SHIFTS).tolist():
+            h[i] = zlib.crc32(flat[i].decode("latin-1").encode(), int(starts[doc[i]]))
+        hit = h % np.uint32(MODULUS) == 0
+        self.counts += np.bincount(at[~hit], minlength=len(self.counts))
+        for i, code in zip(np.flatnonzero(hit).tolist(), h[hit].tolist()):
+            r = flat[i]
+            k = code % len(r)
+            self.damaged[r[:k] + r[k + 1:]] += 1
 
     def rows(self, min_letters: int) -> pa.RecordBatch:
         for r, n in self.damaged.items():
             if r in self.ids:
                 self.counts[self.ids[r]] += n
-        held = [(r, n) for r, i in self.ids.items() if (n := int(self.counts[i])) and len(r) >= min_letters]
+        held = [(r, n) for r, n in zip(self.ids, self.counts.tolist()) if n and len(r) >= min_letters]
         held += [(r, n) for r, n in self.damaged.items() if r not in self.ids and len(r) >= min_letters]
         return pa.RecordBatch.from_arrays([pa.array([r.decode("latin-1") for r, _ in held], pa.string()),
                                            pa.array([n for _, n in held], pa.int64())], ["word", "n"])
@@ -119,14 +139,20 @@ def count_words(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int
     """(word, n): damaged letter runs of at least ``min_letters`` code points and ``min_count`` occurrences."""
 
     def run(batches):
-        held = _Counts()
+        held, ids, lists, size = _Counts(), [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), blobs(b.column(1))):
                 for runs in _runs(text):
-                    held.add(doc or "", runs)
-                    if len(held.ids) > _FLUSH:
-                        yield held.rows(min_letters)
-                        held = _Counts()
+                    ids.append(doc or "")
+                    lists.append(runs)
+                    size += len(runs)
+                    if size > _GROUP:
+                        held.add(ids, lists)
+                        ids, lists, size = [], [], 0
+                        if len(held.ids) > _FLUSH:
+                            yield held.rows(min_letters)
+                            held = _Counts()
+        held.add(ids, lists)
         yield held.rows(min_letters)
 
     return (docs.select(F.col("doc_id").cast("string").alias("doc_id"), as_bytes("text").alias("text"))
