@@ -65,6 +65,19 @@ def test_one_pass_writes_and_checks(spark, tmp_path):
     assert {r.status: r.n for r in lines.collect()} == {r.status: r.n for r in status.collect()}
 
 
+def test_models_score_after_observed_writes(spark, tmp_path):
+    from tracefuse.operators import kernel, models
+    w = CheckedWrite()
+    w.write(w.observe(spark.range(3), "n", rows=F.count(F.lit(1))), str(tmp_path / "t"))
+    df = spark.createDataFrame([(i, float(i % 2), i % 2 if i % 10 else 1 - i % 2) for i in range(60)], "id int, x double, y int")
+    for pipe in (models.logistic_regression(["x"], "y", weight_col=None, max_iter=5),
+                 models.random_forest(["x"], "y", weight_col=None, num_trees=2, max_depth=2),
+                 models.linear_svm(["x"], "y", weight_col=None, max_iter=3),
+                 kernel.kernel_svm(["x"], "y", weight_col=None, size=8, folds=2, max_iter=3)):
+        assert models.score(pipe.fit(df), df, ["id"], "y").count() == 60
+        models.score(pipe.fit(df), df, ["id"], "y").collect()
+
+
 def test_checks_raise_and_keep_the_old_table(spark, tmp_path):
     raw, manifest = _capture(tmp_path, ["a 101 open"])
     who = spark.createDataFrame([("a", 0)], "container string, label int")

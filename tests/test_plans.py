@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import sf_dir
 
-MODEL_QUERIES = {"lr_scores", "rf_scores", "model_sweep", "feature_importance", "overfit_gap"}
+MODEL_QUERIES = {"lr_scores", "rf_scores", "model_sweep", "kernel_svm_scores", "feature_importance", "overfit_gap"}
 NAMES = sorted(set(E.queries()) - MODEL_QUERIES)
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefuse.functions.scalar import HASH_DIGITS
+from tracefuse.operators.models import without_summary
 from tracefuse.session import cut_lineage
 
 
@@ -152,8 +153,8 @@ class KernelSVM(Estimator):
 
         def machine(part: DataFrame):
             total = part.agg(F.sum("w")).first()[0]
-            return LinearSVC(featuresCol="features", labelCol="y", weightCol="w", standardization=False,
-                             maxIter=self.max_iter, tol=self.tol, regParam=1.0 / (self.c * total)).fit(part)
+            return without_summary(LinearSVC(featuresCol="features", labelCol="y", weightCol="w", standardization=False,
+                             maxIter=self.max_iter, tol=self.tol, regParam=1.0 / (self.c * total)).fit(part))
 
         held = None
         for k in range(self.folds):

@@ -6,12 +6,14 @@ import math
 import time
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.util import HasTrainingSummary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,18 @@ def linear_svm(feature_cols: Sequence[str], label: str, max_iter: int = 100,
     return Pipeline(stages=[_assembler(feature_cols, "raw_features"), scaler, svm])
 
 
+def without_summary(model):
+    """The model (or pipeline model) without its training summaries.
+
+    A summary holds the session.  MLlib sends it to the tasks with the model,
+    which Spark 4.1 cannot do once the session has collected an observation.
+    """
+    for stage in getattr(model, "stages", [model]):
+        if isinstance(stage, HasTrainingSummary) and stage.hasSummary:
+            stage._java_obj.setSummary(SparkContext.getOrCreate()._jvm.scala.Option.empty())
+    return model
+
+
 def fill_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Every input column of the model: added as 0 where absent, NULL and NaN to 0."""
     present = set(df.columns)
@@ -118,7 +132,7 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], label: str,
     Missing feature columns and values count as 0.  Models without probabilities (linear SVM) expose the raw margin instead,
     which is rank-equivalent for ROC-AUC.
     """
-    scored = model.transform(fill_features(model, df))
+    scored = without_summary(model).transform(fill_features(model, df))
     if "probability" in scored.columns:
         p = vector_to_array(F.col("probability"))[1]
         pred = predict(p, threshold, strict=strict)

@@ -101,7 +101,9 @@ class CheckedWrite:
 
     A task of an inner stage that runs again may be counted again, so counts of
     lines are exact without lost executors and never too small; those of the
-    written rows are exact.
+    written rows are exact.  In a session that has collected counts, Spark 4.1
+    cannot send an MLlib model with a training summary to its tasks:
+    ``models.score`` drops the summary, other callers use ``models.without_summary``.
     """
 
     def __init__(self):
