@@ -80,3 +80,28 @@ def test_pre_aggregated_events_give_same_features(spark):
     pre = C.window_features(C.map_syscalls(rolled, "syscall", contract=SYSCALL_CONTRACT), manifest,
                             "container", "ts_s", SYSCALL_CONTRACT, windows, weight_col="w")
     assert sorted(map(tuple, raw.collect()), key=str) == sorted(map(tuple, pre.collect()), key=str)
+
+
+def test_small_manifest_counts_events_once(spark):
+    rows = _events(6000, seed=9)
+    ev = spark.createDataFrame(rows, "container string, ts_s bigint, syscall string").repartition(8)
+    manifest = spark.createDataFrame([("hot", 1000), ("c3", 1010)], "container string, start_ts bigint")
+    keys = spark.createDataFrame([("hot",), ("c3",), ("silent",)], "container string")
+    mapped = C.map_syscalls(ev, "syscall", contract=SYSCALL_CONTRACT)
+    windows = {"N10": 10, "full": None}
+    joined = C.window_features(mapped, manifest, "container", "ts_s", SYSCALL_CONTRACT, windows, keys=keys)
+    small = C.window_features(mapped, manifest, "container", "ts_s", SYSCALL_CONTRACT, windows, keys=keys,
+                              manifest_max_rows=2)
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
+    assert "AS _n#" not in small._jdf.queryExecution().optimizedPlan().toString()
+    # one row above the bound: rolled up and joined by shuffle
+    over = C.window_features(mapped, manifest, "container", "ts_s", SYSCALL_CONTRACT, windows, manifest_max_rows=1)
+    assert "AS _n#" in over._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fits_broadcast_checks_rows_and_bytes(spark):
+    from tracefuse.session import fits_broadcast
+    df = spark.createDataFrame([("x" * 1000, 1), (None, None)], "k string, v bigint")
+    assert fits_broadcast(df, 2) and not fits_broadcast(df, 1)
+    assert fits_broadcast(df, 2, max_bytes=1064) and not fits_broadcast(df, 2, max_bytes=1063)
+    assert fits_broadcast(df.limit(0), 0)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefuse.functions.contracts import CALL_GROUP, CALL_PATTERN, SYSCALL_ALIASES
-from tracefuse.session import fixed_table, has_at_most, join_dimension, salted_join
+from tracefuse.session import fits_broadcast, fixed_table, join_dimension, salted_join
 
 TOTAL = "total_events"
 
@@ -115,13 +115,13 @@ def attach_start(events: DataFrame, manifest: DataFrame, key_col: str,
                  salt_buckets: int | None = None, salt_cols: Sequence[str] | None = None) -> DataFrame:
     """Manifest lookup with default (J3): a key missing from the manifest starts at 0.
 
-    Broadcast when ``manifest_max_rows`` bounds the manifest; otherwise a
-    shuffle join, salted over ``salt_buckets`` when given (a container with a
+    Broadcast when the manifest has at most ``manifest_max_rows`` rows and its
+    bytes fit; otherwise a shuffle join, salted over ``salt_buckets`` when given (a container with a
     third of all events is then spread over that many tasks; without it AQE's
     skew-join splitting is relied on).
     """
     m = manifest.select(key_col, start_col)
-    small = manifest_max_rows is not None and has_at_most(m, manifest_max_rows)
+    small = manifest_max_rows is not None and fits_broadcast(m, manifest_max_rows)
     if salt_buckets and not small:
         out = salted_join(events, m, key_col, how="left", buckets=salt_buckets, salt_cols=salt_cols)
     else:
@@ -166,21 +166,28 @@ def window_features(events: DataFrame, manifest: DataFrame, key_col: str, ts_col
     With ``keys``, every declared key gets a row per window and (``restrict``)
     events of undeclared keys are dropped before counting; pass
     ``restrict=False`` when the keys are derived from the events themselves.
-    ``manifest_max_rows`` bounds a manifest read from storage so it can be broadcast.
+    A manifest of at most ``manifest_max_rows`` rows (its bytes are checked too)
+    is broadcast and the events are counted once, combined before their only
+    shuffle, by (key, name).  A larger one is joined by shuffle after the events
+    are rolled up per (key, second, name), so a hot key reaches it, salted when
+    asked, as one row per second and name.
     ``weight_col`` accepts events already rolled up per (key, second, name) with
     a count, which shrinks the join and the shuffle for high-rate captures.
     """
-    # rolled up per (key, second, name) before any join: a hot key reaches the
-    # allow-list and the manifest as one row per second and name
-    one = F.lit(1) if weight_col is None else F.col(weight_col).cast("bigint")
-    events = events.groupBy(key_col, ts_col, feature_col).agg(F.sum(one).alias("_n"))
-    weight_col = "_n"
-    if keys is not None and restrict:
-        events = restrict_to(events, keys, [key_col])
-    ev = attach_start(events, manifest, key_col, manifest_max_rows=manifest_max_rows,
-                      salt_buckets=salt_buckets, salt_cols=[ts_col, feature_col])
-    long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds,
-                              weight_col=weight_col)
+    if manifest_max_rows is not None and fits_broadcast(manifest.select(key_col, "start_ts"), manifest_max_rows):
+        starts = F.broadcast(manifest.select(key_col, "start_ts"))
+        ev = events.join(starts, key_col, "left").withColumn("start_ts", F.coalesce("start_ts", F.lit(0)).cast("bigint"))
+        long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds,
+                                  weight_col=weight_col)
+        if keys is not None and restrict:
+            long = restrict_to(long, keys, [key_col])
+    else:
+        one = F.lit(1) if weight_col is None else F.col(weight_col).cast("bigint")
+        rolled = events.groupBy(key_col, ts_col, feature_col).agg(F.sum(one).alias("_n"))
+        if keys is not None and restrict:
+            rolled = restrict_to(rolled, keys, [key_col])
+        ev = attach_start(rolled, manifest, key_col, salt_buckets=salt_buckets, salt_cols=[ts_col, feature_col])
+        long = window_long_counts(ev, key_col, ts_col, windows, feature_col, unit_seconds=unit_seconds, weight_col="_n")
     wide = widen(long, ["window_tag", key_col], contract, feature_col, total=total)
     if keys is not None:
         all_keys = keys.withColumn("window_tag", F.explode(F.array(*[F.lit(t) for t in windows])))

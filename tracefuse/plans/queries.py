@@ -158,6 +158,10 @@ def base_name_q(spark, sf):
 
 # ---- event features -------------------------------------------------------------------
 
+#: a manifest up to this many rows may be broadcast, its bytes permitting
+MANIFEST_ROWS = 1_000_000
+
+
 def _declared_keys(spark):
     return fixed_table(spark, [(i, int(i >= 5)) for i in range(S.DECLARED_CONTAINERS)],
                        "container bigint, label int")
@@ -173,11 +177,12 @@ def event_feature_counts(spark, sf):
 
 def prefix_window_features(spark, sf):
     ev, manifest, keys = S.window_events(spark, sf)
+    manifest = cut_lineage(manifest)  # one row a container: measured once, joined from its copy
     mapped = counting.map_syscalls(ev, "syscall", S.EVENT_ALIASES, S.EVENT_CONTRACT)
     # keys are every user seen in the events: no allow-list to apply
     return counting.window_features(mapped, manifest, "container", "ts_s", S.EVENT_CONTRACT,
                                     S.WINDOW_DAYS, keys=keys, unit_seconds=S.DAY, restrict=False,
-                                    salt_buckets=16)
+                                    manifest_max_rows=MANIFEST_ROWS, salt_buckets=16)
 
 
 def _window_scores(spark, sf):

@@ -120,6 +120,17 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> bool:
+    """Whether ``df`` is proven small: at most ``max_rows`` rows (no more than one above is read)
+    whose values, strings at their length and others at 16 bytes, add up to at most ``max_bytes``."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        text = isinstance(f.dataType, (T.StringType, T.BinaryType))
+        size = size + 16 + (F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if text else 0)
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("bytes")).first()
+    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
                    max_rows: int | None = None, bounded: bool = False) -> DataFrame:
     """Join a dimension table onto a fact table.
