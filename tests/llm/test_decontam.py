@@ -1,6 +1,8 @@
 """Occurrences against brute-force semi-global alignment; planted passages and edge cases."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 from llm.conftest import edge_rows, frame, sentence
 
@@ -61,6 +63,47 @@ def test_many_items_and_surface_changes():
         assert decontam.find_items(index, t) and not decontam.find_items(index, sentence(rnd, 400))
 
 
+def test_short_items_are_whole_words():
+    index = decontam.ItemIndex([(1, "42"), (2, "Paris!"), (3, "a b"), (4, "..."), (5, "42"), (6, "long enough item")])
+    assert decontam.find_items(index, "in PARIS it was 42, a-b") == [(1, 0, 18), (2, 0, 8), (3, 0, 22), (5, 0, 18)]
+    assert decontam.find_items(index, "parisian 420 ab") == [] == decontam.find_items(index, "")
+    assert [i for i, _, _ in decontam.find_items(index, "a long enough item 42")] == [1, 5, 6]
+
+
+def plain_diagonals(index, chars):
+    out = Counter()
+    for at, h in zip(*index.shared(chars)):
+        for k in range(index.first[h], index.first[h + 1]):
+            out[int(index.item[k]), int(at - index.pos[k])] += 1
+    return out
+
+
+def test_repetitive_texts_count_like_all_pairs(monkeypatch):
+    rnd = random.Random(13)
+    items = [(1, "ha ha " * 40), (2, "ha ha " * 5 + sentence(rnd, 20)), (3, sentence(rnd, 30))]
+    text = decontam.normalise("ha " * 300 + items[2][1] + " ha" * 200 + sentence(rnd, 50))
+    for dense, run, block in ((64, 1 << 20, 1 << 17), (0, 50, 64), (1, 100, 200), (4, 1, 1 << 10)):
+        monkeypatch.setattr(decontam, "_DENSE", dense)
+        monkeypatch.setattr(decontam, "_RUN", run)
+        monkeypatch.setattr(decontam, "_BLOCK", block)
+        index = decontam.ItemIndex(items)
+        chars = decontam.codes(text)
+        got = Counter()
+        for item, diagonal, counts in index.diagonals(chars):
+            for i, d, n in zip(item.tolist(), diagonal.tolist(), counts.tolist()):
+                got[i, d] += n
+        assert got == plain_diagonals(index, chars)
+        assert [i for i, e, _ in decontam.find_items(index, text) if e == 0] == [1, 3]
+
+
+def test_long_repetitive_text_in_bounded_memory():
+    index = decontam.ItemIndex([(1, "ha ha " * 1000)])
+    tracemalloc.start()
+    assert decontam.find_items(index, "ha " * 2_700_000)[0][:2] == (1, 0)  # 8 MB: 1.8e9 pairs a q-gram
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
 def test_tables(lspark):
     rows = edge_rows()
     passage = rows[7][1]
