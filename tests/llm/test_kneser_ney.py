@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import edge_rows, frame
 
@@ -85,6 +86,18 @@ def test_files_are_removed_and_mix_is_invertible(lspark):
     assert (unmix64(splitmix64(x)) == x).all()
 
 
+def test_counts_above_32_bits(tmp_path):
+    keys = np.sort(splitmix64((np.arange(4, dtype=np.uint64) << np.uint64(32)) | np.uint64(1)))
+    model = kn.Model(str(tmp_path), 0, 0, np.array([0, 10]), 0, 10)
+    tasks = [np.array([2**32 - 1, 7, 2**32 - 1, 1], "<u4"), np.array([2**32 - 1, 1, 0, 1], "<u4")]
+    group = pa.table({"part": pa.array([0, 0], pa.int32()), "keys": [keys.tobytes()] * 2, "counts": [t.tobytes() for t in tasks]})
+    kn._write_pairs(model)(group)
+    pairs = kn.SortedParts(kn.ModelStore(str(tmp_path)), "pairs", 0)
+    asked = np.sort(np.append(keys, np.uint64(5)))
+    want = dict(zip(keys.tolist(), [2**33 - 2, 8, 2**32 - 1, 2]))
+    assert kn.pair_counts(pairs, asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
+
+
 def test_empty_and_no_training(lspark):
     assert kn.score_documents(frame(lspark, []).limit(0)).count() == 0
     only_held = frame(lspark, [(None, "a b", None, None, None)])

@@ -47,6 +47,8 @@ _CACHE = 500_000
 #: entries a task counts before it sends them on
 _FLUSH = 6_000_000
 _FLUSH_WORDS = 1_000_000
+#: a larger count stands in a file of its own
+_LARGE = 0xFFFFFFFF
 
 
 # ---- files ---------------------------------------------------------------------------
@@ -156,7 +158,7 @@ def _merged(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 
 def _count_words(bits: int):
     def run(batches):
-        held, documents = Counter(), 0
+        held, documents, tokens = Counter(), 0, 0
 
         def out():
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held))
@@ -166,10 +168,12 @@ def _count_words(bits: int):
         for b in batches:
             for text in blobs(b.column(0)):
                 documents += 1
-                held.update(text.lower().split())
-                if len(held) > _FLUSH_WORDS:
+                cut = text.lower().split()
+                tokens += len(cut) + 1
+                held.update(cut)
+                if len(held) > _FLUSH_WORDS or tokens > _LARGE >> 1:  # counts travel in 32 bits
                     yield out()
-                    held, documents = Counter(), 0
+                    held, documents, tokens = Counter(), 0, 0
         if documents:
             yield out()
     return run
@@ -291,7 +295,9 @@ def _write_pairs(model: Model):
         part, keys, counts = _merged(group)
         store = ModelStore(model.uri)
         store.write(f"pairs-{part}.keys", keys.astype("<u8"))
-        store.write(f"pairs-{part}.counts", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        store.write(f"pairs-{part}.counts", np.minimum(counts, _LARGE).astype("<u4"))
+        if len(large := np.flatnonzero(counts >= _LARGE)):
+            store.write(f"pairs-{part}.large", np.stack([large, counts[large]]).astype("<i8").reshape(-1))
         pairs = unmix64(keys)
         context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         ids, inverse = np.unique(np.concatenate([context, word]), return_inverse=True)
@@ -398,6 +404,20 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(counts <= 0, 0.0, np.where(counts == 1, d[0], np.where(counts == 2, d[1], d[2])))
 
 
+def pair_counts(pairs: SortedParts, keys: np.ndarray) -> np.ndarray:
+    """Counts of ascending pair keys, 0 for those not in the model."""
+    seen = np.zeros(len(keys), np.int64)
+    for k, where, places, found in pairs.find(keys):
+        if not found.any():
+            continue
+        counts = np.where(found, pairs.column(k, "counts", "<u4")[places], 0).astype(np.int64)
+        if (over := counts == _LARGE).any():
+            at, full = pairs.column(k, "large", "<i8").reshape(2, -1)
+            counts[over] = full[np.searchsorted(at, places[over])]
+        seen[where] = counts
+    return seen
+
+
 class Scorer:
     """Opens the arrays and scores batches of documents."""
 
@@ -441,10 +461,7 @@ class Scorer:
         # pairs with both words known
         both = (ids >= 0) & (context >= 0)
         keys, where = np.unique(splitmix64(pair[both]), return_inverse=True)
-        seen = np.zeros(len(keys), np.int64)
-        for k, at, places, found in self.pairs.find(keys):
-            if found.any():
-                seen[at] = np.where(found, self.pairs.column(k, "counts", "<u4")[places], 0)
+        seen = pair_counts(self.pairs, keys)
         pair_count = np.zeros(len(ids), np.int64)
         pair_count[both] = seen[where]
         # a word is a context as often as something follows it: its count, less nothing but the end token;
