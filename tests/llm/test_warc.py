@@ -64,6 +64,52 @@ def test_validation():
         list(warc.split_frames(memoryview(archive(good) + b"\x5d\x2a\x4d\x18\x00\x00\x00\x00")))
 
 
+class Pieces:
+    """A stream that gives at most a few bytes at a time and remembers the most it was asked to hold."""
+
+    def __init__(self, data, step):
+        self.data, self.step, self.at = data, step, 0
+
+    def read(self, n):
+        piece = self.data[self.at:self.at + min(n, self.step)]
+        self.at += len(piece)
+        return piece
+
+
+def test_streams_in_pieces():
+    pages = [b"<p>text of page</p>" * (i % 50) + b"%d" % i for i in range(300)]
+    records = [warc.build_record(i, "u", p, hashlib.sha256(p).hexdigest(), None, False) for i, p in enumerate(pages)]
+    sep = warc.SEPARATOR.encode() + b"\x51\x2a\x4d\x18\x05\x00\x00\x00extra"
+    data = sep.join(warc.encode_archive(iter(records)))
+    whole = list(warc.decode_archive(data))
+    assert len(whole) == 300
+    for step in (1, 7, 1000):
+        source = Pieces(data, step)
+        first = next(warc.decode_archive(source))
+        assert first == whole[0] and source.at < len(data) / 2  # no more than its frame was read
+        assert list(warc.decode_archive(Pieces(data, step))) == whole
+        assert [k for k, _ in warc.split_frames(Pieces(data, step))] == [k for k, _ in warc.split_frames(data)]
+    for cut in (3, 6, len(data) - 1, len(data) // 2):
+        with pytest.raises(warc.WarcError):
+            list(warc.decode_archive(Pieces(data[:cut], 5)))
+
+
+def test_archives_by_path_and_as_rows(lspark, tmp_path, monkeypatch):
+    folder = tmp_path / "odd name %41 é"
+    folder.mkdir()
+    for k in range(3):
+        records = (warc.build_record(10 * k + i, "u", b"page", hashlib.sha256(b"page").hexdigest(), None, False) for i in range(5))
+        (folder / f"a{k}.warc.zst").write_bytes(warc.SEPARATOR.encode().join(warc.encode_archive(records)))
+    (folder / "empty.warc.zst").write_bytes(b"")
+    want = [(10 * k + i, b"page") for k in range(3) for i in range(5)]
+    read = warc.read_archives(lspark, str(folder))
+    scan = read._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in scan  # no content through the JVM
+    assert sorted((r.page_id, bytes(r.payload)) for r in read.collect()) == want
+    monkeypatch.setattr(warc, "STREAMED", ())
+    assert sorted((r.page_id, bytes(r.payload)) for r in warc.read_archives(lspark, str(folder)).collect()) == want
+
+
 def test_empty(lspark):
     df = lspark.createDataFrame([], PAGE)
     assert warc.archive_round_trip(df).count() == 0

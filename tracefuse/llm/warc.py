@@ -8,14 +8,15 @@ writer, through its commit protocol: the rows are frames and the "line
 separator" is an empty skippable frame, which every Zstandard reader skips.
 
 The reader works on any archives of this layout (dictionary frame optional,
-dictionary compressed or plain): it walks the frames, decodes one frame per
-record and validates version line, mandatory fields, Content-Length, the
+dictionary compressed or plain): workers open an archive as a stream, walk its
+frames, hold and decode one frame at a time and validate version line, mandatory fields, Content-Length, the
 record's end and the digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import re
 import struct
@@ -23,12 +24,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefuse.llm.common import as_bytes
-from tracefuse.session import cut_lineage, ensure_checkpoint_dir
+from tracefuse.session import cut_lineage, ensure_checkpoint_dir, hadoop_path
 
 DICT_MAGIC = 0x184D2A5D
 SKIP_MAGICS = range(0x184D2A50, 0x184D2A60)
@@ -161,47 +163,77 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 # ---- reading -------------------------------------------------------------------------
 
-def split_frames(data: memoryview) -> Iterator[tuple[str, memoryview]]:
-    """('dict', bytes) at most once and first, then ('frame', bytes) per Zstandard frame."""
-    at, first = 0, True
-    while at < len(data):
-        if len(data) - at < 8:
-            raise WarcError(f"truncated frame at byte {at}")
-        magic, length = struct.unpack_from("<II", data, at)
+#: file systems that workers open themselves; archives elsewhere come through Spark's binary reader
+STREAMED = ("file", "hdfs", "s3", "gs")
+
+
+def open_stream(path: str):
+    """A byte stream of the file at ``path`` (as Spark names it), read in pieces and never decompressed by name."""
+    if path.startswith("file:") or ":/" not in path:
+        fs, at = pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        scheme, _, rest = path.partition("://")
+        host, _, name = rest.partition("/")
+        fs, root = pafs.FileSystem.from_uri(f"{scheme}://{host}/")
+        at = f"{root.rstrip('/')}/{name}"
+    return fs.open_input_stream(at, compression=None, buffer_size=1 << 20)
+
+
+def _exactly(data, n: int, what: str = "frame") -> bytes:
+    """The next ``n`` bytes of a stream."""
+    parts, left = [], n
+    while left:
+        piece = data.read(min(left, 1 << 24))
+        if not piece:
+            raise WarcError(f"truncated {what}")
+        parts.append(piece)
+        left -= len(piece)
+    return parts[0] if len(parts) == 1 else b"".join(parts)
+
+
+def split_frames(source) -> Iterator[tuple[str, bytes]]:
+    """('dict', bytes) at most once and first, then ('frame', bytes) per Zstandard frame.
+
+    ``source`` is a stream or a bytes-like object; one frame is held at a time.
+    """
+    data = source if hasattr(source, "read") else io.BytesIO(source)
+    first = True
+    while lead := data.read(1):
+        lead += _exactly(data, 3)
+        magic = int.from_bytes(lead, "little")
         if magic in SKIP_MAGICS:
-            end = at + 8 + length
-            if end > len(data):
-                raise WarcError(f"truncated skippable frame at byte {at}")
+            left = int.from_bytes(_exactly(data, 4, "skippable frame"), "little")
             if magic == DICT_MAGIC:
                 if not first:
                     raise WarcError("a dictionary frame must lead the archive")
-                yield "dict", data[at + 8:end]
-            at = end
-        elif bytes(data[at:at + 4]) == FRAME_MAGIC:
-            end = at + _frame_length(data[at:])
-            yield "frame", data[at:end]
-            at = end
+                yield "dict", _exactly(data, left, "skippable frame")
+            else:
+                while left:
+                    left -= len(_exactly(data, min(left, 1 << 20), "skippable frame"))
+        elif lead == FRAME_MAGIC:
+            yield "frame", _whole_frame(data)
         else:
-            raise WarcError(f"no frame at byte {at}")
+            raise WarcError(f"no frame where {lead!r} stands")
         first = False
 
 
-def _frame_length(data: memoryview) -> int:
-    """Bytes of the Zstandard frame that ``data`` begins with, from its block headers."""
-    flag = data[4]
+def _whole_frame(data) -> bytes:
+    """The Zstandard frame whose magic number was just read, found by its block headers."""
+    parts = [FRAME_MAGIC, _exactly(data, 1)]
+    flag = parts[1][0]
     single, checksum = flag >> 5 & 1, flag >> 2 & 1
-    at = 5 + (0 if single else 1) + (0, 1, 2, 4)[flag & 3] + ((1 if single else 0), 2, 4, 8)[flag >> 6]
-    while True:
-        if at + 3 > len(data):
-            raise WarcError("truncated frame")
-        head = data[at] | data[at + 1] << 8 | data[at + 2] << 16
-        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
-        if head & 1:
-            break
-    at += 4 * checksum
-    if at > len(data):
-        raise WarcError("truncated frame")
-    return at
+    fields = (0 if single else 1) + (0, 1, 2, 4)[flag & 3] + ((1 if single else 0), 2, 4, 8)[flag >> 6]
+    parts.append(_exactly(data, fields) if fields else b"")
+    last = False
+    while not last:
+        block = _exactly(data, 3)
+        head = int.from_bytes(block, "little")
+        size = 1 if head >> 1 & 3 == 1 else head >> 3
+        parts += [block, _exactly(data, size) if size else b""]
+        last = head & 1
+    if checksum:
+        parts.append(_exactly(data, 4))
+    return b"".join(parts)
 
 
 def load_dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
@@ -258,15 +290,14 @@ def read_payload(fields: dict[str, str], block: bytes) -> tuple[bytes | None, in
     return body, length
 
 
-def decode_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes | None, int]]:
-    """(fields, payload, payload length) per record of one archive."""
+def decode_archive(source) -> Iterator[tuple[dict[str, str], bytes | None, int]]:
+    """(fields, payload, payload length) per record of one archive, a stream or a bytes-like object."""
     unpacker = zstandard.ZstdDecompressor()
-    for kind, frame in split_frames(memoryview(content)):
+    for kind, frame in split_frames(source):
         if kind == "dict":
-            unpacker = zstandard.ZstdDecompressor(dict_data=load_dictionary(bytes(frame)))
+            unpacker = zstandard.ZstdDecompressor(dict_data=load_dictionary(frame))
         else:
-            record = unpacker.decompressobj().decompress(bytes(frame))
-            fields, block = parse_record(record)
+            fields, block = parse_record(unpacker.decompressobj().decompress(frame))
             payload, length = read_payload(fields, block)
             yield fields, payload, length
 
@@ -280,23 +311,30 @@ def _number(text: str | None) -> int | None:
 
 
 def _decode_batches(with_payload: bool):
+    names = [f.split()[0] for f in _READ.split(", ")]
+
+    def decoded(source):
+        rows, size = [], 0
+        for fields, payload, length in decode_archive(source):
+            rows.append((_number(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), fields["WARC-Type"],
+                         _number(fields.get("X-Refers-To-Page")), length,
+                         fields.get("WARC-Payload-Digest", "").removeprefix("sha256:"),
+                         payload if with_payload else None))
+            size += length if with_payload else 0
+            if len(rows) >= 5000 or size >= 1 << 24:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
+
     def run(batches):
-        names = [f.split()[0] for f in _READ.split(", ")]
         for b in batches:
-            for i in range(b.num_rows):
-                rows, size = [], 0
-                for fields, payload, length in decode_archive(b.column(0)[i].as_py()):
-                    rows.append((_number(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), fields["WARC-Type"],
-                                 _number(fields.get("X-Refers-To-Page")), length,
-                                 fields.get("WARC-Payload-Digest", "").removeprefix("sha256:"),
-                                 payload if with_payload else None))
-                    size += length if with_payload else 0
-                    if len(rows) >= 5000 or size >= 1 << 24:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
+            for archive in b.column(0):
+                if isinstance(value := archive.as_py(), str):
+                    with open_stream(value) as source:
+                        yield from decoded(source)
+                else:
+                    yield from decoded(value)
     return run
 
 
@@ -307,11 +345,15 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """Records of all archives under ``path``: page_id, url, record_type, refers_to,
     payload_bytes, payload_digest (of the full payload) and, if asked for, payload.
 
-    An archive is one Spark row (below 2 GB) and is decoded frame by frame; a
-    broken record raises WarcError with what is wrong.
+    Spark lists the archives (names and sizes, no content) and spreads them by
+    size; a worker reads its archives as streams, one frame at a time, so their
+    size is not limited.  Archives on a file system outside ``STREAMED`` come
+    as rows of Spark's binary reader (below 2 GB each).  A broken record raises
+    WarcError with what is wrong.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_decode_batches(with_payload), _READ)
+    files = spark.read.format("binaryFile").load(path)
+    scheme = hadoop_path(spark, path)[0].getUri().getScheme()
+    return files.select("path" if scheme in STREAMED else "content").mapInArrow(_decode_batches(with_payload), _READ)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
