@@ -121,15 +121,19 @@ class ItemIndex:
         return at[same], found[same]
 
     def diagonals(self, chars: np.ndarray):
-        """(item, diagonal, shared q-grams on it) in arrays of bounded size; a diagonal may come in several parts."""
+        """(item, diagonal, shared q-grams on it) in arrays of bounded size; a diagonal may come in several parts.
+
+        No counts (None): one for each entry.
+        """
         at, found = self.shared(chars)
-        names, often = np.unique(found, return_counts=True)
-        dense = names[often * self.longest[names] > _DENSE * len(chars)]
-        plain = ~np.isin(found, dense)
-        for h in dense.tolist():
-            yield from self._dense_diagonals(at[found == h], h, len(chars))
-        at, found = at[plain], found[plain]
         sizes = self.first[found + 1] - self.first[found]
+        if sizes.sum() > _DENSE * len(chars):  # some q-gram may be dense
+            names, often = np.unique(found, return_counts=True)
+            dense = names[often * self.longest[names] > _DENSE * len(chars)]
+            for h in dense.tolist():
+                yield from self._dense_diagonals(at[found == h], h, len(chars))
+            plain = ~np.isin(found, dense)
+            at, found, sizes = at[plain], found[plain], sizes[plain]
         ends = np.cumsum(sizes)
         begin = 0
         while begin < len(at):
@@ -137,7 +141,7 @@ class ItemIndex:
             n = sizes[begin:stop]
             slot = np.arange(int(n.sum())) + np.repeat(self.first[found[begin:stop]] - (np.cumsum(n) - n), n)
             item = self.item[slot].astype(np.int64)
-            yield item, np.repeat(at[begin:stop], n) - self.pos[slot], np.ones(len(slot), np.int64)
+            yield item, np.repeat(at[begin:stop], n) - self.pos[slot], None
             begin = stop
 
     def _dense_diagonals(self, at: np.ndarray, h: int, length: int):
@@ -148,7 +152,7 @@ class ItemIndex:
             item = int(self.item[self.run_first[r]])
             if len(at) * len(pos) <= _DENSE * length:
                 step = max(1, _RUN // len(pos))
-                parts = ((d, np.ones(len(d), np.int64)) for i in range(0, len(at), step)
+                parts = ((d, None) for i in range(0, len(at), step)
                          for d in [(at[i:i + step, None] - pos[None, :]).ravel()])
             else:
                 parts = _convolved(at, pos)
@@ -164,15 +168,16 @@ class ItemIndex:
             band = diagonal // self.width
             # a diagonal in the first e of a band also counts for the band before it
             again = (diagonal - band * self.width) < self.edits[item]
-            keys = np.concatenate([item, item[again]]) * span + (np.concatenate([band, band[again] - 1]) - low)
-            held.append(_added(keys, np.concatenate([counts, counts[again]])))
+            keys = item * span + (band - low)
+            both = None if counts is None else np.concatenate([counts, counts[again]])
+            held.append(_added(np.concatenate([keys, keys[again] - 1]), both))
             n += len(held[-1][0])
             if n > 2 * _RUN:
                 held = [_added(*map(np.concatenate, zip(*held)))]
                 n = 0
         if not held:
             return []
-        keys, counts = _added(*map(np.concatenate, zip(*held)))
+        keys, counts = held[0] if len(held) == 1 else _added(*map(np.concatenate, zip(*held)))
         chosen = counts >= self.least[keys // span]
         return [(int(k // span), (int(k % span) + low) * self.width) for k in keys[chosen]]
 
@@ -190,8 +195,10 @@ class ItemIndex:
         return out
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ascending keys and their summed counts."""
+def _added(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ascending keys and their summed counts (None: one each)."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
     names, where = np.unique(keys, return_inverse=True)
     return names, np.bincount(where, counts, len(names)).astype(np.int64)
 
