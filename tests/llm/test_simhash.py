@@ -4,6 +4,7 @@ import random
 
 import xxhash
 from llm.conftest import edge_rows, frame
+from pyspark.sql import functions as F
 
 from tracefuse.llm import simhash
 
@@ -83,6 +84,56 @@ def test_long_chain_is_one_component(lspark):
     assert all(roots[i] == 0 for i in range(1, 301)) and roots[1001] == 1000
 
 
+def test_star_with_hubs_is_salted(lspark, monkeypatch):
+    rnd = random.Random(9)
+    edges = [(5000 + i, i) for i in range(600)] + [(5000, 9000)] + [(7, 8000 + i) for i in range(300)]  # two hubs and more
+    edges += [(9000, 10000 + i) for i in range(700)] + [(20000 + i, 20001 + i) for i in range(40)]
+    rnd.shuffle(edges)
+    df = lspark.createDataFrame(edges, "a long, b long").repartition(4)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, seen = {}, set()
+    for start in sorted(near):
+        todo = [start] if start not in seen else []
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                want[x] = start
+                todo += near[x]
+    for salt_edges in (8, 1 << 30):
+        monkeypatch.setattr(simhash, "SALT_EDGES", salt_edges)
+        got = dict(map(tuple, simhash.star_roots(df).collect()))
+        assert got == {n: r for n, r in want.items() if n in got} and set(want) - set(got) <= set(want.values())
+
+
+def test_with_least_joins_every_edge_once(lspark, monkeypatch):
+    rnd = random.Random(2)
+    edges = sorted({(rnd.choice((1, 1, 1, 2, rnd.randrange(50))), rnd.randrange(1000)) for _ in range(3000)})
+    df = lspark.createDataFrame(edges, "a long, b long")
+    low = df.groupBy("a").agg(F.min("b").alias("m"))
+    least = {a: min(b for x, b in edges if x == a) for a, _ in edges}
+    monkeypatch.setattr(simhash, "SALT_EDGES", 40)
+    _, hot = simhash._load(df)
+    assert hot and max(s for _, s in hot) > 10
+    for cells in ([], hot):
+        got = sorted(map(tuple, simhash._with_least(df, low, cells).collect()))
+        assert got == [(a, b, least[a]) for a, b in edges]
+
+
+def test_one_per_group_with_repeated_ids(lspark):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long, "x"), (1, long, "a"), (1, long.upper(), "b"), (1, "other words of it and more", "y"), (2, long, "q"),
+            (3, "a text of its own that is alone", "z"), (None, "nothing else is like this one text", "n"),
+            (None, "nothing else is like this one text", "m")]
+    df = lspark.createDataFrame(rows, "doc_id long, text string, _fp string").repartition(5)
+    got = {tuple(r) for r in simhash.one_per_group(df).collect()}
+    # of rows with one id and fingerprint the smallest text stays, then the smallest row
+    assert got == {(1, long.upper(), "b"), (1, "other words of it and more", "y"), rows[5], rows[7]}
+
+
 def test_one_per_group_keeps_columns_and_one_row(lspark):
     rows = edge_rows()
     want = expected(rows)

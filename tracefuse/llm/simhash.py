@@ -13,7 +13,7 @@ its first matching variant).
 Copies never meet each other: documents with one fingerprint form one class
 before the join, and the join is between classes.  Components of the class
 graph come from alternating large-star/small-star rounds, each written to the
-checkpoint folder; the driver only sees two numbers a round.
+checkpoint folder; the driver only sees ``LOAD_CELLS`` counts a round.
 
 Work: 64 index rows per distinct fingerprint; the expected number of proposed
 pairs is 64 * n^2 / 2^21 for n unrelated fingerprints, checked inside the join.
@@ -21,6 +21,8 @@ pairs is 64 * n^2 / 2^21 for n unrelated fingerprints, checked inside the join.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,9 @@ MAX_BITS = 4
 SEED = 42
 #: first bit of each segment; 64 ends the last one
 SEGMENTS = (0, 21, 42, 64)
+#: cells that nodes are hashed into to find loaded ones, and edges a cell may have before it is salted
+LOAD_CELLS = 1 << 12
+SALT_EDGES = 128
 _BLOCK = 1 << 16
 
 
@@ -108,33 +113,70 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
+def _cell(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(LOAD_CELLS)).cast("int")
+
+
+def _load(pairs: DataFrame) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+    """(state of an edge list, salted cells as (cell, salts)); at most ``LOAD_CELLS`` rows reach the driver.
+
+    Every edge counts in the cells of both ends.  A cell with more than
+    ``SALT_EDGES`` edges and four times the mean of the cells gets salts in proportion.
+    """
+    ends = pairs.select(F.explode(F.array(_cell("a"), _cell("b"))).alias("cell"), F.xxhash64("a", "b").alias("h"))
+    cells = ends.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).collect()
+    total = sum(r.n for r in cells)
+    fair = max(SALT_EDGES, 4 * total / LOAD_CELLS)
+    return (total, sum(int(r.s) for r in cells)), [(r.cell, math.ceil(r.n / fair)) for r in cells if r.n > fair]
+
+
+def _with_least(edges: DataFrame, low: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """``edges`` (a, b) with ``m`` of ``low`` (a, m).
+
+    Edges of a salted cell are spread by ``b``, the least rows of its nodes
+    are repeated once a salt.  The broadcast holds under a quarter of the cells.
+    """
+    if not hot:
+        return edges.join(low, "a")
+    table = F.broadcast(edges.sparkSession.createDataFrame(hot, "cell int, salts int"))
+    salts = F.coalesce("salts", F.lit(1))
+    spread = (edges.withColumn("cell", _cell("a")).join(table, "cell", "left")
+              .select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt")))
+    copies = (low.withColumn("cell", _cell("a")).join(table, "cell", "left")
+              .select("a", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
+    return spread.join(copies, ["a", "salt"]).select("a", "b", "m")
+
+
 def star_roots(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of an edge list (a, b); root is the smallest node reachable.
 
     Large-star then small-star each round; minima are pre-aggregated and joined
-    back, so a node with very many neighbours is never one task's list.
+    back, by salted keys where cells of nodes hold many edges, so a node with
+    very many neighbours is never one task's list.  (In a small-star a node has
+    at most one edge more than before the large-star, so one count serves both.)
     """
 
-    def largest(pairs: DataFrame) -> DataFrame:
+    def largest(pairs: DataFrame, hot: list) -> DataFrame:
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return (both.join(low, "a").filter(F.col("b") > F.col("a"))
+        return (_with_least(both, low, hot).filter(F.col("b") > F.col("a"))
                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
 
-    def smallest(pairs: DataFrame) -> DataFrame:
+    def smallest(pairs: DataFrame, hot: list) -> DataFrame:
         down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = (_with_least(down, low, hot).filter(F.col("b") != F.col("m"))
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")))
         return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
-    pairs, seen = cut_lineage(edges), None
+    pairs = cut_lineage(edges)
+    seen, hot = _load(pairs)
     for _ in range(max_rounds):
-        pairs = cut_lineage(smallest(largest(pairs)))
-        state = pairs.agg(F.count("*").alias("n"),
-                          F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if seen == (state.n, state.s):
+        pairs = cut_lineage(smallest(largest(pairs, hot), hot))
+        state, hot = _load(pairs)
+        if seen == state:
             break
-        seen = (state.n, state.s)
+        seen = state
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -176,14 +218,41 @@ def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS,
     """``docs`` with one row of each near-duplicate component: its smallest doc_id.
 
     Where that doc_id is repeated inside the component, the row with the
-    smallest fingerprint stays (of equal ones: one); a component of NULL ids
-    keeps one row too.  Columns are those of ``docs``.
+    smallest fingerprint stays, of equal ones that with the smallest text, then
+    the smallest row as JSON; a component of NULL ids keeps one row too.
+    Columns are those of ``docs``.  Texts are read for their fingerprints once;
+    only where a chosen doc_id has several rows are those rows' fingerprints
+    computed again to tell them apart.
     """
     members = cut_lineage(_components(docs, max_bits, shingle_words))
     chosen = cut_lineage(members.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
                          .groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.min("fp").alias("keep_fp"))
                          .select("keep_id", "keep_fp"))
     names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, key = f"c{names.index('text')}", f"c{names.index('doc_id')}"
+    rows = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    several = cut_lineage(chosen.join(rows.filter("n > 1"), F.col("keep_id").eqNullSafe(F.col("doc_id")))
+                          .select("keep_id", "keep_fp"))
+    chosen_id = F.col(key).eqNullSafe(F.col("keep_id"))
+    if several.isEmpty():
+        kept = plain.join(chosen, chosen_id, "left_semi")
+    else:
+        once = chosen.join(several.select(F.col("keep_id").alias("other")).distinct(),
+                           F.col("keep_id").eqNullSafe(F.col("other")), "left_anti")
+        kept = plain.join(once, chosen_id, "left_semi")
+        unclear = plain.join(several, chosen_id, "left_semi")
+        marked = _marked(unclear, text, shingle_words)
+        same = chosen_id & (F.col("_fp") == F.col("keep_fp"))
+        whole = F.struct(*plain.columns)
+        first = (marked.join(several, same, "left_semi").groupBy(key, "_fp")
+                 .agg(F.min_by(whole, F.struct(F.col(text), F.to_json(whole))).alias("row")))
+        kept = kept.unionByName(first.select("row.*"))
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _marked(rows: DataFrame, text: str, shingle_words: int) -> DataFrame:
+    """``rows`` with their fingerprint as ``_fp``."""
 
     def run(batches):
         for b in batches:
@@ -191,12 +260,5 @@ def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS,
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(fps.view(np.int64))], [*b.schema.names[:-1], "_fp"])
 
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text, key = f"c{names.index('text')}", f"c{names.index('doc_id')}"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", _fp long"
-    marked = plain.withColumn("_bytes", as_bytes(text)).mapInArrow(run, schema)
-    kept = marked.join(chosen, F.col(key).eqNullSafe(F.col("keep_id")) & (F.col("_fp") == F.col("keep_fp")), "left_semi")
-    repeated = members.groupBy("doc_id", "fp").count().filter("count > 1")
-    if not repeated.isEmpty():  # equal (doc_id, fingerprint) rows: only then is a pass over the rows needed
-        kept = kept.dropDuplicates([key, "_fp"])
-    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _fp long"
+    return rows.withColumn("_bytes", as_bytes(text)).mapInArrow(run, schema)
