@@ -8,8 +8,7 @@ from collections.abc import Sequence
 
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefuse.functions.scalar import predict
+from tracefuse.operators.forest import Forest, ForestModel
 from tracefuse.operators.metrics import confusion, roc_auc, with_rates
 from tracefuse.session import cut_lineage
 
@@ -79,10 +79,11 @@ def random_forest(feature_cols: Sequence[str], label: str, weight_col: str | Non
 
     Depth 30 is MLlib's cap, and MLlib merges sibling leaves that predict the
     same class, so a tree's probability there is that of the merged leaf.
+    Forests that may not fit the driver are grown and kept by the executors.
     """
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy=subset, seed=seed, bootstrap=bootstrap,
-                                **({"weightCol": weight_col} if weight_col else {}))
+    rf = Forest(featuresCol="features", labelCol=label, numTrees=num_trees,
+                maxDepth=max_depth, featureSubsetStrategy=subset, seed=seed, bootstrap=bootstrap,
+                **({"weightCol": weight_col} if weight_col else {}))
     return Pipeline(stages=[_assembler(feature_cols), rf])
 
 
@@ -132,7 +133,12 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], label: str,
     Missing feature columns and values count as 0.  Models without probabilities (linear SVM) expose the raw margin instead,
     which is rank-equivalent for ROC-AUC.
     """
-    scored = without_summary(model).transform(fill_features(model, df))
+    filled = fill_features(model, df)
+    if isinstance(model.stages[-1], ForestModel):  # its rows are frozen: without the features
+        assembled = PipelineModel(stages=model.stages[:-1]).transform(filled)
+        scored = model.stages[-1].predict_rows(assembled, list(dict.fromkeys([*keep, label])))
+    else:
+        scored = without_summary(model).transform(filled)
     if "probability" in scored.columns:
         p = vector_to_array(F.col("probability"))[1]
         pred = predict(p, threshold, strict=strict)
